@@ -5,9 +5,11 @@ from .decontaminate import op2_decontaminate
 from .html_text import op10_html_text
 from .license_scan import op6_license_scan
 from .mixing import op3_mixing
+from .nearest import op9_nearest
+from .simhash import op8_simhash_dedup
 from .token_count import op5_token_count
 from .toxicity import op1_toxicity
 from .url_filter import OP4_SQL, op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_mixing, op4_url_filter, op5_token_count, op6_license_scan, op7_chat_format, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_mixing, op4_url_filter, op5_token_count, op6_license_scan, op7_chat_format, op8_simhash_dedup, op9_nearest, op10_html_text)}
 ORACLE_SQL = {"op4_url_filter": OP4_SQL, "op7_chat_format": OP7_SQL}

@@ -7,6 +7,7 @@ sum of these. Grades: 0 for rows labelled harmless, 1 and 2 for rows labelled to
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +26,9 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> set[str]:
-    """The text's words in lower case, and their beginnings of 4 to 6 letters."""
-    words = set(WORD.findall((text or "").lower()))
-    return words | {f"^{w[:n]}" for w in words for n in (4, 5, 6) if len(w) > n}
+    """The text's words in lower case, those that occur again once more with +, and beginnings of 4 to 6 letters."""
+    counts = Counter(WORD.findall((text or "").lower()))
+    return {*counts, *(f"{w}+" for w, n in counts.items() if n > 1), *(f"^{w[:n]}" for w in counts for n in (4, 5, 6) if len(w) > n)}
 
 
 @dataclass(frozen=True)
