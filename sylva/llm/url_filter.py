@@ -107,7 +107,7 @@ def url_filter(
     if edges is None or edges.isEmpty():
         out = out.withColumn("component", F.col("_node")).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     else:
-        found = cut(components(edges))
+        found = cut(components(edges, native=True))
         ruled = judged(found, F.concat(F.lit("x://"), F.col("node"))).select("node", "root", verdict_of(F.col("rule"), rules).alias("own"))
         groups = ruled.groupBy("root").agg(F.max((F.col("own") == "block").cast("int")).alias("_bad"), F.min("node").alias("_least"))
         alias = ruled.select(F.col("node").alias("_node"), "root").join(groups, "root").drop("root")
