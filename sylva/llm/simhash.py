@@ -26,6 +26,8 @@ from .components import components
 
 #: Values that at least so many fingerprints share are compared with LEADERS of them first.
 CROWDED, LEADERS = 12, 3
+#: Crowded values whose leaders are broadcast; beyond it those joins shuffle.
+BROADCAST_KEYS = 50_000
 #: What a probe costs beside a candidate, and the largest threshold of a part.
 PROBE_COST, MOST_T = 0.3, 3
 
@@ -147,65 +149,80 @@ def _masks(k: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for n in range(t + 1) for c in combinations(range(k), n)], np.int64)
 
 
-def entries(nodes: DataFrame, tau: int, parts: int) -> DataFrame:
-    """(key, node, fp, probe): each node's own value of every part, and the values that it probes."""
-    n, both = together(nodes)
-    groups, p = grouped(n, both, parts), np.diag(both) / max(1, n)
-    most = min(MOST_T, tau)
-    masks = [[_masks(len(g), t) for t in range(most + 1)] for g in groups]
+class Plan:
+    """The parts, the shares of set bits and the probe masks for some fingerprints; the same for all of them."""
+
+    def __init__(self, nodes: DataFrame, tau: int, parts: int):
+        self.n, both = together(nodes)
+        self.tau, self.groups, self.p = tau, grouped(self.n, both, parts), np.diag(both) / max(1, self.n)
+        self.most = min(MOST_T, tau)
+        self.masks = [[_masks(len(g), t) for t in range(self.most + 1)] for g in self.groups]
+
+    def entries(self, bits: np.ndarray, probes: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(keys, rows): each row's own value of every part, or the values that it probes."""
+        if probes:
+            costs = []
+            for g, ms in zip(self.groups, self.masks, strict=True):
+                c = expected(bits[:, g], self.p[g], self.n, self.most) + PROBE_COST * np.array([[len(m)] for m in ms])
+                costs.append(np.vstack([np.zeros((1, len(bits))), c]))
+            chosen = allocate(costs, self.tau)
+        for i, (g, ms) in enumerate(zip(self.groups, self.masks, strict=True)):
+            value = bits[:, g].astype(np.int64) @ (1 << np.arange(len(g), dtype=np.int64)) + (i << 40)
+            if not probes:
+                yield value, np.arange(len(bits))
+                continue
+            for t in range(self.most + 1):
+                rows = np.flatnonzero(chosen[:, i] == t)
+                if len(rows):
+                    yield (value[rows][:, None] ^ ms[t][None, :]).ravel(), np.repeat(rows, len(ms[t]))
+
+
+def entries(nodes: DataFrame, plan: Plan, probes: bool) -> DataFrame:
+    """(key, node, fp, comp) of nodes (node, fp, comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
                 b = whole.slice(at, 2_000)
-                fps, ids = b.column("fp").to_numpy(), b.column("node").to_numpy()
-                bits = _bits(fps)
-                costs = []
-                for g, ms in zip(groups, masks, strict=True):
-                    c = expected(bits[:, g], p[g], n, most) + PROBE_COST * np.array([[len(m)] for m in ms])
-                    costs.append(np.vstack([np.zeros((1, len(fps))), c]))
-                chosen = allocate(costs, tau)
-                for i, (g, ms) in enumerate(zip(groups, masks, strict=True)):
-                    value = bits[:, g].astype(np.int64) @ (1 << np.arange(len(g), dtype=np.int64))
-                    out = [(value, np.arange(len(fps)), False)]
-                    for t in range(most + 1):
-                        rows = np.flatnonzero(chosen[:, i] == t)
-                        if len(rows):
-                            out.append(((value[rows][:, None] ^ ms[t][None, :]).ravel(), np.repeat(rows, len(ms[t])), True))
-                    for keys, rows, probe in out:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys + (i << 40)), pa.array(ids[rows]), pa.array(fps[rows]), pa.array(np.full(len(rows), probe))], ["key", "node", "fp", "probe"])
-
-    return nodes.select("node", "fp").mapInArrow(run, "key long, node long, fp long, probe boolean")
+                columns = [b.column(c).to_numpy() for c in ("node", "fp", "comp")]
+                for keys, rows in plan.entries(_bits(columns[1]), probes):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c[rows]) for c in columns)], ["key", "node", "fp", "comp"])
+
+    return nodes.select("node", "fp", "comp").mapInArrow(run, "key long, node long, fp long, comp long")
 
 
 def link(nodes: DataFrame, tau: int, parts: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the nodes (node long, fp long) linked within tau bits; verify keeps some pairs (a, b), if given.
 
-    Nodes without a link do not come back. An empty table gives an empty one.
+    Nodes without a link do not come back. An empty table gives an empty one. Entries are made anew for each use, from
+    a row of two numbers for each node, and are not kept; probes are shuffled once.
     """
     if not parts - 1 <= tau <= parts * (MOST_T + 1) - 1:
         raise ValueError("tau needs thresholds between -1 and 3 on these parts")
     verify = verify or (lambda pairs: pairs)
-    every = cut(entries(nodes, tau, parts))
-    index = every.where("not probe").select("key", "node", "fp")
+    plan = Plan(nodes, tau, parts)
+    alone = nodes.select("node", "fp", F.col("node").alias("comp"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= tau
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     first = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node", "fp")).alias(f"l{s}") for s in range(LEADERS)]
-    crowded = cut(index.groupBy("key").agg(F.count("*").alias("n"), *first).where(F.col("n") >= CROWDED))
-    leaders = crowded.select("key", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{s}.node").alias("other"), F.col(f"l{s}.fp").alias("ofp")) for s in range(LEADERS)]))).alias("x")).select("key", "x.*")
-    meets = every.join(leaders, (every["key"] == leaders["key"]) & (F.col("node") != F.col("other")) & near("fp", "ofp"))
-    sure = cut(verify(meets.select(*pair).distinct()))
+    crowded = cut(entries(alone, plan, False).groupBy("key").agg(F.count("*").alias("n"), *first).where(F.col("n") >= CROWDED))
+    few = crowded.count() <= BROADCAST_KEYS
+    sent = lambda df: F.broadcast(df) if few else df
+    leader = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{s}.node").alias("other"), F.col(f"l{s}.fp").alias("ofp")) for s in range(LEADERS)])))
+    leaders = crowded.select("key", leader.alias("x")).select("key", "x.*")
+    meets = lambda probes: entries(alone, plan, probes).join(sent(leaders), "key").where((F.col("node") != F.col("other")) & near("fp", "ofp")).select(*pair)
+    sure = cut(verify(meets(True).union(meets(False)).distinct()))
     known = cut(components(sure))
-    own = every.join(known, "node", "left").select("key", "node", "fp", "probe", F.coalesce("root", "node").alias("comp"))
-    heads = crowded.select(F.col("l0.node").alias("node"), "key").join(known, "node", "left").select("key", F.coalesce("root", "node").alias("head"))
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    own = cut(own.join(mixed, "key").join(heads, "key", "left").withColumn("apart", F.coalesce(F.col("comp") != F.col("head"), F.lit(True))))
-    probing = own.where("probe")
-    found = own.where("not probe").select("key", F.col("node").alias("other"), F.col("fp").alias("ofp"), F.col("comp").alias("ocomp"), F.col("apart").alias("oapart"))
+    grown = cut(nodes.join(known, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp")))
+    heads = cut(crowded.select(F.col("l0.node").alias("node"), "key").join(known, "node", "left").select("key", F.coalesce("root", "node").alias("head")))
+    apart = F.coalesce(F.col("comp") != F.col("head"), F.lit(True))
+    marked = lambda probes: entries(grown, plan, probes).join(sent(heads), "key", "left").withColumn("apart", apart).drop("head")
+    # Side 0 meets all that has the value, side 1 (of the head's component) only what is apart from it.
+    probing = marked(True).withColumn("side", F.when(F.col("apart"), 0).otherwise(1)).drop("apart")
+    sides = F.explode(F.when(F.col("apart"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    found = marked(False).select("key", F.col("node").alias("other"), F.col("fp").alias("ofp"), F.col("comp").alias("ocomp"), sides.alias("side"))
     fits = (F.col("node") < F.col("other")) & (F.col("comp") != F.col("ocomp")) & near("fp", "ofp")
-    one = probing.where("apart").join(found, "key").where(fits)
-    two = probing.where("not apart").join(found.where("oapart"), "key").where(fits)
-    more = verify(one.select(*pair).union(two.select(*pair)).distinct())
+    more = verify(probing.join(found, ["key", "side"]).where(fits).select(*pair).distinct())
     return components(sure.union(more))
 
 
