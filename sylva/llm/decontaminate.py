@@ -20,13 +20,13 @@ from .common import byte_slices, read
 Q, WINDOW, EDITS, SHORTEST = 8, 96, 0.08, 24
 #: Benchmark text that one pass over the documents takes; more is taken in several passes.
 PASS_BYTES = 16 << 20
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b"\t\n\v\f\r" else c for c in range(256))
+_FOLD = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
 _MIX, _BITS, _GAP = np.uint64(0x9E3779B97F4A7C15), 22, b"\x00" * Q
 
 
 def folded(text: str) -> bytes:
-    """UTF-8 with A-Z lowered and white space as spaces; offsets stay."""
-    return text.encode("utf-8", "replace").translate(_FOLD)
+    """Lower case, ASCII white space as spaces, as UTF-8; offsets are those of the lowered text."""
+    return text.lower().encode("utf-8", "replace").translate(_FOLD)
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -124,8 +124,8 @@ class Windows:
         starts = np.cumsum([0, *(len(t) + Q for t in texts)])
         for w, k in zip(w[ok].tolist(), k[ok].tolist(), strict=True):
             lo, hi = k * band - wide, k * band + band + wide + int(self.size[w]) + wide
-            doc = int(np.searchsorted(starts, max(0, lo + 2 * wide), "right")) - 1
-            for d in {doc, min(doc + 1, len(texts) - 1)}:
+            first, last = np.searchsorted(starts, [max(0, lo), hi], "right") - 1
+            for d in range(int(first), min(int(last), len(texts) - 1) + 1):
                 begin, end = max(lo, int(starts[d])), min(hi, int(starts[d]) + len(texts[d]))
                 if end - begin >= self.size[w] - self.budget[w] and (got := aligned(self.text[w], data[begin:end], int(self.budget[w]))):
                     stop = begin + got[1] - int(starts[d])
@@ -135,8 +135,9 @@ class Windows:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, n_windows, edits, first_byte, last_byte), a row for each document that holds a passage of an item.
 
-    A passage is a window of 96 bytes of the item (all of a shorter one) with at most 8 % edits; case of A-Z and kinds of
-    white space do not count. edits is the fewest of its windows, first_byte and last_byte are about what they cover.
+    A passage is a window of 96 bytes of the item (all of a shorter one) with at most 8 % edits; case and kinds of white
+    space do not count. edits is the fewest of its windows, first_byte and last_byte are about what they cover,
+    in bytes of the lowered text.
     Null and empty texts hold nothing. Items under 24 bytes are too short to tell and are left out, as are null ones.
     Repeated rows of docs come back each; an empty benchmark finds nothing.
     """
