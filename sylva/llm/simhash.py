@@ -8,17 +8,22 @@ within t_i of its own on part i and skips parts with -1. Candidates are verified
 A crowded value does not expand into its pairs. First everything that meets it is compared with a few leaders drawn
 from it, and components are formed; then only what is not in the component of the value's first leader meets the rest.
 No pair of different components is left out, so components are exact.
+
+Where links are verified on sets of shingles, all that came within reach of a leader also carries a sketch of its set:
+the parities of how many shingles fall on each of SKETCH bits. Two sketches differ in no more bits than the sets have
+elements of their own, so a pair whose sketches differ in more than the similarity allows is no link, and the join of a
+crowded value passes over it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_slices, cut, read
@@ -28,6 +33,8 @@ from .components import components
 CROWDED, LEADERS = 12, 3
 #: Crowded values whose leaders are broadcast; beyond it those joins shuffle.
 BROADCAST_KEYS = 50_000
+#: Bits of a sketch, in words of 64.
+SKETCH = 1_024
 #: What a probe costs beside a candidate, and the largest threshold of a part.
 PROBE_COST, MOST_T = 0.3, 3
 
@@ -177,29 +184,77 @@ class Plan:
                     yield (value[rows][:, None] ^ ms[t][None, :]).ravel(), np.repeat(rows, len(ms[t]))
 
 
+class Similar:
+    """Whether the sets of k-word shingles of two texts have at least a Jaccard similarity; sets are of 32-bit hashes."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, k: int, least: float):
+        self.docs, self.k, self.least = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), k, least
+
+    def sets(self, pairs: DataFrame) -> DataFrame:
+        """(id, s: the sorted hashes, sketch: SKETCH parities in longs, then the size) of what is in pairs (a, b)."""
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h = xxhash.xxh32_intdigest
+            for b in byte_slices(batches, "text"):
+                made = [np.unique(np.fromiter((h(x) for x in f), np.uint32, len(f))) for f in (shingles(t, k) for t in b.column("text").to_pylist())]
+                odd = [np.packbits(np.bincount(m % SKETCH, minlength=SKETCH) & 1).view(np.int64).tolist() + [len(m)] for m in made]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["id", "s", "sketch"])
+
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        return cut(self.docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, s binary, sketch array<long>").dropDuplicates(["id"]))
+
+    def may(self, x: str, y: str) -> Column:
+        """False only if the sketches prove that the sets are less similar; null without a sketch."""
+        words = SKETCH // 64
+        differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(words))
+        return differ * (1 + self.least) <= (F.col(x)[words] + F.col(y)[words]) * (1 - self.least) + 1e-6
+
+    def keep(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """The similar ones of the pairs; held are their sets."""
+        least = self.least
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = []
+                for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                    small, large = sorted((len(x), len(y)))
+                    if small < least * large:
+                        keep.append(False)
+                        continue
+                    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        side = lambda c: held.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
+
+
 def entries(nodes: DataFrame, plan: Plan, probes: bool) -> DataFrame:
-    """(key, node, fp, comp) of nodes (node, fp, comp)."""
+    """(key, node, fp, comp) of nodes (node, fp, comp), with the nodes' sketch if they have that column."""
+    names = [c for c in ("node", "fp", "comp", "sketch") if c in nodes.columns]
+    step = 500 if "sketch" in names else 2_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2_000):
-                b = whole.slice(at, 2_000)
-                columns = [b.column(c).to_numpy() for c in ("node", "fp", "comp")]
-                for keys, rows in plan.entries(_bits(columns[1]), probes):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(c[rows]) for c in columns)], ["key", "node", "fp", "comp"])
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                for keys, rows in plan.entries(_bits(b.column("fp").to_numpy()), probes):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(pa.array(rows)) for c in names)], ["key", *names])
 
-    return nodes.select("node", "fp", "comp").mapInArrow(run, "key long, node long, fp long, comp long")
+    kinds = {"sketch": "array<long>"}
+    return nodes.select(*names).mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in ["key", *names]))
 
 
-def link(nodes: DataFrame, tau: int, parts: int, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, root) of the nodes (node long, fp long) linked within tau bits; verify keeps some pairs (a, b), if given.
+def link(nodes: DataFrame, tau: int, parts: int, verify: Similar | None = None) -> DataFrame:
+    """(node, root) of the nodes (node long, fp long) linked within tau bits and, if verify is given, found similar by it.
 
     Nodes without a link do not come back. An empty table gives an empty one. Entries are made anew for each use, from
-    a row of two numbers for each node, and are not kept; probes are shuffled once.
+    a row of a few numbers for each node, and are not kept; probes are shuffled once.
     """
     if not parts - 1 <= tau <= parts * (MOST_T + 1) - 1:
         raise ValueError("tau needs thresholds between -1 and 3 on these parts")
-    verify = verify or (lambda pairs: pairs)
     plan = Plan(nodes, tau, parts)
     alone = nodes.select("node", "fp", F.col("node").alias("comp"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= tau
@@ -211,18 +266,30 @@ def link(nodes: DataFrame, tau: int, parts: int, verify: Callable[[DataFrame], D
     leader = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{s}.node").alias("other"), F.col(f"l{s}.fp").alias("ofp")) for s in range(LEADERS)])))
     leaders = crowded.select("key", leader.alias("x")).select("key", "x.*")
     meets = lambda probes: entries(alone, plan, probes).join(sent(leaders), "key").where((F.col("node") != F.col("other")) & near("fp", "ofp")).select(*pair)
-    sure = cut(verify(meets(True).union(meets(False)).distinct()))
+    met = cut(meets(True).union(meets(False)).distinct())
+    held = verify.sets(met) if verify else None
+    sure = cut(verify.keep(met, held)) if verify else met
     known = cut(components(sure))
-    grown = cut(nodes.join(known, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp")))
+    grown = nodes.join(known, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp"))
+    grown = cut(grown.join(held.select(F.col("id").alias("node"), "sketch"), "node", "left") if verify else grown)
     heads = cut(crowded.select(F.col("l0.node").alias("node"), "key").join(known, "node", "left").select("key", F.coalesce("root", "node").alias("head")))
-    apart = F.coalesce(F.col("comp") != F.col("head"), F.lit(True))
-    marked = lambda probes: entries(grown, plan, probes).join(sent(heads), "key", "left").withColumn("apart", apart).drop("head")
+
+    def marked(probes: bool) -> DataFrame:
+        """Entries with apart: whether they are outside the component of their value's first leader; sketches for crowded values alone."""
+        out = entries(grown, plan, probes).join(sent(heads), "key", "left").withColumn("apart", F.coalesce(F.col("comp") != F.col("head"), F.lit(True)))
+        return (out.withColumn("sketch", F.when(F.col("head").isNotNull(), F.col("sketch"))) if verify else out).drop("head")
+
     # Side 0 meets all that has the value, side 1 (of the head's component) only what is apart from it.
     probing = marked(True).withColumn("side", F.when(F.col("apart"), 0).otherwise(1)).drop("apart")
     sides = F.explode(F.when(F.col("apart"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    found = marked(False).select("key", F.col("node").alias("other"), F.col("fp").alias("ofp"), F.col("comp").alias("ocomp"), sides.alias("side"))
+    found = marked(False).withColumnsRenamed({"node": "other", "fp": "ofp", "comp": "ocomp", "sketch": "osketch"}).withColumn("side", sides).drop("apart")
     fits = (F.col("node") < F.col("other")) & (F.col("comp") != F.col("ocomp")) & near("fp", "ofp")
-    more = verify(probing.join(found, ["key", "side"]).where(fits).select(*pair).distinct())
+    if verify:
+        fits = fits & F.coalesce(verify.may("sketch", "osketch"), F.lit(True))
+    more = probing.join(found, ["key", "side"]).where(fits).select(*pair).distinct()
+    if verify:
+        more = cut(more)
+        more = verify.keep(more, verify.sets(more))
     return components(sure.union(more))
 
 
@@ -242,39 +309,6 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(prints).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _jaccard(docs: DataFrame, doc_id: str, text: str, k: int, least: float) -> Callable[[DataFrame], DataFrame]:
-    """Keeps the pairs whose sets of k-word shingles have at least that similarity; sets are of 32-bit hashes."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh32_intdigest
-        for b in byte_slices(batches, "text"):
-            made = [np.unique(np.fromiter((h(x) for x in f), np.uint32, len(f))).tobytes() for f in (shingles(t, k) for t in b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(made, pa.binary())], ["id", "s"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
-                small, large = sorted((len(x), len(y)))
-                if small < least * large:
-                    keep.append(False)
-                    continue
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-        held = cut(own.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]))
-        side = lambda c: held.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
-
-    return verify
-
-
 def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, tau: int = 7, parts: int = 4) -> DataFrame:
     """The rows of docs without all but the smallest doc_id of each group of copies.
 
@@ -284,7 +318,7 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     """
     held = cut(fingerprints(docs.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, k=1, distinct=True).withColumn("id", F.col("id").cast("long")))
     nodes = cut(held.groupBy("digest").agg(F.min("id").alias("node"), F.min("fp").alias("fp")))
-    roots = cut(link(nodes, tau, parts, _jaccard(docs, doc_id, text, k, similarity)))
+    roots = cut(link(nodes, tau, parts, Similar(docs, doc_id, text, k, similarity)))
     least = roots.groupBy("root").agg(F.min("node").alias("keep"))
     kept = roots.join(least, "root").select("node", "keep")
     stays = nodes.join(kept, "node", "left").where(F.col("keep").isNull() | (F.col("keep") == F.col("node"))).select(F.col("node").alias("_stay"))

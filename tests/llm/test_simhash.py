@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 from sylva.llm.components import components
-from sylva.llm.simhash import allocate, clusters, fingerprint, fingerprints, near_dedup, op8_simhash_dedup, shingles
+from sylva.llm.simhash import Similar, allocate, clusters, fingerprint, fingerprints, near_dedup, op8_simhash_dedup, shingles
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,6 +115,44 @@ def test_near_dedup_against_all_pairs(spark):
     assert {r["doc_id"] for r in got.collect()} == want and len(want) < len(texts)
 
 
+def test_sketches_lose_no_link(spark):
+    """Of a group of near copies around 0.8, the sketches keep every similar pair and leave out most others."""
+    rnd = random.Random(4)
+    base, texts = prose(rnd, 150), []
+    for _ in range(120):
+        copy = list(base)
+        for _ in range(rnd.randrange(8)):
+            copy[rnd.randrange(len(copy))] = rnd.choice(VOCABULARY)
+        texts.append(copy)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    check = Similar(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), "doc_id", "text", 5, 0.8)
+    table = spark.createDataFrame(pairs, "a long, b long")
+    held = check.sets(table)
+    side = lambda c: held.select(held["id"].alias(c), held["sketch"].alias(f"k{c}"))
+    may = {(r["a"], r["b"]) for r in table.join(side("a"), "a").join(side("b"), "b").where(check.may("ka", "kb")).collect()}
+    assert similar <= may and len(may) < len(similar) + (len(pairs) - len(similar)) / 3
+    assert {(r["a"], r["b"]) for r in check.keep(table, held).collect()} == similar
+
+
+def test_near_dedup_group_around_the_threshold(spark):
+    """A crowded group of near copies, many of them below 0.8 to most others, gives the same documents as all pairs."""
+    rnd = random.Random(5)
+    base, texts = prose(rnd, 400), []
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rnd.randrange(14)):
+            copy[rnd.randrange(len(copy))] = rnd.choice(VOCABULARY)
+        texts.append(" ".join(copy))
+    sets = [set(shingles(t, 5)) for t in texts]
+    prints = [fingerprint(list(set(shingles(t, 1)))) for t in texts]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = {i for i, least in linked(range(len(texts)), near).items() if i == least}
+    got = near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == want and 1 < len(want) < len(texts)
+
+
 def test_near_dedup_defined_results(spark):
     rows = [(1, None), (2, ""), (3, "  "), (4, "same words here"), (5, "SAME words\there"), (5, "same words here"), (6, "other words there"), (6, "other words there"), (None, "same words here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
