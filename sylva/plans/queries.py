@@ -189,12 +189,12 @@ def q20_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {REACH} SELECT node AS id FROM reach WHERE node = ancestor")
 def q21_on_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.on_cycle(G.ancestors(B.part_edges(spark, sf_dir), None))
+    return G.cyclic_components(B.part_edges(spark, sf_dir)).select("id")
 
 
 @query(f"WITH RECURSIVE {REACH} SELECT a.node AS id, min(a.ancestor) AS component FROM reach a JOIN reach b ON a.node = b.ancestor AND a.ancestor = b.node GROUP BY 1")
 def q22_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.strong_components(G.ancestors(B.part_edges(spark, sf_dir), None))
+    return G.cyclic_components(B.part_edges(spark, sf_dir))
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -296,7 +296,7 @@ def q33_impact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {REACH}, c AS (SELECT DISTINCT node AS id FROM reach WHERE node = ancestor) SELECT 'INS-CYCL-001' AS insight_id, 'Found ' || count(*) || ' cycles.' AS description, array_to_string(list_sort(list(id))[1:3], ',') AS evidence FROM c HAVING count(*) > 0")
 def q34_cycle_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.dependency(G.on_cycle(G.ancestors(B.part_edges(spark, sf_dir), None)))
+    found = N.dependency(G.cyclic_components(B.part_edges(spark, sf_dir)))
     return found.select("insight_id", "description", F.array_join("evidence", ",").alias("evidence"))
 
 

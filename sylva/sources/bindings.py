@@ -33,9 +33,9 @@ def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.concat(parent, F.lit("/"), "c_name").alias("rel_path"), parent.alias("parent_path"), F.col("c_name").alias("name"), F.coalesce("size_bytes", F.lit(0).cast("long")).alias("size_bytes"))
 
 
-def part_edges(spark: SparkSession, sf_dir: str, modulus: int = 50) -> DataFrame:
-    """Parts that follow each other in some orders, as imports (source, target) between file ids."""
-    items = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % modulus == 0)
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that follow each other in an order, as imports (source, target) between file ids."""
+    items = table(spark, sf_dir, "lineitem")
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     pairs = items.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(by).alias("b")).where("b is not null").distinct()
     name = lambda c: P.node_id("file", F.concat(F.lit("p"), F.col(c).cast("string"), F.lit(".py")))
@@ -47,9 +47,9 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(P.node_id("file", rel).alias("id"), rel.alias("rel_path"), F.when(F.col("p_size") % 7 == 0, "test").otherwise("module").alias("layer"))
 
 
-def part_sources(spark: SparkSession, sf_dir: str, modulus: int = 50) -> DataFrame:
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as source files whose text imports the parts that follow them, a line each, in order."""
-    edges = part_edges(spark, sf_dir, modulus)
+    edges = part_edges(spark, sf_dir)
     line = F.concat(F.lit("import "), F.regexp_replace(F.regexp_replace("target", "^fs:file:", ""), "\\.py$", ""))
     texts = edges.groupBy(F.col("source").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("content"))
     files = part_files(spark, sf_dir)
