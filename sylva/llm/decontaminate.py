@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import byte_slices, read
 
 Q, WINDOW, EDITS, SHORTEST = 8, 96, 0.08, 24
+#: Bytes from one window's start to the next; a passage between two of them is half as far from the nearer, within the edits.
+STEP = 8
 #: Benchmark text that one pass over the documents takes; more is taken in several passes.
-PASS_BYTES = 16 << 20
+PASS_BYTES = 5 << 19
 _FOLD = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
 _MIX, _BITS, _GAP = np.uint64(0x9E3779B97F4A7C15), 22, b"\x00" * Q
 
@@ -61,7 +63,7 @@ class Windows:
             data = folded(text).strip()
             if len(data) >= SHORTEST:
                 last = max(0, len(data) - window)
-                for at in sorted({*range(0, last + 1, max(1, window // 2)), last}):
+                for at in sorted({*range(0, last + 1, STEP), last}):
                     self.item.append(key)
                     self.start.append(at)
                     self.text.append(data[at : at + window])
@@ -136,7 +138,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     """(doc_id, item_id, n_windows, edits, first_byte, last_byte), a row for each document that holds a passage of an item.
 
     A passage is a window of 96 bytes of the item (all of a shorter one) with at most 8 % edits; case and kinds of white
-    space do not count. edits is the fewest of its windows, first_byte and last_byte are about what they cover,
+    space do not count. Windows start every 8 bytes: of a longer item 96 bytes in a row are found wherever they start, as
+    long as their edits and the up to 4 bytes to the nearest window are at most 7, and 103 bytes with up to 7 edits always.
+    edits is the fewest of its windows, first_byte and last_byte are about what they cover,
     in bytes of the lowered text.
     Null and empty texts hold nothing. Items under 24 bytes are too short to tell and are left out, as are null ones.
     Repeated rows of docs come back each; an empty benchmark finds nothing.

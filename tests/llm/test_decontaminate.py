@@ -37,6 +37,17 @@ def test_same_as_plain_alignment():
     assert got == want and want
 
 
+def test_excerpts_at_any_offset():
+    item = prose(80)
+    data = folded(item)
+    w = Windows([(0, item)], 96, 0.08)
+    before, after = folded(prose(12) + " "), folded(" " + prose(12))
+    texts = [before + data[at : at + n] + after for n in (96, 103, 120) for at in range(len(data) - n)]
+    assert {d for d, *_ in w.find(texts)} == set(range(len(texts)))
+    texts = [before + data[at : at + 20] + b"#" + data[at + 21 : at + 60] + b"##" + data[at + 62 : at + 100] + b"#" + data[at + 100 : at + 103] + after for at in range(len(data) - 103)]
+    assert {d for d, *_ in w.find(texts)} == set(range(len(texts)))
+
+
 def test_last_text_and_short_texts():
     item = prose(12)[:40]
     texts = [folded(item)] * 5 + [b""] * 3 + [folded(item)]
