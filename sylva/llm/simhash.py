@@ -13,6 +13,11 @@ Where links are verified on sets of shingles, all that came within reach of a le
 the parities of how many shingles fall on each of SKETCH bits. Two sketches differ in no more bits than the sets have
 elements of their own, so a pair whose sketches differ in more than the similarity allows is no link, and the join of a
 crowded value passes over it.
+
+A fingerprint of words says little of how many shingles two texts share if an edit brings new words in one block or the
+texts are short. Where links are verified, texts therefore also meet by bands: BANDS values, each of the least hashes of the
+set of shingles under ROWS functions. A pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS, whatever
+the edit and the length. Bands are values like those of the parts, but for the distance that they do not ask for.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +41,8 @@ CROWDED, LEADERS = 12, 3
 BROADCAST_KEYS = 50_000
 #: Bits of a sketch, in words of 64.
 SKETCH = 1_024
+#: Bands of a set of shingles and least hashes in each: a pair at 0.8 is met with probability 0.9996. Keys have BAND set.
+BANDS, ROWS, BAND = 20, 5, 1 << 62
 #: What a probe costs beside a candidate, and the largest threshold of a part.
 PROBE_COST, MOST_T = 0.3, 3
 
@@ -60,20 +68,42 @@ def fingerprint(features: list[bytes]) -> int:
     return int(np.packbits(2 * count > len(features)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, distinct: bool = False) -> DataFrame:
-    """(id, fp, digest: 16 bytes of the words in order) of each row; distinct: every feature counts once."""
+_DRAWN = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * ROWS), np.int64).astype(np.uint64)
+_FACTOR, _SHIFT = (_DRAWN[0] | np.uint64(1))[:, None], _DRAWN[1][:, None]
+
+
+def bands(features: list[bytes]) -> list[int]:
+    """The values of the bands of a set of features; none without features."""
+    if not features:
+        return []
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    h = xxhash.xxh64_intdigest
+    for at in range(0, len(features), 1 << 12):
+        part = features[at : at + (1 << 12)]
+        hashes = np.fromiter((h(x) for x in part), np.uint64, len(part))
+        least = np.minimum(least, (hashes * _FACTOR + _SHIFT).min(axis=1))
+    return [h(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) % BAND + BAND for i in range(BANDS)]
+
+
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, distinct: bool = False, banded: int = 0) -> DataFrame:
+    """(id, fp, digest: 16 bytes of the words in order) of each row; distinct: every feature counts once.
+
+    banded: also bands, those of the set of shingles of so many words."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, "text"):
-            fps, digests = [], []
+            fps, digests, keys = [], [], []
             for t in b.column("text").to_pylist():
                 f = shingles(t, k)
                 fps.append(fingerprint(list(set(f)) if distinct else f))
                 digests.append(xxhash.xxh128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split())))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64()), pa.array(digests, pa.binary())], ["id", "fp", "digest"])
+                if banded:
+                    keys.append(bands(shingles(t, banded)))
+            more = [pa.array(keys, pa.list_(pa.int64()))] if banded else []
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64()), pa.array(digests, pa.binary()), *more], ["id", "fp", "digest", "bands"][: 3 + len(more)])
 
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp long, digest binary")
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp long, digest binary" + ", bands array<long>" * bool(banded))
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -232,9 +262,10 @@ class Similar:
 
 
 def entries(nodes: DataFrame, plan: Plan, probes: bool) -> DataFrame:
-    """(key, node, fp, comp) of nodes (node, fp, comp), with the nodes' sketch if they have that column."""
+    """(key, node, fp, comp) of nodes (node, fp, comp), with the nodes' sketch if they have that column; of bands too."""
     names = [c for c in ("node", "fp", "comp", "sketch") if c in nodes.columns]
     step = 500 if "sketch" in names else 2_000
+    also = ["bands"] if "bands" in nodes.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -242,22 +273,28 @@ def entries(nodes: DataFrame, plan: Plan, probes: bool) -> DataFrame:
                 b = whole.slice(at, step)
                 for keys, rows in plan.entries(_bits(b.column("fp").to_numpy()), probes):
                     yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(c).take(pa.array(rows)) for c in names)], ["key", *names])
+                if also:
+                    rows = pc.list_parent_indices(b.column("bands"))
+                    yield pa.RecordBatch.from_arrays([pc.list_flatten(b.column("bands")), *(b.column(c).take(rows) for c in names)], ["key", *names])
 
     kinds = {"sketch": "array<long>"}
-    return nodes.select(*names).mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in ["key", *names]))
+    return nodes.select(*names, *also).mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in ["key", *names]))
 
 
 def link(nodes: DataFrame, tau: int, parts: int, verify: Similar | None = None) -> DataFrame:
     """(node, root) of the nodes (node long, fp long) linked within tau bits and, if verify is given, found similar by it.
 
+    Nodes may have bands, further values at which they meet at any distance; then verify has to be given.
     Nodes without a link do not come back. An empty table gives an empty one. Entries are made anew for each use, from
     a row of a few numbers for each node, and are not kept; probes are shuffled once.
     """
     if not parts - 1 <= tau <= parts * (MOST_T + 1) - 1:
         raise ValueError("tau needs thresholds between -1 and 3 on these parts")
     plan = Plan(nodes, tau, parts)
-    alone = nodes.select("node", "fp", F.col("node").alias("comp"))
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= tau
+    banded = [c for c in ("bands",) if c in nodes.columns]
+    alone = nodes.select("node", "fp", F.col("node").alias("comp"), *banded)
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= tau
+    near = (lambda x, y: close(x, y) | (F.col("key") >= BAND)) if banded else close
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     first = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node", "fp")).alias(f"l{s}") for s in range(LEADERS)]
     crowded = cut(entries(alone, plan, False).groupBy("key").agg(F.count("*").alias("n"), *first).where(F.col("n") >= CROWDED))
@@ -270,7 +307,7 @@ def link(nodes: DataFrame, tau: int, parts: int, verify: Similar | None = None)
     held = verify.sets(met) if verify else None
     sure = cut(verify.keep(met, held)) if verify else met
     known = cut(components(sure))
-    grown = nodes.join(known, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp"))
+    grown = nodes.join(known, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp"), *banded)
     grown = cut(grown.join(held.select(F.col("id").alias("node"), "sketch"), "node", "left") if verify else grown)
     heads = cut(crowded.select(F.col("l0.node").alias("node"), "key").join(known, "node", "left").select("key", F.coalesce("root", "node").alias("head")))
 
@@ -313,11 +350,12 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     """The rows of docs without all but the smallest doc_id of each group of copies.
 
     Texts with the same words in order are copies. So are those whose fingerprints of distinct words differ in at most
-    tau bits and whose sets of k-word shingles have at least the given similarity; groups are what such links connect.
+    tau bits, or whose sets of shingles share a band, and whose sets of k-word shingles have at least the given similarity;
+    groups are what such links connect.
     Null, empty and wordless texts are copies of each other. Of repeated rows one stays; rows with a null id all stay.
     """
-    held = cut(fingerprints(docs.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, k=1, distinct=True).withColumn("id", F.col("id").cast("long")))
-    nodes = cut(held.groupBy("digest").agg(F.min("id").alias("node"), F.min("fp").alias("fp")))
+    held = cut(fingerprints(docs.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, k=1, distinct=True, banded=k).withColumn("id", F.col("id").cast("long")))
+    nodes = cut(held.groupBy("digest").agg(F.min("id").alias("node"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     roots = cut(link(nodes, tau, parts, Similar(docs, doc_id, text, k, similarity)))
     least = roots.groupBy("root").agg(F.min("node").alias("keep"))
     kept = roots.join(least, "root").select("node", "keep")

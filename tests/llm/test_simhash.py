@@ -171,3 +171,32 @@ def test_components(spark, native):
     assert set(got) == set(ids)
     assert {(got[i], got[j]) for i in ids for j in ids if got[i] == got[j]} and all((got[i] == got[j]) == (want[i] == want[j]) for i in ids for j in ids)
     assert components(spark.createDataFrame([], "a long, b long"), native).count() == 0
+
+
+def _copies(kind, words, new):
+    n = len(words)
+    if kind == "appended":
+        return words + new(max(1, n // 5 - 1))
+    if kind == "cut":
+        return words[: -max(1, n * 15 // 100)]
+    if kind == "block":
+        at, m = n // 3, max(1, n * 9 // 100)
+        return words[:at] + new(m) + words[at + m :]
+    return words[: n - 1] + new(1)
+
+
+@pytest.mark.parametrize("kind,lengths", [("appended", (120, 400)), ("cut", (120, 400)), ("block", (120, 400)), ("last word", (16, 40))])
+def test_near_copies_by_kind_of_edit(spark, kind, lengths):
+    r = random.Random(kind)
+    new = lambda n: ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(3, 9))) for _ in range(n)]
+    rows = []
+    for i in range(0, 400, 2):
+        words = new(r.randint(*lengths))
+        rows += [(i, " ".join(words)), (i + 1, " ".join(_copies(kind, words, new)))]
+    alike = 0
+    for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True):
+        x, y = set(shingles(a, 5)), set(shingles(b, 5))
+        alike += len(x & y) >= 0.8 * len(x | y)
+    assert alike > 150
+    kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert kept - (len(rows) - alike) <= 1
