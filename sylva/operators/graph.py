@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from functools import reduce
+from typing import Any
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,7 +17,8 @@ from ..plans.lineage import cut
 #: Siblings that a folder is tied to, and the hops that reverse reachability goes.
 NEXT_SIBLINGS, HOPS = 10, 51
 META = ["depth", "layer", "file_count", "subfolder_count", "weight_score", "entropy_contribution", "nesting_chain", "path_length", "extension", "size_bytes", "impact_ratio", "is_entry_point"]
-EDGE = "source string, target string, relation string, confidence string, meta struct<line: int, statement: string>"
+#: Longs of 64 bits in a row of the reachability's state.
+WORDS = 16
 
 
 def nodes(folders: DataFrame, files: DataFrame, impact: DataFrame | None = None) -> DataFrame:
@@ -64,93 +65,49 @@ def inbound(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("inbound"))
 
 
-def ancestors(imports: DataFrame, hops: int | None = HOPS) -> DataFrame:
-    """(node, ancestor, hops): who reaches node over reversed edges, itself if it lies on a cycle, at least hops.
+def _bits(nodes: DataFrame) -> DataFrame:
+    """(id, block, word, bit) of nodes (id): a place of its own for each, 64 * WORDS of them in a block.
 
-    Min-plus squaring: after round k distances up to 2^k are right, so few rounds do. Without a limit it goes on until
-    no pair is new.
+    Blocks are dealt by hash; what overflows one goes to a further block of that hash, so none is too large.
     """
-    step = imports.select(F.col("target").alias("node"), F.col("source").alias("ancestor")).distinct()
-    reach, exact, size = cut(step.withColumn("hops", F.lit(1))), 1, None
-    while hops is None or exact < hops:
-        left = reach.select("node", F.col("ancestor").alias("via"), F.col("hops").alias("h1"))
-        right = reach.select(F.col("node").alias("via"), "ancestor", F.col("hops").alias("h2"))
-        longer = left.join(right, "via").select("node", "ancestor", (F.col("h1") + F.col("h2")).alias("hops"))
-        longer = longer if hops is None else longer.where(F.col("hops") <= hops)
-        reach, exact = cut(reach.union(longer).groupBy("node", "ancestor").agg(F.min("hops").alias("hops"))), exact * 2
-        now = reach.count()
-        if now == size and hops is None:
-            break
-        if now == size and exact >= 2:
-            break
-        size = now
-    return reach
-
-
-def ancestors_by_frontier(imports: DataFrame, hops: int = HOPS) -> DataFrame:
-    """The same pairs by one join a hop; less memory, more jobs."""
-    step = cut(imports.select("source", "target").distinct())
-    front = cut(step.select(F.col("target").alias("node"), F.col("source").alias("ancestor"), F.lit(1).alias("hops")))
-    seen = front
-    for h in range(2, hops + 1):
-        more = front.join(step, front["ancestor"] == step["target"]).select("node", F.col("source").alias("ancestor")).distinct()
-        front = cut(more.join(seen, ["node", "ancestor"], "left_anti").withColumn("hops", F.lit(h)))
-        if front.isEmpty():
-            break
-        seen = cut(seen.union(front))
-    return seen
-
-
-def _numbered(imports: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(names in order, sources, targets as places in names) of the distinct imports, sorted by source, on the driver."""
-    held = imports.select("source", "target").distinct().toArrow().combine_chunks()
-    ends = [pa.concat_arrays(held.column(c).chunks) if held.num_rows else pa.array([], pa.string()) for c in ("source", "target")]
-    names = pc.unique(pa.concat_arrays(ends))
-    names = names.take(pc.sort_indices(names))
-    a, b = (pc.index_in(e, names).to_numpy(zero_copy_only=False).astype(np.int32) for e in ends)
-    order = np.argsort(a, kind="stable")
-    return names, a[order], b[order]
-
-
-def _reach_counts(seeds: np.ndarray, n: int, sources: np.ndarray, targets: np.ndarray, hops: int | None) -> np.ndarray:
-    """How many of n nodes reach each seed within hops; a bit for each seed in the rows of all nodes, a frontier a hop."""
-    own, starts = np.unique(sources, return_index=True)
-    seen, front = np.zeros((n, -(-len(seeds) // 64)), np.uint64), np.zeros((n, -(-len(seeds) // 64)), np.uint64)
-    at = np.arange(len(seeds))
-    front[seeds, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
-    hop = 0
-    while (hops is None or hop < hops) and len(own):
-        new = np.zeros_like(front)
-        new[own] = np.bitwise_or.reduceat(front[targets], starts, axis=0) & ~seen[own]
-        if not new.any():
-            break
-        seen |= new
-        front, hop = new, hop + 1
-    total = np.zeros(seen.shape[1] * 64, np.int64)
-    for lo in range(0, n, 1 << 16):
-        total += np.unpackbits(seen[lo : lo + (1 << 16)].astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return total[: len(seeds)]
+    size = 64 * WORDS
+    deal = max(1, -(-nodes.count() * 10 // (size * 9)))
+    own = nodes.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(deal)))
+    at = F.row_number().over(Window.partitionBy("_b").orderBy("id")) - 1
+    own = own.withColumn("_at", at).withColumn("block", F.col("_b") + F.floor(F.col("_at") / size) * deal)
+    place = F.col("_at") % size
+    return own.select("id", "block", F.floor(place / 64).cast("int").alias("word"), (place % 64).cast("int").alias("bit"))
 
 
 def reach_counts(imports: DataFrame, hops: int | None = HOPS) -> DataFrame:
-    """(id, transitive_impact): how many ancestors() has of each node, without making the pairs.
+    """(id, transitive_impact): how many nodes reach each node within hops, itself if it lies on a cycle.
 
-    The numbered edges are broadcast, 8 bytes each and the names; a task takes blocks of nodes through the whole graph.
+    A bit stands for an ancestor; a row holds a node's bits of one block. Each round moves the new bits along all edges,
+    merges them by bit_or (partly before the shuffle) and keeps those not yet seen. No pair of nodes is ever a row, and
+    neither the graph nor a node's ancestors are gathered: rows are nodes times blocks of 1,024 ancestors. Nodes that
+    nothing reaches do not come back.
     """
-    spark = imports.sparkSession
-    names, sources, targets = _numbered(imports)
-    wanted, size = np.unique(targets), 64 * max(1, min(8, (8 << 20) // max(1, len(targets))))
-    shared, blocks = spark.sparkContext.broadcast((names, sources, targets, wanted)), -(-len(wanted) // size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sources, targets, wanted = shared.value
-        for b in batches:
-            for block in b.column("id").to_pylist():
-                seeds = wanted[block * size : (block + 1) * size]
-                counts = _reach_counts(seeds, len(names), sources, targets, hops)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(seeds)), pa.array(counts)], ["id", "transitive_impact"])
-
-    return spark.range(0, blocks, 1, max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "id string, transitive_impact long")
+    edges = cut(imports.select("source", "target").dropna().distinct())
+    places = _bits(edges.select(F.col("source").alias("id")).distinct())
+    new, old = [f"w{i}" for i in range(WORDS)], [f"s{i}" for i in range(WORDS)]
+    one = lambda i: F.when(F.col("word") == i, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    placed = edges.join(places, edges["source"] == places["id"])
+    first = placed.select(F.col("target").alias("node"), "block", *[one(i).alias(w) for i, w in enumerate(new)])
+    merge = lambda df, cols: df.groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in cols])
+    state = cut(merge(first, new).select("node", "block", *new, *[zero.alias(s) for s in old]))
+    hop = 1
+    while hops is None or hop < hops:
+        front = state.where(reduce(lambda a, b: a | b, [F.col(w) != 0 for w in new]))
+        if front.isEmpty():
+            break
+        moved = front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node"), "block", *new, *[zero.alias(s) for s in old])
+        seen = state.select("node", "block", *[zero.alias(w) for w in new], *[F.col(s).bitwiseOR(F.col(w)).alias(s) for w, s in zip(new, old, strict=True)])
+        fresh = [F.col(w).bitwiseAND(F.bitwise_not(F.col(s))).alias(w) for w, s in zip(new, old, strict=True)]
+        state = cut(merge(moved.union(seen), [*new, *old]).select("node", "block", *fresh, *old))
+        hop += 1
+    held = sum((F.bit_count(F.col(w).bitwiseOR(F.col(s))) for w, s in zip(new, old, strict=True)), F.lit(0))
+    return state.groupBy(F.col("node").alias("id")).agg(F.sum(held).cast("long").alias("transitive_impact"))
 
 
 def impact(files: DataFrame, imports: DataFrame, hops: int = HOPS) -> DataFrame:
@@ -164,108 +121,154 @@ def impact(files: DataFrame, imports: DataFrame, hops: int = HOPS) -> DataFrame:
     return out.select("id", F.coalesce("inbound", zero).alias("direct_impact"), moved.alias("transitive_impact"), F.when(F.col("total") > 0, moved / F.col("total")).otherwise(0.0).alias("impact_ratio"), F.col("inbound").isNull().alias("is_entry_point"))
 
 
-def on_cycle(reach: DataFrame) -> DataFrame:
-    return reach.where("node = ancestor").select(F.col("node").alias("id")).distinct()
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges without those at nodes that nothing enters or leaves: what may lie on a cycle or between two."""
+    size, live = -1, edges
+    while (n := live.count()) not in (size, 0):
+        size = n
+        entered = live.select(F.col("target").alias("source")).distinct()
+        live = live.join(entered, "source", "left_semi")
+        left = live.select(F.col("source").alias("target")).distinct()
+        live = cut(live.join(left, "target", "left_semi").select("source", "target"))
+    return live
+
+
+def _coloured(edges: DataFrame, turn: int) -> DataFrame:
+    """(id, colour): of all nodes that reach a node, itself among them, the one of least rank in this turn."""
+    rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("v"))
+    ends = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+    state = cut(ends.select("id", rank.alias("c"), F.lit(True).alias("fresh")))
+    while not state.where("fresh").isEmpty():
+        moved = state.where("fresh").join(edges, F.col("id") == F.col("source")).select(F.col("target").alias("id"), "c", F.lit(None).cast(rank_type(state)).alias("was"))
+        both = state.select("id", "c", F.col("c").alias("was")).union(moved)
+        state = cut(both.groupBy("id").agg(F.min("c").alias("c"), F.min("was").alias("was")).select("id", "c", (F.col("c") < F.col("was")).alias("fresh")))
+    return state.select("id", F.col("c.v").alias("colour"))
+
+
+def rank_type(state: DataFrame) -> str:
+    return state.schema["c"].dataType.simpleString()
 
 
-def strong_components(reach: DataFrame) -> DataFrame:
-    """(id, component: its smallest member) of the nodes on cycles, by mutual reachability."""
-    both = reach.select("node", "ancestor").join(reach.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node")), ["node", "ancestor"])
-    return both.groupBy(F.col("node").alias("id")).agg(F.min("ancestor").alias("component"))
+def _reaching(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, colour) of all that reach the root of their colour over edges (source, target, colour) of one colour each."""
+    state = cut(roots.select(F.col("colour").alias("id"), "colour", F.lit(True).alias("fresh")))
+    while not state.where("fresh").isEmpty():
+        moved = state.where("fresh").join(edges.withColumnRenamed("colour", "_c"), (F.col("id") == F.col("target")) & (F.col("colour") == F.col("_c")))
+        both = state.select("id", "colour", F.lit(1).alias("old")).union(moved.select(F.col("source").alias("id"), "colour", F.lit(0)))
+        state = cut(both.groupBy("id", "colour").agg((F.max("old") == 0).alias("fresh")))
+    return state.select("id", "colour")
 
 
 def cyclic_components(imports: DataFrame) -> DataFrame:
-    """The same as strong_components(ancestors(imports, None)) in time linear in the edges, on the driver, without pairs."""
-    names, sources, targets = _numbered(imports)
-    n = len(names)
-    first, after = np.searchsorted(sources, np.arange(n + 1)).tolist(), targets.tolist()
-    number, low, held, stack, found, at = [-1] * n, [0] * n, [False] * n, [], [], 0
-    loops = set(sources[sources == targets].tolist())
-    for start in range(n):
-        if number[start] >= 0:
-            continue
-        path = [(start, first[start])]
-        while path:
-            v, i = path.pop()
-            if number[v] < 0:
-                number[v] = low[v] = at
-                at += 1
-                stack.append(v)
-                held[v] = True
-            while i < first[v + 1]:
-                w = after[i]
-                i += 1
-                if number[w] < 0:
-                    path += [(v, i), (w, first[w])]
-                    break
-                if held[w]:
-                    low[v] = min(low[v], number[w])
-            else:
-                if low[v] == number[v]:
-                    cut_at = len(stack) - 1
-                    while stack[cut_at] != v:
-                        cut_at -= 1
-                    own = stack[cut_at:]
-                    del stack[cut_at:]
-                    for w in own:
-                        held[w] = False
-                    if len(own) > 1 or v in loops:
-                        least = min(own)
-                        found += [(w, least) for w in own]
-                if path:
-                    low[path[-1][0]] = min(low[path[-1][0]], low[v])
-    ids, roots = (names.take(pa.array([f[c] for f in found], pa.int32())) for c in (0, 1))
-    return imports.sparkSession.createDataFrame(pa.table({"id": ids.cast(pa.string()), "component": roots.cast(pa.string())}))
-
-
-def cycles(edges: Iterable[tuple[str, str]]) -> list[list[str]]:
-    """A cycle for each back edge of a depth-first walk in sorted order, for a graph that fits the driver (checked)."""
-    edges = list(edges)
-    if len(edges) > 100_000:
-        raise ValueError("too many edges for the driver; use strong_components")
-    after: dict[str, list[str]] = {}
-    for a, b in sorted(edges):
-        after.setdefault(a, []).append(b)
-        after.setdefault(b, [])
-    done, out = set(), []
-    for start in sorted(after):
-        if start in done:
-            continue
-        path, place, stack = [start], {start: 0}, [iter(after[start])]
-        while stack:
-            for b in stack[-1]:
-                if b in place:
-                    out.append([*path[place[b] :], b])
-                elif b not in done:
-                    place[b] = len(path)
-                    path.append(b)
-                    stack.append(iter(after[b]))
-                    break
-            else:
-                stack.pop()
-                gone = path.pop()
-                del place[gone]
-                done.add(gone)
-    return out
-
-
-def merge_nodes(old: DataFrame, new: DataFrame, meta: list[str]) -> DataFrame:
-    """Full outer by id: what both have keeps its label, type and source and takes the new metadata that is not null."""
-    a, b = old.alias("a"), new.alias("b")
-    pick = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in old.columns if c not in meta]
-    pick += [F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in meta]
-    state = F.when(F.col("a.id").isNull(), "new").when(F.col("b.id").isNull(), "kept").otherwise("updated")
-    return a.join(b, F.col("a.id") == F.col("b.id"), "full_outer").select(*pick, state.alias("merge_state"))
-
-
-def merge_edges(old: DataFrame, new: DataFrame, ids: DataFrame) -> DataFrame:
-    """old and, for each key (source, target, relation) that it lacks, one of new whose ends are nodes."""
-    key = ["source", "target", "relation"]
-    fresh = new.dropDuplicates(key).join(old.select(*key), key, "left_anti")
+    """(id, component: its smallest member) of the nodes on cycles.
+
+    Strong components by trimming and colouring: every node takes the colour of the least-ranked node that reaches it, and
+    what also reaches that node is its component. Ranks are drawn anew each turn, edges between colours go, so the turns
+    grow with the logarithm of the components; a turn takes as many rounds as the graph is deep. All of it is joins and
+    partial minima over edges; nothing is gathered.
+    """
+    edges = cut(imports.select("source", "target").dropna().distinct())
+    loops = edges.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component"))
+    live, found, turn = _trimmed(edges.where("source <> target")), [], 0
+    while not live.isEmpty():
+        colours = _coloured(live, turn)
+        one, two = colours.toDF("source", "colour"), colours.toDF("target", "_c")
+        same = cut(live.join(one, "source").join(two, "target").where(F.col("colour") == F.col("_c")).select("source", "target", "colour"))
+        members = _reaching(same, colours.where(F.col("id") == F.col("colour")).select("colour"))
+        found.append(members)
+        gone = members.select("id")
+        rest = same.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
+        live, turn = _trimmed(rest.select("source", "target")), turn + 1
+    if not found:
+        return loops
+    named = reduce(DataFrame.union, [m.withColumn("turn", F.lit(i)) for i, m in enumerate(found)])
+    groups = named.groupBy("turn", "colour").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    held = cut(named.join(groups, ["turn", "colour"]).select("id", "component"))
+    return held.union(loops.join(held, "id", "left_anti"))
+
+
+def cycles(imports: DataFrame) -> DataFrame:
+    """(cycle: its nodes, the first again at the end): one for each edge that closes a cycle of its component's tree.
+
+    The tree of a component holds the shortest paths from its smallest member, of several the first in order; an edge from
+    a node to one on that node's path closes a cycle. So each cycle's first node is its nearest to that member, every
+    component has a cycle, and one that is a mere ring has exactly itself.
+    """
+    edges = cut(imports.select("source", "target").dropna().distinct())
+    members = cut(cyclic_components(edges))
+    one, two = members.toDF("source", "component"), members.toDF("target", "_c")
+    inner = cut(edges.join(one, "source").join(two, "target").where(F.col("component") == F.col("_c")).select("source", "target"))
+    front = members.where(F.col("id") == F.col("component")).select("id", F.array("id").alias("path"))
+    seen = front = cut(front)
+    while not front.isEmpty():
+        moved = front.join(inner, F.col("id") == F.col("source")).select(F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"))
+        front = cut(moved.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"))
+        seen = seen.union(front)
+    closing = inner.join(seen, F.col("source") == F.col("id")).where(F.array_contains("path", F.col("target")))
+    at = F.array_position("path", F.col("target")).cast("int")
+    return closing.select(F.concat(F.slice("path", at, F.size("path")), F.array("target")).alias("cycle"))
+
+
+# Merging two graphs
+
+
+def meta_map(meta: Column, names: list[str]) -> Column:
+    """A flat struct of metadata as a map from name to JSON value, without its nulls."""
+    text = lambda n: F.regexp_replace(F.to_json(F.array(meta[n])), r"(?s)^\[|\]$", "")
+    return F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.when(meta[n].isNotNull(), text(n)))]), lambda _, v: v.isNotNull())
+
+
+def merge_nodes(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Nodes (id, other columns, physical_meta: map from dotted path to JSON value) of both, with merge_state and repeats.
+
+    A node of old keeps its columns and takes the metadata of the new ones of its id, path by path and in the given order;
+    a value replaces what stands at its path, below it, or above it, and a JSON null is a value. Of the new ones of an
+    unknown id the first is the node. Nodes without an id are left out. merge_state is kept, updated or new; repeats
+    counts the new rows that changed a node. Rows of one id are never gathered: only the last value of each path is.
+    """
+    columns = [c for c in old.columns if c != "physical_meta"]
+    at = F.col(order).cast("long") if order else F.lit(0).cast("long")
+    shape = lambda df, side: df.where("id is not null and id <> ''").select(
+        "id", F.struct(*[c for c in columns if c != "id"]).alias("own"), F.coalesce("physical_meta", F.expr("cast(map() as map<string, string>)")).alias("m"), F.struct(F.lit(side).alias("side"), (at if side else F.lit(0).cast("long")).alias("at")).alias("at")
+    )
+    both = shape(old, 0).union(shape(new, 1))
+    heads = both.groupBy("id").agg(F.min_by("own", "at").alias("own"), F.count_if(F.col("at.side") == 0).alias("had"), F.count_if(F.col("at.side") == 1).alias("came"))
+    leaves = both.select("id", "at", F.explode("m").alias("k", "v")).groupBy("id", "k").agg(F.max(F.struct("at", "v")).alias("x"))
+    held = leaves.groupBy("id").agg(F.collect_list(F.struct(F.col("k"), F.col("x.at").alias("at"), F.col("x.v").alias("v"))).alias("all"))
+    above = lambda a, b: F.startswith(b["k"], F.concat(a["k"], F.lit(".")))
+    stays = lambda a: ~F.exists("all", lambda b: (b["at"] > a["at"]) & (above(a, b) | above(b, a)))
+    kept = F.filter("all", stays)
+    meta = F.map_from_entries(F.transform(F.array_sort(kept), lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value"))))
+    out = heads.join(held.select("id", meta.alias("physical_meta")), "id", "left")
+    state = F.when(F.col("had") == 0, "new").when(F.col("came") == 0, "kept").otherwise("updated")
+    repeats = F.when(F.col("had") > 0, F.col("came")).otherwise(F.col("came") - 1)
+    return out.select(*["id" if c == "id" else f"own.{c}" for c in columns], F.coalesce("physical_meta", F.expr("cast(map() as map<string, string>)")).alias("physical_meta"), state.alias("merge_state"), repeats.alias("repeats"))
+
+
+def merge_edges(old: DataFrame, new: DataFrame, ids: DataFrame, order: str | None = None) -> DataFrame:
+    """old and, for each key (source, target, relation) that it lacks, the first of new whose ends are nodes, with all columns."""
+    key, at = ["source", "target", "relation"], F.col(order) if order else F.lit(0)
+    rest = [c for c in old.columns if c not in key]
+    fresh = new.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])).groupBy(*key).agg(F.min_by(F.struct(*rest), at).alias("_rest")) if rest else new.select(*key).distinct()
+    fresh = fresh.join(old.select(*key), key, "left_anti")
     for end in ("source", "target"):
         fresh = fresh.join(ids.select(F.col("id").alias(end)), end, "left_semi")
-    return old.select(*key).unionByName(fresh.select(*key))
+    return old.unionByName(fresh.select(*key, *[F.col("_rest")[c].alias(c) for c in rest]))
+
+
+@dataclass
+class Merged:
+    nodes: DataFrame
+    edges: DataFrame
+    metadata: dict[str, Any] = field(default_factory=dict)
+    stats: dict[str, int] = field(default_factory=dict)
 
 
-def assign_ids(df: DataFrame, column: str, kind: str) -> DataFrame:
-    return df.withColumn("id", P.node_id(kind, F.col(column)))
+def safe_merge(old: tuple[DataFrame, DataFrame, Mapping[str, Any]], new: tuple[DataFrame, DataFrame, Mapping[str, Any]], order: str | None = None) -> Merged:
+    """Both graphs (nodes, edges, metadata) as one; merging the same again changes nothing but the counters."""
+    nodes = cut(merge_nodes(old[0], new[0], order))
+    edges = cut(merge_edges(old[1], new[1].drop(order) if order and order not in old[1].columns else new[1], nodes))
+    row = nodes.agg(F.count_if(F.col("merge_state") == "new"), F.sum("repeats")).first()
+    added = edges.count() - old[1].count()
+    stats = {"new_nodes": row[0], "updated_nodes": row[1] or 0, "added_edges": added, "skipped_edges": new[1].count() - added}
+    return Merged(nodes.drop("merge_state", "repeats"), edges, {**old[2], **new[2], "merge_report": stats}, stats)

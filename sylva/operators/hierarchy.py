@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..plans.config import LAYER_RULES, WEIGHTS
+from ..plans.lineage import cut
 
 
 def folders_of(fs_files: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def weight(coeffs: Mapping[str, float]) -> Column:
 
 
 def folder_metrics(fs_folders: DataFrame, fs_files: DataFrame, *, root: str = "root", rules: Mapping[str, str] = LAYER_RULES, coeffs: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    counts = counted(fs_folders, fs_files)
+    counts = cut(counted(fs_folders, fs_files))  # read twice, for itself and for its maxima
     rel = F.col("rel_path")
     chain = P.nesting_chain(rel, root)
     return counts.crossJoin(F.broadcast(maxima(counts))).select(  # one row of maxima

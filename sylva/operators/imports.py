@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import paths as P
 
@@ -20,6 +19,8 @@ PATTERNS = {
     ".rb": r"""(?U)^\s*require\s+['"]([^'"]+)['"]()""",
     ".php": r"""(?U)^\s*(?:require|include)\s*['"]([^'"]+)['"]()""",
 }
+#: White space as the lines' own ends and Unicode define it, on both sides.
+AROUND = r"(?U)^[\s\x1C-\x1F\x85]+|[\s\x1C-\x1F\x85]+$"
 LINE_ENDS = r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085  ]"
 
 
@@ -42,7 +43,7 @@ def extract(files: DataFrame) -> DataFrame:
     known = files.where(F.col("extension").isin(*PATTERNS) & F.col("content").isNotNull())
     each = known.select("file_id", "rel_path", "extension", F.posexplode(lines(F.col("content"))).alias("at", "line"))
     found = each.withColumn("raw_target", target(F.col("line"), F.col("extension"))).where("raw_target is not null")
-    return found.select("file_id", "rel_path", (F.col("at") + 1).cast("int").alias("line_number"), F.trim("line").alias("raw_statement"), "raw_target")
+    return found.select("file_id", "rel_path", (F.col("at") + 1).cast("int").alias("line_number"), F.regexp_replace("line", AROUND, "").alias("raw_statement"), "raw_target")
 
 
 def normalised(path: Column) -> Column:
@@ -72,6 +73,6 @@ def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
     return best.select("file_id", "line_number", "raw_statement", "raw_target", F.col("best.path").alias("resolved_path"), F.col("best").isNotNull().alias("is_resolved"))
 
 
-def first_hit(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    by = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+def totals(found: DataFrame) -> DataFrame:
+    """One row (total_imports, resolved_imports) of resolved references."""
+    return found.agg(F.count("*").alias("total_imports"), F.count_if("is_resolved").alias("resolved_imports"))

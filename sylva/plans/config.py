@@ -13,9 +13,10 @@ IGNORE = (".git", "__pycache__", "node_modules", ".venv", "dist", "build")
 LAYER_RULES = {"**/test*": "test", "**/src/**": "core", "**/utils/**": "utility"}
 WEIGHTS = {"density": 0.5, "depth_penalty": 0.3, "centrality": 0.2}
 MAX_FILE_MB = 5.0
-STRUCTURE = {"max_depth": 5, "max_weight": 0.85, "max_flat_files": 10, "entropy_warn": 0.6}
+STRUCTURE = {"max_depth": 5, "folder_weight_god": 0.85, "entropy_warn": 0.6, "flat_folder_files": 10}
 DEPENDENCY = {"cycles_allowed": 0, "unresolved_warn": 5}
 IMPACT = {"impact_hotspot": 0.15, "god_file_impact": 20, "orphan_files_allowed": 5}
+LEGACY = {**STRUCTURE, **IMPACT, "cycles_allowed": 0, "unresolved_import_warn": 5}
 PENALTIES = {"critical": 3.0, "warning": 1.0, "info": 0.1}
 STRICT_PENALTIES = {"critical": 20, "warning": 10, "info": 2}
 

@@ -1,15 +1,36 @@
-"""Cutting lineage in the shared checkpoint folder of the session."""
+"""Cutting lineage in the shared checkpoint folder of the session, and running numbers without one big window."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint that survives lost executors; a temporary folder only where the session names none."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sylva-checkpoint-"))
+    """A checkpoint that survives lost executors, in the session's spark.checkpoint.dir.
+
+    Where none is set, one machine (a local master, as in tests) gets a temporary folder and a cluster an error: each
+    executor would write to a disk of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sylva-checkpoint-"))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Adds the running number of each row, from 1, in the given order, which has to tell all rows apart.
+
+    Ranges are counted side by side and only the sums of ranges are added up in one place.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    starts = starts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return own.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_own")).drop("_part", "_start", "_own")

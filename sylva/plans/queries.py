@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..operators import imports as I
 from ..operators import insights as N
 from ..operators import relational as R
 from ..sources import bindings as B
+from .lineage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,10 +39,16 @@ WIDE = """
 files AS (SELECT replace(r_name, ' ', '_') || '/' || replace(n_name, ' ', '_') || '/' || replace(c_mktsegment, ' ', '_') AS parent_path, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 """
 IMPORTS = """
-seq AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem WHERE l_orderkey % 50 = 0),
+seq AS (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem),
 imports AS (SELECT DISTINCT 'fs:file:p' || a || '.py' AS source, 'fs:file:p' || b || '.py' AS target FROM seq WHERE b IS NOT NULL),
 files AS (SELECT 'fs:file:p' || p_partkey || '.py' AS id, CASE WHEN p_size % 7 = 0 THEN 'test' ELSE 'module' END AS layer FROM part)
 """
+SPARSE = """
+seq AS (SELECT l_partkey AS a, lead(l_partkey) OVER w AS b, lead(l_extendedprice) OVER w AS p FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+ends AS (SELECT a, min({'p': p, 'b': b}).b AS x, max({'p': p, 'b': b}).b AS y FROM seq WHERE b IS NOT NULL GROUP BY 1),
+imports AS (SELECT 'fs:file:p' || a || '.py' AS source, 'fs:file:p' || x || '.py' AS target FROM ends UNION SELECT 'fs:file:p' || a || '.py', 'fs:file:p' || y || '.py' FROM ends),
+files AS (SELECT 'fs:file:p' || p_partkey || '.py' AS id, CASE WHEN p_size % 7 = 0 THEN 'test' ELSE 'module' END AS layer FROM part)
+"""
 REACH = IMPORTS.rstrip() + """,
 reach AS (SELECT target AS node, source AS ancestor FROM imports UNION SELECT r.node, i.source FROM reach r JOIN imports i ON i.target = r.ancestor)
 """
@@ -181,10 +189,9 @@ def q19_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.impact(files, imports).withColumn("impact_ratio", F.round("impact_ratio", 6))
 
 
-@query(f"WITH {IMPORTS} SELECT id FROM files WHERE id NOT IN (SELECT target FROM imports)")
+@query(f"WITH {SPARSE} SELECT id FROM files WHERE id NOT IN (SELECT target FROM imports)")
 def q20_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, imports = _graph(spark, sf_dir)
-    return files.select("id").join(imports.select(F.col("target").alias("id")), "id", "left_anti")
+    return B.part_files(spark, sf_dir).select("id").join(B.part_links(spark, sf_dir).select(F.col("target").alias("id")), "id", "left_anti")
 
 
 @query(f"WITH RECURSIVE {REACH} SELECT node AS id FROM reach WHERE node = ancestor")
@@ -198,54 +205,85 @@ def q22_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Two overlapping graphs: nodes by the part's number, edges by its remainders."""
-    part = B.table(spark, sf_dir, "part")
-    rel = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py"))
-    node = lambda when, label, size: part.where(when).select(P.node_id("file", rel).alias("id"), label.alias("label"), size.alias("size_bytes"))
-    old, new = node("p_partkey % 3 <> 0", F.col("p_name"), F.col("p_size")), node("p_partkey % 2 = 0", F.col("p_brand"), F.when(F.col("p_size") > 10, F.col("p_size") + 100))
-    edges = B.part_edges(spark, sf_dir).withColumn("relation", F.lit("imports"))
-    number = F.regexp_extract("source", "[0-9]+", 0).cast("long")
-    return old, new, edges.where(number % 4 != 0), edges.where(number % 5 != 0)
-
-
-_OLD_NEW = f"""{IMPORTS}, old AS (SELECT 'fs:file:p' || p_partkey || '.py' AS id, p_name AS label, p_size AS size_bytes FROM part WHERE p_partkey % 3 <> 0),
-new AS (SELECT 'fs:file:p' || p_partkey || '.py' AS id, p_brand AS label, CASE WHEN p_size > 10 THEN p_size + 100 END AS size_bytes FROM part WHERE p_partkey % 2 = 0),
-merged AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.label, n.label) AS label, coalesce(n.size_bytes, o.size_bytes) AS size_bytes, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS merge_state FROM old o FULL JOIN new n ON o.id = n.id),
-e AS (SELECT *, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS k FROM imports),
-added AS (SELECT source, target FROM e WHERE k % 5 <> 0 AND k % 4 = 0 AND source IN (SELECT id FROM merged) AND target IN (SELECT id FROM merged))"""
+    """Two overlapping graphs that hold the whole tables together: parts up to size 30 and from 20 on, and edges by their ends."""
+    part = B.table(spark, sf_dir, "part").withColumn("rel", F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py")))
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    some = lambda **kv: F.map_filter(F.create_map(*[x for k, v in kv.items() for x in (F.lit(k.replace("__", ".")), v)]), lambda _, v: v.isNotNull())
+    node = lambda when, label, meta: part.where(when).select(P.node_id("file", F.col("rel")).alias("id"), label.alias("label"), meta.alias("physical_meta"), F.col("p_partkey").alias("ord"))
+    old = node("p_size <= 30", F.col("p_name"), some(size=F.col("p_size").cast("string"), make__brand=text(F.col("p_brand")), make__kind=text(F.col("p_type"))))
+    changed = some(size=F.when(F.col("p_size") > 25, (F.col("p_size") + 100).cast("string")).otherwise("null"), make__kind=F.lit('"new"'), price=F.col("p_retailprice").cast("string"))
+    new = node("p_size >= 20", F.col("p_brand"), changed)
+    numbers = [F.regexp_extract(c, "[0-9]+", 0).cast("long") for c in ("source", "target")]
+    edges = B.part_edges(spark, sf_dir).select("source", "target", F.lit("imports").alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.struct(numbers[0].alias("line")).alias("meta"))
+    again = edges.where(numbers[0] >= numbers[1] - 50).withColumn("confidence", F.lit("INFERRED"))
+    return old, new.union(new.where("ord % 2 = 0")), edges.where(numbers[0] <= numbers[1] + 50), again
+
+
+_OLD_NEW = f"""{IMPORTS}, old AS (SELECT 'fs:file:p' || p_partkey || '.py' AS id, p_name AS label, p_size, p_brand, p_type FROM part WHERE p_size <= 30),
+new AS (SELECT 'fs:file:p' || p_partkey || '.py' AS id, p_brand AS label, p_size, p_retailprice, p_partkey FROM part WHERE p_size >= 20),
+merged AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.label, n.label) AS label,
+  CASE WHEN n.id IS NULL THEN o.p_size::VARCHAR WHEN n.p_size > 25 THEN (n.p_size + 100)::VARCHAR ELSE 'null' END AS size, '"' || o.p_brand || '"' AS brand,
+  CASE WHEN n.id IS NULL THEN '"' || o.p_type || '"' ELSE '"new"' END AS kind, n.p_retailprice AS price,
+  CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS merge_state,
+  CASE WHEN n.id IS NULL THEN 0 ELSE 1 + CASE WHEN n.p_partkey % 2 = 0 THEN 1 ELSE 0 END END - CASE WHEN o.id IS NULL THEN 1 ELSE 0 END AS repeats FROM old o FULL JOIN new n ON o.id = n.id),
+e AS (SELECT *, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS a, CAST(regexp_extract(target, '[0-9]+') AS BIGINT) AS b FROM imports),
+added AS (SELECT * FROM e WHERE a > b + 50 AND source IN (SELECT id FROM merged) AND target IN (SELECT id FROM merged))"""
 
 
 @query(f"WITH {_OLD_NEW} SELECT * FROM merged")
 def q23_merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata path by path: a JSON null overrides, nested values go below their path, repeats of an id update it."""
     old, new, _, _ = _slices(spark, sf_dir)
-    return G.merge_nodes(old, new, ["size_bytes"])
+    at = lambda k: F.col("physical_meta")[k]
+    out = G.merge_nodes(old.drop("ord"), new, "ord")
+    return out.select("id", "label", at("size").alias("size"), at("make.brand").alias("brand"), at("make.kind").alias("kind"), at("price").cast("double").alias("price"), "merge_state", "repeats")
 
 
-@query(f"WITH {_OLD_NEW} SELECT source, target, 'imports' AS relation FROM e WHERE k % 4 <> 0 UNION ALL SELECT source, target, 'imports' FROM added")
+@query(f"WITH {_OLD_NEW} SELECT source, target, 'imports' AS relation, 'EXTRACTED' AS confidence, a AS line FROM e WHERE a <= b + 50 UNION ALL SELECT source, target, 'imports', 'INFERRED', a FROM added")
 def q24_merge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new, one, two = _slices(spark, sf_dir)
-    return G.merge_edges(one, two, G.merge_nodes(old, new, ["size_bytes"]))
+    return G.merge_edges(one, two, G.merge_nodes(old.drop("ord"), new, "ord")).select("source", "target", "relation", "confidence", "meta.line")
 
 
-@query(f"WITH {_OLD_NEW} SELECT merge_state, count(*) AS n FROM merged GROUP BY 1")
+@query(f"WITH {_OLD_NEW} SELECT 'new_nodes' AS counter, count(*) AS n FROM merged WHERE merge_state = 'new' UNION ALL SELECT 'updated_nodes', CAST(sum(repeats) AS BIGINT) FROM merged UNION ALL SELECT 'added_edges', count(*) FROM added UNION ALL SELECT 'skipped_edges', (SELECT count(*) FROM e WHERE a >= b - 50) - (SELECT count(*) FROM added)")
 def q25_merge_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q23_merge_nodes(spark, sf_dir).groupBy("merge_state").agg(F.count("*").alias("n"))
+    old, new, one, two = _slices(spark, sf_dir)
+    merged = G.safe_merge((old.drop("ord"), one, {}), (new, two, {}), "ord")
+    return spark.createDataFrame(list(merged.stats.items()), "counter string, n long")
 
 
-@query(f"WITH {IMPORTS}, n AS (SELECT * FROM files WHERE layer <> 'test') SELECT 'edge source unknown' AS rule, source AS subject FROM imports WHERE source NOT IN (SELECT id FROM n) UNION ALL SELECT 'edge target unknown', target FROM imports WHERE target NOT IN (SELECT id FROM n)")
-def q26_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, imports = _graph(spark, sf_dir)
-    nodes = files.where("layer <> 'test'").select("id", F.col("rel_path").alias("label"), F.lit("physical_file").alias("node_type"))
-    return R.violations(nodes, imports.withColumn("relation", F.lit("imports")).withColumn("confidence", F.lit("EXTRACTED")))
+_BROKEN = f"""{IMPORTS}, n AS (SELECT id, CASE WHEN p_size <> 2 THEN id END AS label, p_size FROM (SELECT CASE WHEN p_size <> 1 THEN 'fs:file:p' || p_partkey || '.py' END AS id, p_size FROM part)),
+n2 AS (SELECT * FROM n UNION ALL SELECT * FROM n WHERE p_size = 5),
+i AS (SELECT source, CASE WHEN CAST(regexp_extract(target, '[0-9]+') AS BIGINT) % 17 <> 0 THEN target ELSE '' END AS target, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS k FROM imports),
+w AS (SELECT * FROM i WHERE target <> '')"""
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    files, imports = _graph(spark, sf_dir)
-    identity = files.select(F.col("id").alias("file_id"), F.col("rel_path").alias("name"), "rel_path", F.lit(0).alias("depth"), "layer", F.lit(".py").alias("extension"), F.lit(1).cast("long").alias("size_bytes"))
-    impact = G.impact(files, imports)
+@query(f"""WITH {_BROKEN} SELECT 'node id missing' AS rule, label AS subject FROM n2 WHERE id IS NULL UNION ALL SELECT 'node label missing', id FROM n2 WHERE label IS NULL
+UNION ALL SELECT 'node type unknown', id FROM n2 WHERE p_size = 3 UNION ALL SELECT 'node metadata missing', id FROM n2 WHERE p_size = 4 UNION ALL SELECT 'node id repeated', id FROM n WHERE p_size = 5
+UNION ALL SELECT 'edge end missing', source FROM i WHERE target = '' UNION ALL SELECT 'relation unknown', source FROM w WHERE k % 11 = 0 UNION ALL SELECT 'confidence unknown', source FROM w WHERE k % 13 = 0
+UNION ALL SELECT 'edge source unknown', source FROM w WHERE source NOT IN (SELECT id FROM n WHERE id IS NOT NULL) UNION ALL SELECT 'edge target unknown', target FROM w WHERE target NOT IN (SELECT id FROM n WHERE id IS NOT NULL)
+UNION ALL SELECT 'metadata root_path missing', NULL""")
+def q26_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of the schema, on the part graph with faults put in by size and number."""
+    rel = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    size, number = F.col("p_size"), lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("long")
+    faulty = B.table(spark, sf_dir, "part").withColumn("id", F.when(size != 1, P.node_id("file", rel)))
+    nodes = faulty.select("id", F.when(size != 2, F.col("id")).alias("label"), F.when(size == 3, "odd").otherwise("physical_file").alias("node_type"), F.when(size != 4, F.struct(size)).alias("physical_meta"))
+    nodes = nodes.union(nodes.where(F.col("physical_meta.p_size") == 5))
+    edges = B.part_edges(spark, sf_dir).select("source", F.when(number("target") % 17 != 0, F.col("target")).otherwise("").alias("target"), F.when(number("source") % 11 == 0, "odd").otherwise("imports").alias("relation"), F.when(number("source") % 13 == 0, "GUESSED").otherwise("EXTRACTED").alias("confidence"))
+    return R.violations(nodes, edges, {"analyzer": "structure_v1"})
+
+
+def _tables(spark: SparkSession, sf_dir: str, with_impact: bool = False) -> dict[str, DataFrame]:
+    """The tables of one graph: the folders of the pages, the pages and the parts as files, the part edges."""
+    parts, imports = _graph(spark, sf_dir)
+    identity = parts.select(F.col("id").alias("file_id"), F.col("rel_path").alias("name"), "rel_path", F.lit(0).alias("depth"), "layer", F.lit(".py").alias("extension"), F.lit(1).cast("long").alias("size_bytes"))
+    impact = G.impact(parts, imports) if with_impact else None
     meta = F.expr("cast(null as struct<line: int, statement: string>)").alias("meta")
-    edges = imports.select("source", "target", F.lit("imports").alias("relation"), F.lit("EXTRACTED").alias("confidence"), meta)
-    return R.to_tables(G.nodes(_folders(spark, sf_dir), identity, impact), edges, impact)
+    inferred = F.when(F.regexp_extract("source", "[0-9]+", 0).cast("long") % 3 == 0, "INFERRED").otherwise("EXTRACTED")
+    edges = imports.select("source", "target", F.lit("imports").alias("relation"), inferred.alias("confidence"), meta)
+    pages = H.file_identity(B.page_files(spark, sf_dir), rules=RULES).drop("parent_path")
+    return R.to_tables(G.nodes(_folders(spark, sf_dir), identity.unionByName(pages), impact), edges, impact)
 
 
 @query(f"WITH {TREE} SELECT 'fs:folder:' || replace(rel_path, '/', ':') AS folder_id, depth, {LAYER} AS layer, file_count, weight_score, CASE WHEN rel_path = '.' THEN '[''root'']' ELSE '[''root'', ''' || replace(rel_path, '/', ''', ''') || ''']' END AS nesting_chain, '1.0.0' AS schema_version FROM weights")
@@ -253,34 +291,52 @@ def q27_folders_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir)["folders_hierarchy"].select("folder_id", "depth", "layer", "file_count", "weight_score", "nesting_chain", "schema_version")
 
 
-@query(f"WITH RECURSIVE {IMPACT} SELECT id AS file_id, layer, NULL AS parent_folder_id, direct_impact, transitive_impact, is_entry_point, direct_impact > 20 AS is_god_file FROM impact")
+_PAGES = TREE.replace("files AS", "pfiles AS").replace("FROM files", "FROM pfiles")
+_FILES = f"""SELECT id AS file_id, layer, NULL AS parent_folder_id, 1::BIGINT AS size_bytes, direct_impact, transitive_impact, is_entry_point, direct_impact > 20 AS is_god_file FROM impact
+UNION ALL SELECT 'fs:file:' || replace(rel_path, '/', ':'), {LAYER}, 'fs:folder:' || replace(parent_path, '/', ':'), size_bytes, 0, 0, false, false FROM pfiles"""
+
+
+@query(f"WITH RECURSIVE {IMPACT.rstrip()}, {_PAGES} {_FILES}")
 def q28_files_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tables(spark, sf_dir)["files_identity"].select("file_id", "layer", "parent_folder_id", "direct_impact", "transitive_impact", "is_entry_point", "is_god_file")
+    return _tables(spark, sf_dir, True)["files_identity"].select("file_id", "layer", "parent_folder_id", "size_bytes", "direct_impact", "transitive_impact", "is_entry_point", "is_god_file")
 
 
-@query(f"WITH {IMPORTS} SELECT source AS source_id, target AS target_id, 0 AS line_number, true AS is_resolved, 0 AS caller_count, 0 AS called_count, '1.0.0' AS schema_version FROM imports")
+@query(f"WITH {IMPORTS} SELECT source AS source_id, target AS target_id, 0 AS line_number, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) % 3 <> 0 AS is_resolved, 0 AS caller_count, 0 AS called_count, '1.0.0' AS schema_version FROM imports")
 def q29_import_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir)["import_dependencies"]
 
 
-@query(f"WITH {IMPORTS} SELECT 'import source' AS check_name, count(*) AS total_rows, 0 AS orphan_ids FROM imports UNION ALL SELECT 'import target', count(*), 0 FROM imports UNION ALL SELECT 'parent folder', count(*), 0 FROM files UNION ALL SELECT 'impact file', count(*), 0 FROM files")
+@query(f"""WITH {IMPORTS.rstrip()}, {_PAGES.rstrip()}, known AS (SELECT id FROM files WHERE layer <> 'test'), kept AS (SELECT parent_path FROM pfiles WHERE {LAYER} <> 'test'), lost AS (SELECT DISTINCT parent_path FROM kept WHERE parent_path IN (SELECT rel_path FROM weights WHERE depth > 3))
+SELECT 'import source' AS check_name, (SELECT count(*) FROM imports) AS total_rows, count(DISTINCT source) AS orphan_ids FROM imports WHERE source NOT IN (SELECT id FROM known)
+UNION ALL SELECT 'import target', (SELECT count(*) FROM imports), count(DISTINCT target) FROM imports WHERE target NOT IN (SELECT id FROM known)
+UNION ALL SELECT 'parent folder', (SELECT count(*) FROM kept), (SELECT count(*) FROM lost)
+UNION ALL SELECT 'impact file', (SELECT count(*) FROM files) + (SELECT count(*) FROM pfiles), (SELECT count(*) FROM files WHERE layer = 'test') + (SELECT count(*) FROM pfiles WHERE {LAYER} = 'test')""")
 def q30_reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.references(_tables(spark, sf_dir))
+    """The tables without files of layer test and without folders below depth 3."""
+    t = _tables(spark, sf_dir)
+    return R.references({**t, "files_identity": t["files_identity"].where("layer <> 'test'"), "folders_hierarchy": t["folders_hierarchy"].where("depth <= 3")})
 
 
-@query(f"WITH {TREE} SELECT page_id % 7 AS k, count(*) AS n FROM pages GROUP BY 1")
+@query(f"WITH {TREE} SELECT 'fs:file:' || replace(rel_path, '/', ':') AS file_id, 'fs:folder:' || replace(parent_path, '/', ':') AS folder_id, depth FROM (SELECT rel_path, parent_path FROM files) JOIN (SELECT rel_path AS parent_path, depth FROM folders) USING (parent_path)")
 def q31_inferred_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts files by page, after each inferred parent has proved to be a folder of the tree."""
-    files = H.file_identity(B.page_files(spark, sf_dir)).select("name", P.inferred_parent(F.col("file_id")).alias("folder_id"))
-    held = files.join(_folders(spark, sf_dir).select("folder_id"), "folder_id", "left_semi")
-    return held.groupBy((F.regexp_extract("name", "_([0-9]+)\\.html$", 1).cast("long") % 7).alias("k")).agg(F.count("*").alias("n"))
+    """Each file with the folder that its id tells, and that folder's depth."""
+    files = H.file_identity(B.page_files(spark, sf_dir)).select("file_id", P.inferred_parent(F.col("file_id")).alias("folder_id"))
+    return files.join(_folders(spark, sf_dir).select("folder_id", "depth"), "folder_id").select("file_id", "folder_id", "depth")
+
 
+_FOUND = f"""{TREE.rstrip()}, named_folders AS (SELECT *, 'fs:folder:' || replace(rel_path, '/', ':') AS id, CASE WHEN rel_path = '.' THEN 'root' ELSE regexp_extract(rel_path, '[^/]*$') END AS label FROM weights),
+found AS (SELECT 1 AS rank, 'DEPTH' AS code, 'folder_depth' AS metric_name, id, depth::DOUBLE AS actual_value, chr(39) || label || chr(39) || ' depth (' || depth || ') > limit (4).' AS description FROM named_folders WHERE depth > 4
+  UNION ALL SELECT 2, 'GODF', 'folder_weight', id, round(weight_score, 3), '' FROM named_folders WHERE weight_score > 0.5
+  UNION ALL SELECT 3, 'FLAT', 'file_count', id, file_count::DOUBLE, chr(39) || label || chr(39) || ' has ' || file_count || ' files, 0 subfolders.' FROM named_folders WHERE subfolder_count = 0 AND file_count > 1)"""
 
-@query(f"WITH {TREE} SELECT 'folder_depth' AS metric_name, 'fs:folder:' || replace(rel_path, '/', ':') AS evidence, depth::DOUBLE AS actual_value FROM weights WHERE depth > 4 UNION ALL SELECT 'folder_weight', 'fs:folder:' || replace(rel_path, '/', ':'), round(weight_score, 3) FROM weights WHERE weight_score > 0.5 UNION ALL SELECT 'file_count', 'fs:folder:' || replace(rel_path, '/', ':'), file_count::DOUBLE FROM weights WHERE subfolder_count = 0 AND file_count > 1")
+
+@query(f"WITH {_FOUND} SELECT 'INS-' || code || '-' || printf('%03d', row_number() OVER (ORDER BY id, rank)) AS insight_id, metric_name, id AS evidence, actual_value, description FROM found")
 def q32_structure_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.structure(_folders(spark, sf_dir).withColumnRenamed("folder_id", "id"), None, {"max_depth": 4, "max_weight": 0.5, "max_flat_files": 1})
+    """Findings with their running numbers and texts (but for texts with a rounded number)."""
+    found = N.structure(_folders(spark, sf_dir).withColumnRenamed("folder_id", "id"), None, {"max_depth": 4, "folder_weight_god": 0.5, "flat_folder_files": 1})
     trace = F.col("traceability_matrix")[0]
-    return found.select(trace["metric_name"].alias("metric_name"), F.col("evidence")[0].alias("evidence"), trace["actual_value"].alias("actual_value"))
+    told = F.when(trace["metric_name"] == "folder_weight", "").otherwise(F.col("description"))
+    return found.select("insight_id", trace["metric_name"].alias("metric_name"), F.col("evidence")[0].alias("evidence"), trace["actual_value"].alias("actual_value"), told.alias("description"))
 
 
 def _impact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,10 +344,10 @@ def _impact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("id", "layer").join(G.impact(files, imports).select("id", "impact_ratio", F.col("direct_impact").alias("inbound")), "id")
 
 
-@query(f"WITH RECURSIVE {IMPACT}, r AS (SELECT 'INS-HOTS-001' AS insight_id, count(*) AS n, 'warning' AS severity, list_sort(list(id))[1:10] AS e FROM impact WHERE impact_ratio > 0.02 UNION ALL SELECT 'INS-GODF-001', count(*), 'critical', list_sort(list(id))[1:10] FROM impact WHERE direct_impact > 2 UNION ALL SELECT 'INS-ORPH-001', count(*), 'info', list_sort(list(id))[1:10] FROM impact WHERE direct_impact = 0 AND layer <> 'test') SELECT insight_id, severity, n::DOUBLE AS actual_value, array_to_string(e, ',') AS evidence FROM r WHERE n > CASE WHEN severity = 'info' THEN 5 ELSE 0 END")
+@query(f"WITH RECURSIVE {IMPACT}, r AS (SELECT 'INS-HOTS-001' AS insight_id, count(*) AS n, 'warning' AS severity, list_sort(list(id))[1:10] AS e FROM impact WHERE impact_ratio > 0.02 UNION ALL SELECT 'INS-GODF-001', count(*), 'critical', list_sort(list(id))[1:10] FROM impact WHERE direct_impact > 2 UNION ALL SELECT 'INS-ORPH-001', count(*), 'info', list_sort(list(id))[1:10] FROM impact WHERE direct_impact = 0 AND layer <> 'test') SELECT insight_id, severity, n::DOUBLE AS actual_value, array_to_string(e, ',') AS evidence, n || CASE insight_id WHEN 'INS-HOTS-001' THEN ' files affect >2% of codebase.' WHEN 'INS-GODF-001' THEN ' files imported by >2 modules.' ELSE ' files have 0 inbound imports.' END AS description FROM r WHERE n > CASE WHEN severity = 'info' THEN 5 ELSE 0 END")
 def q33_impact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = N.impact(_impact_files(spark, sf_dir), {"impact_hotspot": 0.02, "god_file_impact": 2})
-    return found.select("insight_id", "severity", F.col("traceability_matrix")[0]["actual_value"].alias("actual_value"), F.array_join("evidence", ",").alias("evidence"))
+    return found.select("insight_id", "severity", F.col("traceability_matrix")[0]["actual_value"].alias("actual_value"), F.array_join("evidence", ",").alias("evidence"), "description")
 
 
 @query(f"WITH RECURSIVE {REACH}, c AS (SELECT DISTINCT node AS id FROM reach WHERE node = ancestor) SELECT 'INS-CYCL-001' AS insight_id, 'Found ' || count(*) || ' cycles.' AS description, array_to_string(list_sort(list(id))[1:3], ',') AS evidence FROM c HAVING count(*) > 0")
@@ -300,15 +356,19 @@ def q34_cycle_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("insight_id", "description", F.array_join("evidence", ",").alias("evidence"))
 
 
-_HEALTH = f"""WITH RECURSIVE {IMPACT}, n AS (SELECT CASE WHEN (SELECT count(*) FROM impact WHERE direct_impact > 2) > 0 THEN 1 ELSE 0 END AS c, CASE WHEN (SELECT count(*) FROM impact WHERE impact_ratio > 0.02) > 0 THEN 1 ELSE 0 END AS w, CASE WHEN (SELECT count(*) FROM impact WHERE direct_impact = 0 AND layer <> 'test') > 5 THEN 1 ELSE 0 END AS i, (SELECT count(*) FROM files) AS t),
-s AS (SELECT *, round(greatest(30.0, 100 - least(70.0, (3.0 * c + w + 0.1 * i) / greatest(1.0, t / 1000.0) * 10)), 1) AS h, least(greatest(100.0 - 20 * c - 10 * w - 2 * i, 0), 100) AS strict FROM n)
-SELECT c AS critical, w AS warning, i AS info, h::DOUBLE AS health_score, strict::DOUBLE AS strict_score, CASE WHEN h >= 80 THEN 0 WHEN h >= 60 THEN 1 ELSE 2 END AS exit_code, CASE WHEN h >= 90 THEN 'excellent' WHEN h >= 70 THEN 'good' WHEN h >= 50 THEN 'fair' ELSE 'poor' END AS badge FROM s"""
+#: Limits of hubs, hot spots and orphans that health is asked for.
+_CASES = ((2, 0.02, 5), (20, 0.02, 0), (30, 0.5, 5), (60, 1.5, 0), (10_000, 1.5, 5))
+_HEALTH = f"""WITH RECURSIVE {IMPACT.rstrip()}, cases(god, hot, orphans) AS (VALUES {", ".join(map(str, _CASES))}), f AS (SELECT god, CASE WHEN count_if(direct_impact > god) > 0 THEN 1 ELSE 0 END AS c, CASE WHEN count_if(impact_ratio > hot) > 0 THEN 1 ELSE 0 END AS w, CASE WHEN count_if(direct_impact = 0 AND layer <> 'test') > max(orphans) THEN 1 ELSE 0 END AS i, 200.0 AS t FROM cases, impact GROUP BY god),
+s AS (SELECT *, round(greatest(30.0, 100 - least(70.0, (3.0 * c + w + 0.1 * i) / greatest(1.0, t / 1000.0) * 10)), 1) AS h, least(greatest(100.0 - 20 * c - 10 * w - 2 * i, 0), 100) AS strict FROM f)
+SELECT god, c AS critical, w AS warning, i AS info, h::DOUBLE AS health_score, strict::DOUBLE AS strict_score, CASE WHEN h >= 80 THEN 0 WHEN h >= 60 THEN 1 ELSE 2 END AS exit_code, CASE WHEN h >= 90 THEN 'excellent' WHEN h >= 70 THEN 'good' WHEN h >= 50 THEN 'fair' ELSE 'poor' END AS badge FROM s"""
 
 
 @query(_HEALTH)
 def q35_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.impact(_impact_files(spark, sf_dir), {"impact_hotspot": 0.02, "god_file_impact": 2})
-    return N.health(found, B.part_files(spark, sf_dir).count())
+    """Health of the part graph under several limits, as of 200 nodes."""
+    files = cut(_impact_files(spark, sf_dir))
+    each = [N.health(N.impact(files, {"impact_hotspot": hot, "god_file_impact": god, "orphan_files_allowed": orphans}), 200).withColumn("god", F.lit(god)) for god, hot, orphans in _CASES]
+    return reduce(DataFrame.union, each)
 
 
 @query(f"WITH {TREE} SELECT 'fs:folder:' || replace(rel_path, '/', ':') AS folder_id, weight_score FROM weights ORDER BY weight_score DESC, 1 LIMIT 10")
@@ -321,25 +381,93 @@ def q37_deepest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.top(_folders(spark, sf_dir).select("folder_id", "depth"), [F.desc("depth"), "folder_id"], 10)
 
 
-@query(f"WITH {IMPORTS} SELECT id, count(source) AS imported_by FROM files LEFT JOIN imports ON target = id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query(f"WITH {IMPORTS} SELECT id, name, count(source) AS imported_by FROM (SELECT 'fs:file:p' || p_partkey || '.py' AS id, p_name AS name FROM part) LEFT JOIN imports ON target = id GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 10")
 def q38_most_imported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, imports = _graph(spark, sf_dir)
-    counted = files.select("id").join(G.inbound(imports), "id", "left").select("id", F.coalesce("inbound", F.lit(0)).alias("imported_by"))
+    rel = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py"))
+    files = B.table(spark, sf_dir, "part").select(P.node_id("file", rel).alias("id"), F.col("p_name").alias("name"))
+    counted = files.join(G.inbound(B.part_edges(spark, sf_dir)), "id", "left").select("id", "name", F.coalesce("inbound", F.lit(0)).alias("imported_by"))
     return N.top(counted, [F.desc("imported_by"), "id"], 10)
 
 
-@query(f"WITH {IMPORTS} SELECT id FROM files WHERE layer <> 'test' AND id NOT IN (SELECT target FROM imports) ORDER BY 1 LIMIT 20")
+@query(f"WITH {SPARSE} SELECT id FROM files WHERE layer <> 'test' AND id NOT IN (SELECT target FROM imports) ORDER BY 1 LIMIT 20")
 def q39_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, imports = _graph(spark, sf_dir)
+    files, imports = B.part_files(spark, sf_dir), B.part_links(spark, sf_dir)
     return N.top(files.where("layer <> 'test'").select("id").join(imports.select(F.col("target").alias("id")), "id", "left_anti"), ["id"], 20)
 
 
-@query("SELECT 1 AS priority, 'centralization_risk' AS category, 'Apply Facade pattern, split responsibilities, enforce layer boundaries.' AS action UNION ALL SELECT 2, 'impact_concentration', 'Isolate core logic, add integration tests, document change contracts.' UNION ALL SELECT 3, 'dead_code_risk', 'Review for deletion or archival.'")
+@query(f"""WITH RECURSIVE {IMPACT.rstrip()}, r AS (SELECT 1 AS priority, 'centralization_risk' AS category, 'Apply Facade pattern, split responsibilities, enforce layer boundaries.' AS action, 'INS-GODF-001' AS related, count_if(direct_impact > 40) > 0 AS yes FROM impact
+UNION ALL SELECT 2, 'impact_concentration', 'Isolate core logic, add integration tests, document change contracts.', 'INS-HOTS-001', count_if(impact_ratio > 0.02) > 0 FROM impact
+UNION ALL SELECT 3, 'dead_code_risk', 'Review for deletion or archival.', 'INS-ORPH-001', count_if(direct_impact = 0 AND layer <> 'test') > 0 FROM impact) SELECT priority, category, action, related FROM r WHERE yes""")
 def q40_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.recommendations(N.impact(_impact_files(spark, sf_dir), {"impact_hotspot": 0.02, "god_file_impact": 2}))
+    return N.recommendations(N.impact(_impact_files(spark, sf_dir), {"impact_hotspot": 0.02, "god_file_impact": 40, "orphan_files_allowed": 0}))
 
 
-@query(f"WITH {IMPORTS} SELECT id AS id, 'imports' AS relation, count(*) AS n FROM files JOIN imports ON source = id GROUP BY 1")
+@query(f"WITH {IMPORTS} SELECT id, 'imports' AS relation, CASE WHEN CAST(regexp_extract(source, '[0-9]+') AS BIGINT) % 3 = 0 THEN 'INFERRED' ELSE 'EXTRACTED' END AS confidence, layer, count(*) AS n FROM files JOIN imports ON source = id GROUP BY ALL")
 def q41_translated_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = R.to_graph(_tables(spark, sf_dir))
-    return nodes.join(edges, nodes["id"] == edges["source"]).groupBy("id", "relation").agg(F.count("*").alias("n"))
+    nodes, edges, _ = R.to_graph(_tables(spark, sf_dir))
+    layer = F.replace(F.col("physical_meta")["layer"], F.lit('"')).alias("layer")
+    return nodes.join(edges, nodes["id"] == edges["source"]).groupBy("id", "relation", "confidence", layer).agg(F.count("*").alias("n"))
+
+
+@query()
+def q42_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle for each edge that closes one in the trees of the strong components; tests compare it with brute force."""
+    return G.cycles(B.part_edges(spark, sf_dir)).select(F.array_join("cycle", ">").alias("cycle"), F.size("cycle").alias("n"))
+
+
+@query(f"""WITH {IMPORTS.rstrip()}, {_FOUND.replace("files AS", "pfiles AS").replace("FROM files", "FROM pfiles")}, n AS (SELECT count(*) AS k FROM imports WHERE CAST(regexp_extract(source, '[0-9]+') AS BIGINT) % 3 = 0),
+hubs AS (SELECT count(*) AS k FROM (SELECT target FROM imports GROUP BY 1 HAVING count(*) > 40)),
+every AS (SELECT 3 AS g, '' AS e, 0 AS rank, 'GODFILE' AS code, 'critical' AS severity, 'god_files' AS metric_name, k::DOUBLE AS actual_value, 'import_dependencies.target_id' AS evidence_path, k || ' files are imported by >40 modules.' AS description FROM hubs WHERE k > 0
+UNION ALL SELECT 4, '', 0, 'UNRESOLVED', 'warning', 'unresolved_imports', k, 'edges[*].confidence', k || ' import statements could not be resolved to physical files.' FROM n WHERE k > 5
+UNION ALL SELECT 5, id, rank, CASE code WHEN 'GODF' THEN 'GODFOLDER' ELSE code END, CASE code WHEN 'FLAT' THEN 'info' ELSE 'warning' END, metric_name, actual_value, 'nodes[*].physical_meta.' || CASE code WHEN 'DEPTH' THEN 'depth' WHEN 'GODF' THEN 'weight_score' ELSE 'file_count' END, '' FROM found)
+SELECT 'INS-' || code || '-' || printf('%03d', row_number() OVER (ORDER BY g, e, rank)) AS insight_id, severity, metric_name, actual_value, evidence_path, description FROM every""")
+def q43_legacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older engine over the page folders and the part graph, a third of whose imports were never traced to a file."""
+    edges = R.to_graph({"import_dependencies": _tables(spark, sf_dir)["import_dependencies"]})[1]
+    files = B.part_files(spark, sf_dir).join(G.inbound(edges), "id", "left").select("id", "layer", F.lit(0.0).alias("impact_ratio"), F.coalesce("inbound", F.lit(0)).alias("inbound"))
+    none = spark.createDataFrame([], "id string")
+    found = N.legacy(_folders(spark, sf_dir).withColumnRenamed("folder_id", "id"), files, edges, none, None, {"max_depth": 4, "folder_weight_god": 0.5, "flat_folder_files": 1, "god_file_impact": 40})
+    t = F.col("traceability_matrix")[0]
+    told = F.when(F.col("insight_id").rlike("GODFILE|UNRESOLVED"), F.col("description")).otherwise("")
+    return found.select("insight_id", "severity", t["metric_name"].alias("metric_name"), t["actual_value"].alias("actual_value"), t["evidence_path"].alias("evidence_path"), told.alias("description"))
+
+
+_QUOTED = {".py": "'import ' || raw_target", ".js": "'import x from ' || chr(39) || raw_target || chr(39)", ".ts": "'import { y } from \"' || raw_target || '\"'", ".java": "'import ' || raw_target || ';'", ".go": "'\"' || raw_target || '\"'", ".c": "'#include \"' || raw_target || '\"'", ".cpp": "'#include <' || raw_target || '>'", ".rb": "'require ' || chr(39) || raw_target || chr(39)", ".php": "'include ' || chr(39) || raw_target || chr(39)"}
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(lang, 'none') || '/' || regexp_replace(coalesce(source, 'none'), '[^A-Za-z0-9_-]', '_', 'g') AS folder, (['.py', '.js', '.ts', '.java', '.go', '.c', '.cpp', '.rb', '.php'])[doc_id % 9 + 1] AS ext FROM documents WHERE doc_id IS NOT NULL),
+j AS (SELECT a.*, b.folder || '/d' || b.doc_id || b.ext AS known, CASE WHEN a.ext IN ('.py', '.java') THEN 'pkg.d' || b.doc_id WHEN a.folder = b.folder THEN './d' || b.doc_id ELSE '../../' || b.folder || '/d' || b.doc_id END AS raw_target FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
+SELECT 'fs:file:' || replace(folder, '/', ':') || ':d' || doc_id || ext AS file_id, 2 AS line_number, raw_target, CASE ext """ + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _QUOTED.items()) + """ END AS raw_statement,
+  CASE WHEN ext NOT IN ('.py', '.java') THEN known END AS resolved_path, ext NOT IN ('.py', '.java') AS is_resolved FROM j""")
+def q44_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in nine languages, by ./ and ../, with white space around and lines that are none."""
+    files = B.polyglot_sources(spark, sf_dir)
+    return I.resolve(I.extract(files), files)
+
+
+@query(_LINES + " SELECT count(*) AS total_imports, count_if(target IN (SELECT id FROM files)) AS resolved_imports FROM lined")
+def q45_import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = B.part_sources(spark, sf_dir)
+    return I.totals(I.resolve(I.extract(files), files))
+
+
+_SPARSE_IMPACT = IMPACT.replace(IMPORTS.rstrip(), SPARSE.rstrip())
+
+
+@query(f"WITH RECURSIVE {_SPARSE_IMPACT} SELECT id, direct_impact, transitive_impact, round(impact_ratio, 6) AS impact_ratio, is_entry_point FROM impact")
+def q46_sparse_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As q19, on the graph of two followers a part, where reach differs from node to node."""
+    out = G.impact(B.part_files(spark, sf_dir), B.part_links(spark, sf_dir))
+    return out.withColumn("impact_ratio", F.round("impact_ratio", 6))
+
+
+@query(f"WITH RECURSIVE {REACH.replace(IMPORTS.rstrip(), SPARSE.rstrip())} SELECT a.node AS id, min(a.ancestor) AS component FROM reach a JOIN reach b ON a.node = b.ancestor AND a.ancestor = b.node GROUP BY 1")
+def q47_sparse_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.cyclic_components(B.part_links(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_SPARSE_IMPACT.rstrip()}, r AS (SELECT 'INS-HOTS-001' AS insight_id, 'files affect >15% of codebase.' AS t, count(*) AS n, 0 AS least, list_sort(list(id))[1:10] AS e FROM impact WHERE impact_ratio > 0.15 UNION ALL SELECT 'INS-GODF-001', 'files imported by >4 modules.', count(*), 0, list_sort(list(id))[1:10] FROM impact WHERE direct_impact > 4 UNION ALL SELECT 'INS-ORPH-001', 'files have 0 inbound imports.', count(*), 5, list_sort(list(id))[1:10] FROM impact WHERE direct_impact = 0 AND layer <> 'test') SELECT insight_id, n || ' ' || t AS description, array_to_string(e, ',') AS evidence FROM r WHERE n > least")
+def q48_sparse_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = B.part_files(spark, sf_dir)
+    both = files.select("id", "layer").join(G.impact(files, B.part_links(spark, sf_dir)).select("id", "impact_ratio", F.col("direct_impact").alias("inbound")), "id")
+    return N.impact(both, {"god_file_impact": 4}).select("insight_id", "description", F.array_join("evidence", ",").alias("evidence"))

@@ -42,6 +42,18 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(name("a").alias("source"), name("b").alias("target"))
 
 
+def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparser graph of the same orders: each part with its cheapest and its dearest follower in any of them."""
+    items = table(spark, sf_dir, "lineitem")
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    follower = F.struct(F.lead("l_extendedprice").over(by).alias("price"), F.lead("l_partkey").over(by).alias("b"))
+    pairs = items.select(F.col("l_partkey").alias("a"), follower.alias("f")).where("f.b is not null")
+    ends = pairs.groupBy("a").agg(F.min("f").alias("least"), F.max("f").alias("most"))
+    name = lambda c: P.node_id("file", F.concat(F.lit("p"), F.col(c).cast("string"), F.lit(".py")))
+    each = ends.select("a", F.explode(F.array_distinct(F.array("least.b", "most.b"))).alias("b"))
+    return each.select(name("a").alias("source"), name("b").alias("target"))
+
+
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py"))
     return table(spark, sf_dir, "part").select(P.node_id("file", rel).alias("id"), rel.alias("rel_path"), F.when(F.col("p_size") % 7 == 0, "test").otherwise("module").alias("layer"))
@@ -54,3 +66,36 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = edges.groupBy(F.col("source").alias("id")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("content"))
     files = part_files(spark, sf_dir)
     return files.join(texts, "id", "left").select(F.col("id").alias("file_id"), "rel_path", F.lit(".py").alias("extension"), F.coalesce("content", F.lit("")).alias("content"))
+
+
+#: Extensions that documents get in turn, and how a line of each names another file.
+LANGUAGES = {
+    ".py": "import {}", ".js": "  import x from '{}'", ".ts": "import {{ y }} from \"{}\"", ".java": "import {};", ".go": '\t"{}"',
+    ".c": '#include "{}"', ".cpp": "#include <{}>", ".rb": "require '{}'", ".php": "include '{}'",
+}
+
+
+def polyglot_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files lang/source/d<id><extension> in nine languages; each names the one after it.
+
+    Python and Java name it as a module, the others by ./ in the same folder and by ../ beyond it, without an extension.
+    The lines around hold no reference.
+    """
+    kinds = list(LANGUAGES)
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    folder = F.concat(F.coalesce("lang", F.lit("none")), F.lit("/"), F.regexp_replace(F.coalesce("source", F.lit("none")), "[^A-Za-z0-9_-]", "_"))
+    ext = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("doc_id") % len(kinds)).cast("int"))
+    own = docs.select("doc_id", folder.alias("folder"), ext.alias("extension"))
+    # The successor by a join, since ids run from 0 without gaps; a missing one is simply not named.
+    later = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("folder").alias("next"))
+    stem = F.concat(F.lit("d"), (F.col("doc_id") + 1).cast("string"))
+    near = F.when(F.col("folder") == F.col("next"), F.concat(F.lit("./"), stem)).otherwise(F.concat(F.lit("../../"), "next", F.lit("/"), stem))
+    named = F.when(F.col("extension").isin(".py", ".java"), F.concat(F.lit("pkg."), stem)).otherwise(near)
+    named = F.when(F.col("next").isNotNull(), named)
+    line = F.lit(None).cast("string")
+    for k, form in LANGUAGES.items():
+        before, after = form.replace("{{", "{").replace("}}", "}").split("{}")
+        line = F.when(F.col("extension") == k, F.concat(F.lit(before), named, F.lit(after))).otherwise(line)
+    content = F.concat(F.lit("first line\r\n"), F.coalesce(F.concat(line, F.lit(" \t")), F.lit("")), F.lit("\nlast line\n"))
+    rel = F.concat("folder", F.lit("/d"), F.col("doc_id").cast("string"), "extension")
+    return own.join(later, "doc_id", "left").select(P.node_id("file", rel).alias("file_id"), rel.alias("rel_path"), "extension", content.alias("content"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,20 +47,39 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 LOADERS: dict[str, tuple[str, Callable[[SparkSession, str], DataFrame]]] = {"csv": (".csv", _csv), "parquet": (".parquet", lambda spark, path: spark.read.parquet(path))}
 
 
-def load(spark: SparkSession, source: str, fmt: str) -> Report:
-    """One table for each entry of a folder that ends in the format's suffix, or the one that source names."""
-    fmt = fmt.strip().lower()
-    if fmt not in LOADERS:
-        raise ValueError(f"unknown format {fmt!r}; known: {', '.join(sorted(LOADERS))}")
-    suffix, read = LOADERS[fmt]
-    found = [source] if source.rstrip("/").endswith(suffix) else [os.path.join(source, n) for n in sorted(os.listdir(source)) if n.endswith(suffix)]
+def _jdbc(spark: SparkSession, source: str, schema: str = "public", names: Iterable[str] = tuple(SCHEMAS), **properties: str) -> Report:
+    """The named tables of a database, by its driver on the class path; numPartitions and the like are properties."""
     out = Report()
-    for path in found:
+    for name in names:
         try:
-            out.tables[_stem(path)] = read(spark, path)
+            out.tables[name] = spark.read.jdbc(source, f"{schema}.{name}" if schema else name, properties=properties)
         except Exception as e:
             out.success = False
-            out.warnings.append(f"{path}: {e}")
+            out.warnings.append(f"{name}: {e}")
+    return out
+
+
+def load(spark: SparkSession, source: str, fmt: str, **options) -> Report:
+    """One table for each entry of a folder that ends in the format's suffix, or the one that source names.
+
+    With format postgresql or psql source is a JDBC address and the four tables are read from it.
+    """
+    fmt = fmt.strip().lower()
+    if fmt in ("postgresql", "psql"):
+        out = _jdbc(spark, source, **options)
+    elif fmt not in LOADERS:
+        raise ValueError(f"unknown format {fmt!r}; known: {', '.join(sorted([*LOADERS, 'postgresql', 'psql']))}")
+    else:
+        suffix, read = LOADERS[fmt]
+        single = source.rstrip("/").endswith(suffix)
+        found = [source] if single else [os.path.join(source, n) for n in sorted(os.listdir(source)) if n.endswith(suffix)]
+        out = Report()
+        for path in found:
+            try:
+                out.tables[_stem(path)] = read(spark, path)
+            except Exception as e:
+                out.success = False
+                out.warnings.append(f"{path}: {e}")
     out.version = next((v for df in out.tables.values() if (v := version_of(df))), None)
     return out
 
@@ -112,3 +131,15 @@ def export(tables: Mapping[str, DataFrame], folder: str, fmt: str, **options) ->
             out.success = False
             out.warnings.append(f"{name}: {e}")
     return out
+
+
+def register_loader(fmt: str, suffix: str, read: Callable[[SparkSession, str], DataFrame]) -> None:
+    if not callable(read):
+        raise TypeError(f"loader of {fmt!r} is not callable")
+    LOADERS[fmt.strip().lower()] = (suffix, read)
+
+
+def register_exporter(fmt: str, write: Callable[..., None]) -> None:
+    if not callable(write):
+        raise TypeError(f"exporter of {fmt!r} is not callable")
+    EXPORTERS[fmt.strip().lower()] = write

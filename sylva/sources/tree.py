@@ -1,7 +1,7 @@
 """A directory tree as a Python data source: format 'fs_tree', options path, ignore (JSON list), content, max_file_mb.
 
 Spark's own file sources hide names that begin with _ or . and do not show empty folders; this one lists everything. The
-driver lists the top level alone; each entry of it is a partition that an executor walks.
+driver lists level after level until there are enough folders to share out; executors walk what lies below them.
 """
 
 from __future__ import annotations
@@ -18,9 +18,15 @@ SCHEMA = "kind string, rel_path string, parent_path string, name string, size_by
 READ = (".py", ".js", ".ts", ".java", ".go", ".c", ".cpp", ".rb", ".php")
 
 
-class _Entry(InputPartition):
-    def __init__(self, rel: str):
-        super().__init__(rel)
+#: Folders that the driver looks for, one task each, and names of one folder that a task takes.
+SPREAD, NAMES = 64, 1_000
+
+
+class _Entries(InputPartition):
+    """Paths, with the error of those that could not be listed, and whether folders among them are walked or only told of."""
+
+    def __init__(self, paths: list[tuple[str, str | None]], walk: bool):
+        super().__init__((paths, walk))
 
 
 class TreeReader(DataSourceReader):
@@ -34,26 +40,45 @@ class TreeReader(DataSourceReader):
         return any(fnmatch.fnmatchcase(name, p) for p in self.ignore)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Entry("."), *(_Entry(n) for n in sorted(os.listdir(self.root)) if not self._ignored(n))]
+        """A partition for each folder of the first level that has SPREAD of them, and for the names above and beside it."""
+        told, level = [(".", None)], ["."]
+        while level and len(level) < SPREAD:
+            below = []
+            for rel in level:
+                try:
+                    names = sorted(n for n in os.listdir(os.path.join(self.root, rel)) if not self._ignored(n))
+                except OSError as e:
+                    told.append((rel, str(e)))
+                    continue
+                for path in (n if rel == "." else f"{rel}/{n}" for n in names):
+                    full = os.path.join(self.root, path)
+                    if os.path.isdir(full) and not os.path.islink(full):
+                        below.append(path)
+                    else:
+                        told.append((path, None))
+            if len(below) < SPREAD:
+                told += [(rel, None) for rel in below]
+            level = below
+        out = [_Entries(told[i : i + NAMES], False) for i in range(0, len(told), NAMES)]
+        return out + [_Entries([(rel, None)], True) for rel in level]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        rel = partition.value
-        if rel == ".":
-            yield ("folder", ".", None, os.path.basename(self.root), None, None, None)
-            return
-        todo = [rel]
+        paths, walk = partition.value
+        todo = list(reversed(paths))
         while todo:
-            rel = todo.pop()
-            full = os.path.join(self.root, rel)
-            parent = os.path.dirname(rel) or "."
-            if os.path.isdir(full):
+            rel, error = todo.pop()
+            full, parent = os.path.join(self.root, rel), os.path.dirname(rel) or "."
+            if error is not None:
+                yield ("error", rel, parent, os.path.basename(rel), None, None, error)
+            elif rel == ".":
+                yield ("folder", ".", None, os.path.basename(self.root), None, None, None)
+            elif os.path.isdir(full):
                 yield ("folder", rel, parent, os.path.basename(rel), None, None, None)
-                if os.path.islink(full):
-                    continue
-                try:
-                    todo += sorted((f"{rel}/{n}" for n in os.listdir(full) if not self._ignored(n)), reverse=True)
-                except OSError as e:
-                    yield ("error", rel, parent, os.path.basename(rel), None, None, str(e))
+                if walk and not os.path.islink(full):
+                    try:
+                        todo += sorted(((f"{rel}/{n}", None) for n in os.listdir(full) if not self._ignored(n)), reverse=True)
+                    except OSError as e:
+                        yield ("error", rel, parent, os.path.basename(rel), None, None, str(e))
             else:
                 yield self._file(rel, full, parent)
 
