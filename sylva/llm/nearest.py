@@ -4,11 +4,16 @@ The nearest x of q has the largest q.x - |x|^2 / 2. Vectors are cut into pairs o
 of 16 centres (four bits). Codes and centres minimise a loss in which the part of the residual that is parallel to the
 vector weighs more than the rest, since that part moves the inner products of the queries that matter. A query adds up
 table entries for all vectors of a block, and the best few are measured exactly.
+
+Rows are dealt to cells around coarse centres, and a query goes to the cells nearest to it, as many as hold nearly all
+neighbours of neighbours in the sample: all of them where the vectors have no such structure. Only codes travel to the
+scans; vectors are fetched by id for those that are measured.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +24,10 @@ from pyspark.sql.window import Window
 from .common import cut, read
 
 #: Vectors the centres are fitted on (the bound of the sample, in the order of a hash), rows and queries of a block,
-#: and the vectors of a block that a query measures exactly.
+#: and the different vectors that a query measures exactly.
 SAMPLE, ROWS, QUERIES, RERANK = 20_000, 8_192, 1_024, 128
+#: Rows of a cell on average, cells at most, and the share of the sample's neighbours that the cells visited hold.
+CELL, CELLS, HELD = 4_096, 1_024, 0.99
 PARALLEL = 0.2  # the cosine from which on inner products matter; it sets the weight of the parallel residual
 
 
@@ -81,69 +88,123 @@ def _valid(c: Column) -> Column:
     return c.isNotNull() & (F.size(c) > 0) & ~odd & F.exists(c, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score: Euclidean distance) of the k nearest found, ties to the smaller vec_id.
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all x to all y."""
+    return (x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1)[None]
 
-    vectors and queries share their columns; a row is no candidate of a query of its own id. Vectors that are null,
-    empty, zero, of another length than most, or hold null or non-finite components take no part on either side; null
-    ids take none either. Equal vectors are one to the scan, and only their smallest ids can be among the nearest.
-    """
-    shape = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x")).where(F.col(vec_id).isNotNull() & _valid(F.col("x")))
-    data, asked = shape(vectors), shape(queries)
-    counts = data.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if counts is None:
-        return data.sparkSession.createDataFrame([], schema)
-    data, asked = data.where(F.size("x") == counts["d"]), asked.where(F.size("x") == counts["d"])
-    rows = data.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").collect()
-    centres = fit(np.array([r["x"] for r in rows]))
-    blocks, groups = max(1, -(-counts["n"] // ROWS)), max(1, -(-asked.count() // QUERIES))
+
+def cells(x: np.ndarray, n: int, rounds: int = 6, seed: int = 1) -> np.ndarray:
+    """n centres of the vectors x by Lloyd's rounds; an empty cell takes a vector at random."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), n, replace=len(x) < n)].copy()
+    for _ in range(rounds if n > 1 else 0):
+        own = np.concatenate([_far(x[i : i + 2_048], centres).argmin(1) for i in range(0, len(x), 2_048)])
+        size = np.bincount(own, minlength=n)
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], x[rng.choice(len(x), n)])
+    return centres
+
+
+def probes(x: np.ndarray, centres: np.ndarray, k: int) -> int:
+    """How many cells, the nearest first, hold the share HELD of the k neighbours of 300 of the vectors x among x."""
+    if len(centres) == 1 or len(x) <= k:
+        return len(centres)
+    order = _far(x[:300], centres).argsort(1)
+    place = order.argsort(1)  # of each cell in a query's order
+    far = _far(x[:300], x)
+    far[np.arange(len(order)), np.arange(len(order))] = np.inf
+    near = np.argpartition(far, k, axis=1)[:, :k]
+    own = np.concatenate([_far(x[i : i + 2_048], centres).argmin(1) for i in range(0, len(x), 2_048)])
+    return int(np.quantile(np.take_along_axis(place, own[near], 1), HELD, method="higher")) + 1
+
+
+def _of_length(data: DataFrame, asked: DataFrame, k: int, sample: int, rerank: int) -> DataFrame:
+    """(q, query_id, rank, vec_id, score) of rows (id, same, x) and queries (q, id, x) of one length."""
+    total = data.count()
+    rows = data.orderBy(F.xxhash64("id"), "id", "same").limit(sample).select("x").collect()
+    x = np.array([r["x"] for r in rows])
+    centres, coarse = fit(x), cells(x, max(1, min(CELLS, round(total / CELL), len(x) // 20)))
+    visited = probes(x, coarse, k)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column("x").to_pylist())
-                c = encode(x, centres)
+                v = np.array(b.column("x").to_pylist())
+                c = encode(v, centres)
                 packed = (c[:, 0::2] | (c[:, 1::2] << 4)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "x", "code"])
+                own, half = _far(v, coarse).argmin(1), (v**2).sum(1) / 2
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("same"), pa.array(own, pa.int32()), pa.array(half), pa.array([r.tobytes() for r in packed], pa.binary())], ["id", "same", "cell", "half", "code"])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                order = _far(np.array(b.column("x").to_pylist()), coarse).argsort(1)[:, :visited]
+                at = pa.array(np.repeat(np.arange(b.num_rows), visited))
+                yield pa.RecordBatch.from_arrays([b.column("q").take(at), b.column("id").take(at), b.column("x").take(at), pa.array(order.ravel(), pa.int32())], ["q", "qid", "x", "cell"])
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if left.num_rows and right.num_rows:
-            left = left.sort_by("id")
-            ids, x = left.column("id").to_numpy(), np.array(left.column("x").to_pylist())
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            _, first, which = np.unique(x.view(f"V{x.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
-            members = np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])
-            x1, codes, half = x[first], codes[first], (x[first] ** 2).sum(1) / 2
-            columns = np.ascontiguousarray(codes.T)
+            left = left.sort_by([("same", "ascending"), ("id", "ascending")])
+            ids, same, half = (left.column(c).to_numpy() for c in ("id", "same", "half"))
+            first = np.flatnonzero(np.append(True, same[1:] != same[:-1]))  # one of each vector is scored
+            ends = np.append(first[1:], len(ids))
+            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[first]
+            columns, half = np.ascontiguousarray(codes.T), half[first]
             low, high = np.arange(256) & 15, np.arange(256) >> 4
-            for q_id, q in zip(right.column("id").to_pylist(), right.column("x").to_pylist(), strict=True):
-                q = np.array(q)
-                table = np.einsum("sk,sck->sc", _pairs(q[None])[0], centres)
+            for q, q_id, v in zip(right.column("q").to_pylist(), right.column("qid").to_pylist(), right.column("x").to_pylist(), strict=True):
+                table = np.einsum("sk,sck->sc", _pairs(np.array(v)[None])[0], centres)
                 both = table[0::2][:, low] + table[1::2][:, high]
                 score = -half
                 for j, c in enumerate(columns):
                     score = score + both[j][c]
                 best = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
-                far = np.sqrt(((x1[best] - q) ** 2).sum(1))
-                found: list[tuple[float, int]] = []
-                for u, d in zip(best[np.argsort(far, kind="stable")].tolist(), np.sort(far).tolist(), strict=True):
-                    if len(found) >= k and d > sorted(found)[k - 1][0]:
-                        break
-                    same = ids[members[u][: k + 1]] if len(np.unique(ids[members[u][: k + 1]])) > k else np.unique(ids[members[u]])[: k + 1]
-                    found += [(d, int(i)) for i in same if i != q_id]
-                out += [(q_id, i, d) for d, i in sorted(found)[:k]]
-        q_ids, v_ids, d = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(q_ids, pa.int64()), "vec_id": pa.array(v_ids, pa.int64()), "score": pa.array(d, pa.float64())})
-
-    dealt = cut(data.mapInArrow(coded, "id long, x array<double>, code binary"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    one = dealt.withColumn("block", F.pmod(F.xxhash64("id", "x"), F.lit(blocks)).cast("int")).withColumn("group", spread(groups))
-    two = asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("block", spread(blocks))
-    found = one.groupBy("block", "group").cogroup(two.groupBy("block", "group")).applyInArrow(scan, "query_id long, vec_id long, score double")
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                at = np.concatenate([np.arange(first[u], ends[u]) for u in best])
+                out.append((np.full(len(at), q), np.full(len(at), q_id), ids[at], same[at], np.repeat(score[best], ends[best] - first[best])))
+        q, q_id, v_id, same, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4 + (np.zeros(0),)
+        mine = v_id != q_id
+        return pa.table({"q": q[mine], "query_id": q_id[mine], "vec_id": v_id[mine], "same": same[mine], "guess": score[mine]})
+
+    # Of equal vectors only the k + 1 smallest ids can be among the nearest of anything.
+    codes = data.select("id", "same", "x").mapInArrow(coded, "id long, same long, cell int, half double, code binary")
+    codes = codes.withColumn("n", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where(F.col("n") <= k + 1).drop("n")
+    codes = cut(codes)
+    routed = asked.select("q", "id", "x").mapInArrow(sent, "q long, qid long, x array<double>, cell int")
+    full = codes.groupBy("cell").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("blocks"))
+    busy = routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+    shape = F.broadcast(cut(full.join(busy, "cell")))  # a row for each cell, at most CELLS
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = codes.join(shape, "cell").withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int")).withColumn("group", number("groups"))
+    two = routed.join(shape, "cell").withColumn("group", F.pmod(F.xxhash64("q"), F.col("groups")).cast("int")).withColumn("block", number("blocks"))
+    key = ["cell", "block", "group"]
+    pick = lambda df, *c: df.select(*key, *c).groupBy(*key)
+    guessed = pick(one, "id", "same", "half", "code").cogroup(pick(two, "q", "qid", "x")).applyInArrow(scan, "q long, query_id long, vec_id long, same long, guess double")
+    best = guessed.withColumn("n", F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("guess"), "same"))).where(F.col("n") <= rerank).drop("n", "guess")
+    measured = best.join(data.select(F.col("id").alias("vec_id"), "same", "x"), ["vec_id", "same"]).join(asked.select("q", F.col("x").alias("qx")), "q")
+    square = F.aggregate(F.zip_with("x", "qx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    each = measured.groupBy("q", "query_id", "vec_id").agg(F.min(F.sqrt(square)).alias("score"))
+    return each.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", k: int = 10, sample: int = SAMPLE, rerank: int = RERANK) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score: Euclidean distance) of the k nearest found, ties to the smaller vec_id.
+
+    vectors and queries share their columns; a row is no candidate of a query of its own id. Vectors that are null,
+    empty, zero, or hold null or non-finite components take no part on either side; null ids take none either. Vectors
+    of different lengths are not compared: each length is searched by itself. Repeated rows of vectors and of queries
+    count once. An id that stands on several vectors is one neighbour, at its nearest; as a query each of its vectors is
+    searched and has its own ranks. Very long vectors are only larger. Other columns are not read, whatever their names.
+    """
+    read_ = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x")).where(F.col(vec_id).isNotNull() & _valid(F.col("x")))
+    once = lambda df: df.withColumn("same", F.xxhash64(F.transform("x", lambda v: v + 0.0))).groupBy("id", "same").agg(F.first("x").alias("x"))
+    data, asked = cut(once(read_(vectors))), cut(once(read_(queries)))
+    asked = cut(asked.withColumn("q", F.xxhash64("id", "same")))
+    lengths = [r["d"] for r in asked.select(F.size("x").alias("d")).distinct().join(data.select(F.size("x").alias("d")).distinct(), "d", "left_semi").orderBy("d").collect()]
+    if not lengths:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_of_length(data.where(F.size("x") == d), asked.where(F.size("x") == d), k, sample, rerank) for d in lengths]
+    return reduce(DataFrame.union, found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import sylva.llm.nearest as near
 from sylva.llm.chat_format import LAYOUTS, OP7_SQL, escape, format_chat, from_json_records, from_turn_rows, op7_chat_format, read_back, unescape
 from sylva.llm.html_text import html_text, op10_html_text, render
 from sylva.llm.license_scan import PHRASES, TEMPLATES, license_scan, op6_license_scan
@@ -347,6 +348,44 @@ def test_nearest_recall(spark):
     assert hit >= 0.9 * total
 
 
+def test_nearest_recall_of_few_measured_among_many(spark):
+    """60 of 5,000 vectors are measured, in cells of which not all are visited: codes and cells carry the recall."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 32))[rng.integers(60, size=5_000)] * 2 + rng.normal(size=(5_000, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ids, hit, old = np.arange(5_000), 0, near.CELL
+    near.CELL = 250
+    try:
+        got = nearest(vectors, vectors.where("vec_id % 100 = 0"), rerank=60).collect()
+    finally:
+        near.CELL = old
+    for q in range(0, 5_000, 100):
+        hit += len({i for i, _ in exact(x, ids, q, x[q])} & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == 500 and hit >= 450
+    centres = near.cells(x, 20)
+    assert 1 <= near.probes(x, centres, 10) < 20 and near.probes(rng.normal(size=(500, 200)), rng.normal(size=(20, 200)), 10) > 10
+
+
+def test_nearest_repeats_shared_ids_and_lengths(spark):
+    """Against brute force: repeated queries and rows, ids on several vectors, two lengths, a clashing column."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.integers(1, 5, 3)], 1, 0.5) for i in range(60)] + [(200 + i, [float(v) for v in rng.integers(1, 9, 2)], 1, 0.5) for i in range(15)]
+    rows += rows[:5] * 3 + [(7, [9.0, 9.0, 9.0], 1, 0.5), (0, [4.0, 4.0, 4.0], 1, 0.5), (8, [2.0, 2.5, 3.0], 1, 0.5), (300, [1.0, 1.0, 1.0, 1.0], 1, 0.5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, same int, score double")
+    got = {}
+    for r in nearest(vectors, vectors.where("vec_id in (0, 1, 7, 200, 300)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    want = {}
+    for q_id, q in sorted({(i, tuple(v)) for i, v, *_ in rows if i in (0, 1, 7, 200, 300)}):
+        best = {}
+        for i, v, *_ in rows:
+            if i != q_id and len(v) == len(q):
+                best[i] = min(best.get(i, 1e9), float(np.sqrt(((np.array(v) - q) ** 2).sum())))
+        want.setdefault(q_id, []).extend((n, i, round(d, 9)) for n, (d, i) in enumerate(sorted((d, i) for i, d in best.items())[:10], 1))
+    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items() if v}
+    assert all(len({i for _, i, _ in v}) == len(v) for q, v in got.items() if q not in (0, 7))
+
+
 def test_nearest_ties_invalid_and_empty(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(30)] + [(100, [1.0, 2.0, 3.5]), (101, None), (102, [0.0, 0.0, 0.0]), (103, [1.0, None, 2.0]), (104, [float("nan"), 1.0, 1.0]), (105, [float("inf"), 1.0, 1.0]), (None, [1.0, 2.0, 3.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
