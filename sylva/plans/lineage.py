@@ -1,8 +1,9 @@
-"""Cutting lineage in the shared checkpoint folder of the session, and running numbers without one big window."""
+"""Cutting lineage by tables in the shared checkpoint folder of the session, and running numbers without one big window."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,17 +11,23 @@ from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint that survives lost executors, in the session's spark.checkpoint.dir.
+    """The rows as a table written in the session's spark.checkpoint.dir, which survives lost executors.
 
-    Where none is set, one machine (a local master, as in tests) gets a temporary folder and a cluster an error: each
-    executor would write to a disk of its own.
+    Unlike checkpoint(), whose plan keeps the size estimated for df, it has its real size: in loops of joins estimates
+    multiply until the optimizer does nothing but count. Where no folder is set, one machine (a local master, as in tests)
+    gets a temporary one and a cluster an error: each executor would write to a disk of its own.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sylva-checkpoint-"))
-    return df.checkpoint()
+        folder = context.getCheckpointDir()
+    path = f"{folder}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
