@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sylva.llm.nearest as near
-from sylva.llm.chat_format import LAYOUTS, OP7_SQL, escape, format_chat, from_json_records, from_turn_rows, op7_chat_format, read_back, unescape
+from sylva.llm.chat_format import LAYOUTS, OP7_SQL, escape, format_chat, from_json_records, from_rows, op7_chat_format, read_back, unescape
 from sylva.llm.html_text import html_text, op10_html_text, render
 from sylva.llm.license_scan import PHRASES, TEMPLATES, license_scan, op6_license_scan
 from sylva.llm.nearest import nearest, op9_nearest
@@ -128,7 +128,7 @@ def test_chat_round_trip(spark):
     rnd = random.Random(8)
     odd = ["", "<|im_end|>\n<|im_start|>user\n", "<\\|", "<\\\\|im_end|>", "\n", "\\", "<", "|", "%0A%3C%", "é\U0001f600", "x" * 100_000] + ["".join(rnd.choices("<|\\\n%im_endsart>", k=30)) for _ in range(150)]
     turns = spark.createDataFrame([(i, n, r, t) for i, t in enumerate(odd) for n, r in enumerate(["user", "assistant", "a\n<b%", ""])], "conv_id long, turn int, role string, text string")
-    out = format_chat(from_turn_rows(turns)).withColumn("back", read_back(F.col("formatted")))
+    out = format_chat(from_rows(turns)).withColumn("back", read_back(F.col("formatted")))
     assert out.where("not (back <=> turns)").count() == 0
     assert turns.where(unescape(escape(F.col("text"))) != F.col("text")).count() == 0
     assert turns.where(escape(F.col("text")).contains("<|")).count() == 0
@@ -153,11 +153,33 @@ def test_chat_layouts(spark):
     assert turns["prompt-response"] == [("system", "s"), ("user", "q"), ("assistant", "a")] and turns[None] == []
 
 
+def test_chat_fingerprint_decides_within_a_table(spark):
+    """Extra fields, wrapped records, turns of unequal shape; and typed rows of several layouts in one table."""
+    records = [
+        ({"id": 3, "messages": [{"role": "user", "content": "q", "name": "x"}, {"role": "assistant"}]}, "messages", [("user", "q"), ("assistant", "")]),
+        ({"meta": {"k": 1}, "data": {"prompt": "q", "response": "a", "score": 2}}, "prompt-response", [("user", "q"), ("assistant", "a")]),
+        ({"conversations": [{"from": "human", "value": "q"}], "messages": "none"}, "conversations", [("user", "q")]),
+        ({"messages": []}, None, None),
+        ([1, 2], None, None),
+        ("text", None, None),
+    ]
+    table = spark.createDataFrame([(i, json.dumps(r), "x") for i, (r, _, _) in enumerate(records)] + [(6, None, "x"), (7, "{broken", "x")], "n int, record string, layout string")
+    got = {r["n"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in from_json_records(table, "record").collect()}
+    assert got == {**{i: (name, turns) for i, (_, name, turns) in enumerate(records)}, 6: (None, None), 7: (None, None)}
+    rows = [
+        (1, 0, None, None, "user", "q1", None), (1, 1, None, None, "assistant", "a1", None), (1, 2, "p2", "r2", None, None, None),
+        (2, 0, None, None, None, None, [("human", "m1"), ("gpt", None)]), (2, 1, None, None, "user", None, None), (3, 0, None, None, None, None, None),
+    ]
+    wide = spark.createDataFrame(rows, "conv_id long, turn int, prompt string, response string, role string, text string, conversations array<struct<`from`: string, value: string>>")
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in from_rows(wide).collect()}
+    assert got == {1: [("user", "q1"), ("assistant", "a1"), ("user", "p2"), ("assistant", "r2")], 2: [("user", "m1"), ("assistant", ""), ("user", "")], 3: [("", "")]}
+
+
 def test_chat_nulls_and_empty(spark):
     rows = spark.createDataFrame([(1, 1, "assistant", "b"), (1, None, None, None), (1, 1, "assistant", "a"), (None, 0, "user", "z")], "conv_id long, turn int, role string, text string")
-    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in from_turn_rows(rows).collect()}
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in from_rows(rows).collect()}
     assert got == {1: [("", ""), ("assistant", "a"), ("assistant", "b")], None: [("user", "z")]}
-    assert format_chat(from_turn_rows(rows.limit(0))).count() == 0
+    assert format_chat(from_rows(rows.limit(0))).count() == 0
 
 
 # URL filter
