@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
+__all__ = ["ascii_lower", "byte_slices", "cut", "read", "unit"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,17 +24,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the cluster's shared checkpoint folder; a lost executor loses nothing of it.
-
-    The session's spark.checkpoint.dir counts. Only where none is set (tests, one machine) a temporary folder is.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sylva-checkpoint-"))
-    return df.checkpoint()
-
-
 def unit(*cols: Column | str) -> Column:
     """A number in [0, 1) that depends on the columns alone."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,6 +171,15 @@ class Windows:
             yield int(d[j]), int(window[j]), int(edits[j]), max(0, int(end[j]) - rows.shape[1]), int(end[j])
 
 
+def _parts(benchmark: DataFrame, item_id: str, item_text: str, shortest: int) -> Iterator[Broadcast]:
+    """The items, broadcast in parts of about PASS_BYTES; all texts of an item are in one part."""
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.octet_length("text") >= shortest)
+    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
+    for n in range(passes):
+        some = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == n) if passes > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in some.orderBy("item", "text").collect()])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, edits: float = EDITS, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, item_id, n_windows, edits, first_byte, last_byte), a row for each document that holds a passage of an item.
 
@@ -188,13 +198,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
         raise ValueError(f"items need {Q} bytes to be found")
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"id {kinds[0]}, item {kinds[1]}, n_windows long, edits int, first_byte long, last_byte long"
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.octet_length("text") >= shortest)
-    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     out = None
-    for n in range(passes):
-        some = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == n) if passes > 1 else items
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in some.orderBy("item", "text").collect()])
+    for shared in _parts(benchmark, item_id, item_text, shortest):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             windows = Windows(shared.value, window, edits, shortest)
@@ -217,5 +223,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     return out.withColumnsRenamed({"id": doc_id, "item": item_id})
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, edits: float = EDITS, shortest: int = SHORTEST) -> DataFrame:
+    """The rows of docs in which contaminated() finds nothing, each judged by itself in place, whatever its id."""
+    for shared in _parts(benchmark, item_id, item_text, shortest):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            windows = Windows(shared.value, window, edits, shortest)
+            for b in byte_slices(batches, text, 2 << 20):
+                ok = np.ones(b.num_rows, bool)
+                for d, *_ in windows.find([folded(t or "") for t in b.column(text).to_pylist()]):
+                    ok[d] = False
+                yield b.filter(pa.array(ok))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -14,9 +14,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from ..plans.lineage import numbered
 from .common import cut, read, unit
 
 FAN = 64
@@ -30,16 +29,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def numbered(df: DataFrame, column: str) -> DataFrame:
-    """Adds _rank, from 0, by code point with null last; ranges are counted side by side, none is gathered."""
-    order = F.col(column).asc_nulls_last()
-    ranged = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    starts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    return ranked.join(starts, "_part").withColumn("_rank", F.col("_start") + F.col("_own") - 1).drop("_part", "_start", "_own")
-
-
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, docs, target) of sized (source, size); only sums come to the driver.
 
@@ -47,7 +36,8 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights)).cast("int"))
-    per = cut(numbered(per, "source").withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(most))))
+    rank = numbered(per, [F.col("source").asc_nulls_last()], "_rank").withColumn("_rank", F.col("_rank") - 1)
+    per = cut(rank.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(most))))
     total, level, full = None, 0.0, -1
     while True:
         over = F.col("limit") <= F.col("weight") * F.lit(level)
@@ -115,12 +105,13 @@ def _round(items: DataFrame, most_blocks: int) -> DataFrame:
     return done
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 0, numbered: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): how often each row of docs enters the mix.
 
     Sizes are words; null and empty texts have none and are never taken. A null source is a source, the last one.
     Repeated rows are told apart by a number and rounded one by one; null ids are ids. An empty table gives an empty one.
-    Reruns on the same rows agree, in whatever order and partitions they come; only the three columns named are read.
+    Very long texts count whole. Reruns on the same rows agree, in whatever order and partitions they come; only the three
+    columns named are read, so others may have any name. numbered: also copy, that number, from 1.
     """
     kind = docs.schema[doc_id].dataType
     sized = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
@@ -140,11 +131,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     ones = _round(live, -(-(known[1] or 1) // FAN)).select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("copy").alias("_copy"), "one").where("one = 1")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy")) & F.col("source").eqNullSafe(F.col("_source"))
     out = rated.join(ones, same, "left").withColumn("copies", (F.col("base") + F.coalesce("one", F.lit(0))).cast("long"))
-    return out.select(F.col("id").cast(kind).alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("id").cast(kind).alias(doc_id), *(["copy"] if numbered else []), F.col("source").alias(source), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
-
-__all__ = ["mix", "targets", "words", "op3_mixing", "T"]

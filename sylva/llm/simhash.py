@@ -32,11 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, cut, read
+from .common import ascii_lower, byte_slices, cut, read
 from .components import components
 
-#: Values that at least so many fingerprints share are compared with LEADERS of them first.
-CROWDED, LEADERS = 12, 3
+#: Values that at least so many fingerprints share are compared with LEADERS of them first; of what then remains of a value
+#: a task takes SPLIT fingerprints to be met.
+CROWDED, LEADERS, SPLIT = 12, 3, 512
 #: Crowded values whose leaders are broadcast; beyond it those joins shuffle.
 BROADCAST_KEYS = 50_000
 #: Bits of a sketch, in words of 64.
@@ -85,25 +86,31 @@ def bands(features: list[bytes]) -> list[int]:
     return [h(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) % BAND + BAND for i in range(BANDS)]
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, distinct: bool = False, banded: int = 0) -> DataFrame:
-    """(id, fp, digest: 16 bytes of the words in order) of each row; distinct: every feature counts once.
+def words_of(text: Column) -> Column:
+    """The text's words with one space between them, A-Z lowered: what the shingles see of it."""
+    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+", " "))
 
-    banded: also bands, those of the set of shingles of so many words."""
+
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, distinct: bool = False, banded: int = 0, node: str | None = None) -> DataFrame:
+    """(id, fp) of each row; distinct: every feature counts once.
+
+    banded: also bands, those of the set of shingles of so many words. node: a column of longs that comes along."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    extra = {"node": "long"} if node else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, "text"):
-            fps, digests, keys = [], [], []
+            fps, keys = [], []
             for t in b.column("text").to_pylist():
                 f = shingles(t, k)
                 fps.append(fingerprint(list(set(f)) if distinct else f))
-                digests.append(xxhash.xxh128_digest(b" ".join((t or "").encode("utf-8", "replace").lower().split())))
                 if banded:
                     keys.append(bands(shingles(t, banded)))
             more = [pa.array(keys, pa.list_(pa.int64()))] if banded else []
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64()), pa.array(digests, pa.binary()), *more], ["id", "fp", "digest", "bands"][: 3 + len(more)])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in extra), pa.array(fps, pa.int64()), *more], ["id", *extra, "fp", "bands"][: 2 + len(extra) + len(more)])
 
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp long, digest binary" + ", bands array<long>" * bool(banded))
+    own = docs.select(F.col(doc_id).alias("id"), *([F.col(node).alias("node")] if node else []), F.col(text).alias("text"))
+    return own.mapInArrow(run, f"id {kind}" + ", node long" * bool(node) + ", fp long" + ", bands array<long>" * bool(banded))
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -217,8 +224,10 @@ class Plan:
 class Similar:
     """Whether the sets of k-word shingles of two texts have at least a Jaccard similarity; sets are of 32-bit hashes."""
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str, k: int, least: float):
-        self.docs, self.k, self.least = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), k, least
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, k: int, least: float, rows: DataFrame | None = None, row: str | None = None):
+        """Texts go by doc_id; with rows (id, row), one text of each is that whose column row is that row, null for null."""
+        columns = [F.col(doc_id).alias("id"), F.col(text).alias("text")] + ([F.col(row).alias("_row")] if row else [])
+        self.docs, self.k, self.least, self.rows = docs.select(*columns), k, least, rows
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """(id, s: the sorted hashes, sketch: SKETCH parities in longs, then the size) of what is in pairs (a, b)."""
@@ -232,7 +241,12 @@ class Similar:
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["id", "s", "sketch"])
 
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return cut(self.docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, s binary, sketch array<long>").dropDuplicates(["id"]))
+        if self.rows is None:
+            wanted = self.docs.join(ids, "id", "left_semi")
+        else:
+            of = ids.join(self.rows, "id").select(F.col("id").alias("_id"), F.col("row").alias("_r"))
+            wanted = self.docs.join(of, (F.col("id") == F.col("_id")) & F.col("_row").eqNullSafe(F.col("_r")), "left_semi").select("id", "text")
+        return cut(wanted.mapInArrow(run, "id long, s binary, sketch array<long>").dropDuplicates(["id"]))
 
     def may(self, x: str, y: str) -> Column:
         """False only if the sketches prove that the sets are less similar; null without a sketch."""
@@ -309,21 +323,26 @@ def link(nodes: DataFrame, tau: int, parts: int, verify: Similar | None = None)
     known = cut(components(sure))
     grown = nodes.join(known, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp"), *banded)
     grown = cut(grown.join(held.select(F.col("id").alias("node"), "sketch"), "node", "left") if verify else grown)
-    heads = cut(crowded.select(F.col("l0.node").alias("node"), "key").join(known, "node", "left").select("key", F.coalesce("root", "node").alias("head")))
+    splits = F.ceil(F.col("n") / SPLIT).cast("int").alias("splits")
+    heads = cut(crowded.select(F.col("l0.node").alias("node"), "key", splits).join(known, "node", "left").select("key", F.coalesce("root", "node").alias("head"), "splits"))
 
     def marked(probes: bool) -> DataFrame:
         """Entries with apart: whether they are outside the component of their value's first leader; sketches for crowded values alone."""
         out = entries(grown, plan, probes).join(sent(heads), "key", "left").withColumn("apart", F.coalesce(F.col("comp") != F.col("head"), F.lit(True)))
+        out = out.withColumn("splits", F.coalesce("splits", F.lit(1)))
         return (out.withColumn("sketch", F.when(F.col("head").isNotNull(), F.col("sketch"))) if verify else out).drop("head")
 
-    # Side 0 meets all that has the value, side 1 (of the head's component) only what is apart from it.
+    # Side 0 meets all that has the value, side 1 (of the head's component) only what is apart from it. What is met of a
+    # crowded value is dealt to splits, and what meets it goes to all of them.
     probing = marked(True).withColumn("side", F.when(F.col("apart"), 0).otherwise(1)).drop("apart")
+    probing = probing.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
     sides = F.explode(F.when(F.col("apart"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    found = marked(False).withColumnsRenamed({"node": "other", "fp": "ofp", "comp": "ocomp", "sketch": "osketch"}).withColumn("side", sides).drop("apart")
+    found = marked(False).withColumnsRenamed({"node": "other", "fp": "ofp", "comp": "ocomp", "sketch": "osketch"}).withColumn("side", sides)
+    found = found.withColumn("split", F.pmod(F.xxhash64("other"), F.col("splits")).cast("int")).drop("apart", "splits")
     fits = (F.col("node") < F.col("other")) & (F.col("comp") != F.col("ocomp")) & near("fp", "ofp")
     if verify:
         fits = fits & F.coalesce(verify.may("sketch", "osketch"), F.lit(True))
-    more = probing.join(found, ["key", "side"]).where(fits).select(*pair).distinct()
+    more = probing.join(found, ["key", "side", "split"]).where(fits).select(*pair).distinct()
     if verify:
         more = cut(more)
         more = verify.keep(more, verify.sets(more))
@@ -342,28 +361,36 @@ def clusters(prints: DataFrame, tau: int = 2, parts: int = 3) -> DataFrame:
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows come back each."""
-    prints = cut(fingerprints(read(spark, sf_dir, "documents")).select("id", "fp"))
+    prints = cut(fingerprints(read(spark, sf_dir, "documents")))
     return clusters(prints).select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8, tau: int = 7, parts: int = 4) -> DataFrame:
-    """The rows of docs without all but the smallest doc_id of each group of copies.
+    """The rows of docs without all but one of each group of copies: that of the smallest doc_id, which may be of any type.
 
     Texts with the same words in order are copies. So are those whose fingerprints of distinct words differ in at most
     tau bits, or whose sets of shingles share a band, and whose sets of k-word shingles have at least the given similarity;
-    groups are what such links connect.
-    Null, empty and wordless texts are copies of each other. Of repeated rows one stays; rows with a null id all stay.
+    groups are what such links connect. Null, empty and wordless texts are copies of each other.
+
+    Texts, not ids, are what is told apart (by 64 bits of their words' hash): of rows that share an id each different text
+    has its own group. Null ids come after all others and are told apart by their texts alike. Of rows with the same id
+    (or none) and the same words one stays, the least by its columns. Very long texts are hashed whole. Columns of docs may
+    have any names but _node.
     """
-    held = cut(fingerprints(docs.where(F.col(doc_id).isNotNull()), doc_id=doc_id, text=text, k=1, distinct=True, banded=k).withColumn("id", F.col("id").cast("long")))
-    nodes = cut(held.groupBy("digest").agg(F.min("id").alias("node"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
-    roots = cut(link(nodes, tau, parts, Similar(docs, doc_id, text, k, similarity)))
-    least = roots.groupBy("root").agg(F.min("node").alias("keep"))
-    kept = roots.join(least, "root").select("node", "keep")
-    stays = nodes.join(kept, "node", "left").where(F.col("keep").isNull() | (F.col("keep") == F.col("node"))).select(F.col("node").alias("_stay"))
-    out = docs.join(stays, docs[doc_id] == F.col("_stay"), "left").where(F.col("_stay").isNotNull() | docs[doc_id].isNull()).drop("_stay")
-    again = held.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    docs = docs.withColumn("_node", F.xxhash64(words_of(F.col(text))))
+    held = cut(fingerprints(docs, doc_id=doc_id, text=text, k=1, distinct=True, banded=k, node="_node"))
+    nodes = cut(held.groupBy("node").agg(F.min("id").alias("row"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    rows = nodes.select(F.col("node").alias("id"), "row")
+    roots = cut(link(nodes.select("node", "fp", "bands"), tau, parts, Similar(docs, "_node", text, k, similarity, rows, doc_id)))
+    named = nodes.select("node", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct(F.col("row").isNull().alias("none"), "row", "node")).alias("m")
+    stays = named.groupBy("root").agg(first).select(F.col("m.node").alias("_stay"), F.col("m.row").alias("_row"))
+    again = held.groupBy("node", "id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("_stay"), F.lit(True).alias("_many"), F.col("id").alias("_row"))
+    stays = stays.join(again, (stays["_stay"] == again["_stay"]) & stays["_row"].eqNullSafe(again["_row"]), "left").select(stays["_stay"], stays["_row"], "_many")
+    out = docs.join(stays, (F.col("_node") == F.col("_stay")) & F.col(doc_id).eqNullSafe(F.col("_row")))
+    columns = [c for c in docs.columns if c != "_node"]
+    once = out.where("_many is null").select(*columns)
     if again.isEmpty():
-        return out
-    many = F.broadcast(again.select(F.col("id").alias("_many"))) if again.count() <= 100_000 else again.select(F.col("id").alias("_many"))
-    marked = out.join(many, out[doc_id] == F.col("_many"), "left")
-    return marked.where("_many is null").drop("_many").union(marked.where("_many is not null").drop("_many").dropDuplicates([doc_id]))
+        return once
+    least = out.where("_many").groupBy("_node").agg(F.min(F.struct(*columns)).alias("_m")).select(*[F.col("_m")[c].alias(c) for c in columns])
+    return once.union(least)

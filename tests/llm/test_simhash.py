@@ -156,21 +156,38 @@ def test_near_dedup_group_around_the_threshold(spark):
 def test_near_dedup_defined_results(spark):
     rows = [(1, None), (2, ""), (3, "  "), (4, "same words here"), (5, "SAME words\there"), (5, "same words here"), (6, "other words there"), (6, "other words there"), (None, "same words here")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r["doc_id"] or -1 for r in near_dedup(docs).collect()) == [-1, 1, 4, 6]
+    assert sorted(r["doc_id"] or -1 for r in near_dedup(docs).collect()) == [1, 4, 6]
     assert near_dedup(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("native", [False, True])
-def test_components(spark, native):
+def test_near_dedup_of_shared_null_and_string_ids(spark):
+    """Texts are told apart, not ids: a unique text under a shared id stays, of copies without an id one does."""
+    rnd = random.Random(8)
+    t, u, v, w = (" ".join(prose(rnd, 60)) for _ in range(4))
+    rows = [("4", t), ("5", t), ("5", u), ("5", u.upper()), (None, v), (None, v + " more"), (None, w), ("9", w), ("4", "other " + v)]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"], r["text"][:20]) for r in got) == sorted([("4", t[:20]), ("5", u.upper()[:20]), ("4", ("other " + v)[:20]), ("9", w[:20])])
+    longs = spark.createDataFrame([(int(i) if i else None, x) for i, x in rows], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][:20]) for r in near_dedup(longs.repartition(3)).collect()) == sorted((int(r["doc_id"]), r["text"][:20]) for r in got)
+
+
+def test_splits_of_crowded_values_change_nothing(spark, monkeypatch):
+    import sylva.llm.simhash as simhash
+
+    monkeypatch.setattr(simhash, "SPLIT", 7)
+    test_crowded_values_and_chains(spark)
+
+
+def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7)]
     ids = sorted({x for e in edges if e[0] != e[1] for x in e})
     links = {frozenset(e) for e in edges}
     want = linked(ids, lambda i, j: frozenset((i, j)) in links)
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), native).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got) == set(ids)
     assert {(got[i], got[j]) for i in ids for j in ids if got[i] == got[j]} and all((got[i] == got[j]) == (want[i] == want[j]) for i in ids for j in ids)
-    assert components(spark.createDataFrame([], "a long, b long"), native).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def _copies(kind, words, new):
