@@ -1,6 +1,6 @@
 import numpy as np
 
-from sylva.llm.toxicity import Severity, fit, score, train
+from sylva.llm.toxicity import GRADED, RIDGE, SURE, TIMES, Severity, features, fit, op1_toxicity, score, train
 
 DATA = "/root/testdata/sf0.1"
 
@@ -57,3 +57,40 @@ def test_nulls_repeats_and_empty_tables(spark):
     for some in (labels.where("toxic = 0"), labels.limit(0)):
         assert score(docs, train(docs, some)).where("toxic").count() == 0
     assert score(docs.limit(0), Severity({}, (50.0, 60.0))).count() == 0
+
+
+def test_query_against_plain_version(spark):
+    """op1 on the small tables against features, grades and design counted by hand, fitted by plain gradient steps."""
+    path = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    grade = {r["doc_id"]: (0 if not r["toxic"] else 1 if r["quality"] else 2) for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    rows = {i: features(docs[i]) for i in grade if i in docs}
+    n = [sum(grade[i] == 0 for i in rows), sum(grade[i] > 0 for i in rows)]
+    names = []
+    for f in sorted(set().union(*rows.values())):
+        n0, n1 = (sum(f in rows[i] for i in rows if (grade[i] > 0) == k) for k in (False, True))
+        p0, p1, h0, h1 = n0 / n[0], n1 / n[1], (n0 + 0.5) / (n[0] + 1), (n1 + 0.5) / (n[1] + 1)
+        toward = n1 >= 3 and p1 >= TIMES * (n0 + 0.5) / n[0] and p1 - h0 >= SURE * (p1 * (1 - p1) / n[1] + h0 / n[0]) ** 0.5
+        against = n0 >= 3 and p0 >= TIMES * (n1 + 0.5) / n[1] and p0 - h1 >= SURE * (p0 * (1 - p0) / n[0] + h1 * (1 - h1) / n[1]) ** 0.5
+        if toward or against:
+            names.append(f)
+    index = {f: k for k, f in enumerate(names)}
+    ids = sorted(rows, key=lambda i: (grade[i], int(grade[i] > 0), sorted(index[f] for f in rows[i] if f in index)))
+    w, (t1, t2) = fit([np.array(sorted(index[f] for f in rows[i] if f in index), int) for i in ids], np.array([grade[i] for i in ids]), np.ones(len(ids)), len(names), ridge=RIDGE, split=GRADED)
+    got = {r["doc_id"]: (r["expected_severity"], r["grade"], r["toxic"]) for r in op1_toxicity(spark, path).collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        eta = sum(w[index[f]] for f in features(text) if f in index)
+        p1, p2 = 1 / (1 + np.exp(t1 - eta)), 1 / (1 + np.exp(t2 - eta))
+        assert abs(got[i][0] - (p1 + p2)) < 1e-6 and got[i][1] == int(p1 >= 0.5) + int(p2 >= 0.5) and got[i][2] == (p1 >= 0.5)
+
+
+def test_weights_of_either_sign_and_graded_severity(spark):
+    """Words of harmless rows speak against toxicity, and rows of bad quality are more severe."""
+    rows = [(i, "calm sea" if i % 3 == 0 else "vile wretch" if i % 3 == 1 else "vile wretch filth scum") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 < 2), int(i % 3 > 0)) for i in range(120)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    model = train(docs, labels)
+    assert model.weights["calm"] < 0 < model.weights["vile"] and model.weights["filth"] > 0
+    got = {r["doc_id"]: (r["expected_severity"], r["grade"]) for r in score(docs, model).collect()}
+    assert [got[i][1] for i in range(3)] == [0, 1, 2] and got[0][0] < got[1][0] < got[2][0]
