@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, read
 from .components import components
 
-#: Rules travel inside the plan as one literal map, so their number is bounded.
-MOST_RULES = 20_000
+#: Rules travel inside the plan as literal maps of at most so many.
+MAP = 20_000
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -30,26 +30,31 @@ def node_of(url: Column) -> Column:
     return F.concat(F.nullif(host_of(url), F.lit("")), F.lit("/"), tail)
 
 
+def _maps(rules: Sequence[tuple[str, str]]) -> list[Column]:
+    """Rules to verdicts; of a rule that stands twice, an allow counts."""
+    known = {rule: verdict for verdict, rule in sorted(rules, reverse=True)}
+    pairs = list(known.items())
+    return [F.create_map(*[F.lit(x) for kv in pairs[i : i + MAP] for x in kv]) for i in range(0, len(pairs), MAP)]
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The longest rule that fits (null: none); of two as long, one that allows."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     if not rules:
         return F.lit(None).cast("string")
-    known = F.create_map(*[F.lit(x) for verdict, rule in rules for x in (rule, verdict)])
     sizes = sorted({len(rule) - len(rule.partition("/")[0]) for _, rule in rules})
     labels = F.split(host, "\\.", -1)
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     tried = F.flatten(F.transform(ends, lambda e: F.array(*[F.concat(e, F.substring(path, 1, n)) for n in sizes])))
-    ranked = F.transform(
-        F.filter(tried, lambda r: F.map_contains_key(known, r)),
-        lambda r: F.struct(F.length(r).alias("n"), (known[r] == "allow").cast("int").alias("allow"), r.alias("rule")),
-    )
-    return F.array_max(ranked)["rule"]
+
+    def best(known: Column) -> Column:
+        hits = F.filter(tried, lambda r: F.map_contains_key(known, r))
+        return F.array_max(F.transform(hits, lambda r: F.struct(F.length(r).alias("n"), (known[r] == "allow").cast("int").alias("allow"), r.alias("rule"))))
+
+    return F.array_max(F.array(*[best(known) for known in _maps(rules)]))["rule"]
 
 
 def verdict_of(rule: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    return F.create_map(*[F.lit(x) for verdict, r in rules for x in (r, verdict)])[rule] if rules else F.lit(None).cast("string")
+    return F.coalesce(*[known[rule] for known in _maps(rules)]) if rules else F.lit(None).cast("string")
 
 
 def _absolute(link: Column, url: Column) -> Column:
@@ -66,14 +71,14 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) addresses: each page's canonical link and its refresh, the first of either."""
-    tag = lambda name, mark: F.get(F.filter(F.regexp_extract_all(F.col(html), F.lit(f"(?is)<{name}\\b[^>]*>"), F.lit(0)), lambda t: t.rlike(mark)), F.lit(0))
+    """(src, dst) addresses: every canonical link and every refresh of each page."""
+    tags = lambda name, mark: F.filter(F.regexp_extract_all(F.col(html), F.lit(f"(?is)<{name}\\b[^>]*>"), F.lit(0)), lambda t: t.rlike(mark))
     quoted = lambda t, attr: F.regexp_extract(t, f"(?is)\\b{attr}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))", 0)
     bare = lambda c: F.trim(F.regexp_replace(c, "(?is)^\\w+\\s*=\\s*[\"']?|[\"']$", ""))
-    canonical = bare(quoted(tag("link", "(?is)\\brel\\s*=\\s*[\"']?canonical\\b"), "href"))
-    content = bare(quoted(tag("meta", "(?is)http-equiv\\s*=\\s*[\"']?refresh\\b"), "content"))
-    refresh = F.trim(F.regexp_extract(content, "(?is)url\\s*=\\s*['\"]?([^'\"]*)", 1))
-    found = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("src"), F.explode(F.array(canonical, refresh)).alias("link"))
+    canonical = F.transform(tags("link", "(?is)\\brel\\s*=\\s*[\"']?canonical\\b"), lambda t: bare(quoted(t, "href")))
+    after = lambda t: F.trim(F.regexp_extract(bare(quoted(t, "content")), "(?is)url\\s*=\\s*['\"]?([^'\"]*)", 1))
+    refresh = F.transform(tags("meta", "(?is)http-equiv\\s*=\\s*[\"']?refresh\\b"), after)
+    found = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("src"), F.explode(F.concat(canonical, refresh)).alias("link"))
     return found.where("link <> ''").select("src", _absolute(F.col("link"), F.col("src")).alias("dst"))
 
 

@@ -11,12 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 import sylva.llm.nearest as near
+import sylva.llm.url_filter as url_module
 from sylva.llm.chat_format import LAYOUTS, OP7_SQL, escape, format_chat, from_json_records, from_rows, op7_chat_format, read_back, unescape
 from sylva.llm.html_text import html_text, op10_html_text, render
 from sylva.llm.license_scan import PHRASES, TEMPLATES, license_scan, op6_license_scan
 from sylva.llm.nearest import nearest, op9_nearest
 from sylva.llm.token_count import TOKENIZER, counter, op5_token_count, parts, token_counts
-from sylva.llm.url_filter import OP4_SQL, op4_url_filter, url_filter
+from sylva.llm.url_filter import OP4_SQL, RULES, op4_url_filter, url_filter
 
 DATA = "/root/testdata/sf0.01"
 
@@ -82,6 +83,58 @@ def test_license_cases(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+def notices_of(text, coverage=0.5, gap=3):
+    """Labels, score and spans by counting 3-grams on diagonals in plain loops."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    spans, best = [], 0.0
+    for p, label in PHRASES.items():
+        w = p.split()
+        for d in range(-len(w), len(words)):
+            hits = sum(0 <= d + i < len(words) and words[d + i : d + i + 2] == w[i : i + 2] for i in range(len(w) - 1))
+            if hits == len(w) - 1:
+                spans.append((label, d, d + len(w) - 1, 1.0))
+                best = 1.0
+    for label, template in TEMPLATES.items():
+        w = template.split()
+        need, places = len(w) - 2, {}
+        for i in range(need):
+            for at in range(len(words) - 2):
+                if words[at : at + 3] == w[i : i + 3]:
+                    places.setdefault(at - i, []).append(at)
+        runs = []
+        for d in sorted(places):
+            if runs and d - runs[-1][0] <= gap:
+                runs[-1] = (d, runs[-1][1] + places[d])
+            else:
+                runs.append((d, places[d]))
+        for _, at in runs:
+            part = min(1.0, len(at) / need)
+            best = max(best, part)
+            if part >= coverage and max(at) - min(at) < 2 * need:
+                spans.append((label, min(at), max(at) + 2, part))
+    return ",".join(sorted({x for x, *_ in spans})), best, sorted(spans)
+
+
+def test_license_notices_by_plain_loops(spark):
+    rnd = random.Random(14)
+    rows = []
+    for n in range(60):
+        words = []
+        for _ in range(rnd.randrange(1, 4)):
+            w = rnd.choice([*TEMPLATES.values(), *PHRASES]).split()
+            for _ in range(rnd.randrange(5)):
+                i = rnd.randrange(max(1, len(w)))
+                w = rnd.choice([w[:i] + w[i + 1 :], w[:i] + ["odd"] + w[i:], w[: max(3, i)]])
+            words += [*w, *rnd.choices(["some", "words", "between", "the", "license"], k=rnd.randrange(6))]
+        rows.append((n, " ".join(words)))
+    got = {r["doc_id"]: (r["labels"], r["score"], sorted((s["label"], s["first"], s["last"], s["coverage"]) for s in r["spans"])) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, text in rows:
+        labels, score, spans = notices_of(text)
+        assert got[n][0] == labels and abs(got[n][1] - score) < 1e-9, text
+        assert [s[:1] for s in got[n][2]] == [s[:1] for s in spans]
+
+
 # Token counts
 
 
@@ -104,6 +157,7 @@ def test_tokens_of_odd_texts(spark):
     count, rnd = library(), random.Random(4)
     texts = ["", " ", "\n\n  x", "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> ", "don't  I'LL\t'sx", "é  　x", "\x1c\x1f \x85x", "日本語 текст", "x" * 200_000, " " * 70_000 + "y", "ab cd " * 40_000, "٣٤ ½ ²", "\U0001f600" * 9 + "‍"]
     texts += ["".join(rnd.choices("ab \n\t'1.é<|endoftext|>　", k=60)) for _ in range(200)]
+    texts += ["".join(rnd.choices(s, k=90_000)) for s in ("日本語。、", "0123456789,", "a=1;b(){}<|endoftext|>'s'll", "  \n\t", "ab, 12 'd　é")]
     assert counter(TOKENIZER)(texts) == [count(t) for t in texts]
     docs = spark.createDataFrame([(1, None, 1), (None, "a b", 1), (2, "", 1), (2, "x " * 600, 2)], "doc_id long, text string, n_tokens int")
     assert sorted((r["doc_id"] or -1, r["n_bytes"], r["over_limit"]) for r in token_counts(docs).collect()) == [(-1, 3, False), (1, 0, False), (2, 0, False), (2, 1200, True)]
@@ -114,6 +168,7 @@ def test_parts_make_up_the_text():
     text = "some words and more " * 20_000
     got = list(parts(text))
     assert "".join(got) == text and len(got) > 1 and list(parts("")) == [""]
+    assert all(len(list(parts(t))) > 1 for t in ("日本語。" * 50_000, "1,2;" * 50_000, "a=b;" * 50_000))
 
 
 # Chat format
@@ -217,6 +272,50 @@ def test_blocks_spread_over_aliases_and_allow_wins(spark):
     assert url_filter(pages.limit(0)).count() == 0
 
 
+def test_urls_against_a_plain_closure(spark):
+    """Random redirects, several links on a page, and rules against components walked by hand."""
+    rnd = random.Random(7)
+    hosts = ["a.com", "b.org", "example.com", "www.example.com", "x.net", "c.io", "sub.x.net"]
+    urls = sorted({f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'es', 'fr', 'zz'])}/{rnd.randrange(60)}" for _ in range(260)})
+    edges, rows = set(), []
+    for n, u in enumerate(urls[:200]):
+        links = [rnd.choice(urls) for _ in range(rnd.choice([0, 0, 0, 1, 2]))]
+        edges |= {(u, v) for v in links}
+        rows.append((n, u, "".join(f"<link rel=canonical href='{v}'>" if rnd.random() < 0.5 else f'<meta http-equiv=refresh content="1; url={v}">' for v in links)))
+    moved = [(rnd.choice(urls), rnd.choice(urls)) for _ in range(25)]
+    near = {u: {u} for u in urls}
+    for a, b in edges | set(moved):
+        near[a].add(b)
+        near[b].add(a)
+
+    def own(u):
+        host, _, path = u[7:].partition("/")
+        fit = [(len(r), v == "allow", v) for v, r in RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and f"/{path}".startswith("/" + r.split("/", 1)[1])]
+        return max(fit)[2] if fit else None
+
+    want = {}
+    for n, u, _ in rows:
+        seen, todo = {u}, [u]
+        while todo:
+            for v in near[todo.pop()] - seen:
+                seen.add(v)
+                todo.append(v)
+        want[n] = own(u) or ("block" if any(own(v) == "block" for v in seen) else "allow")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter(pages, redirects=spark.createDataFrame(moved, "src string, dst string")).collect()}
+    assert got == want and 20 < sum(own(u) is None and want[n] == "block" for n, u, _ in rows)
+
+
+def test_urls_of_many_rules(spark, monkeypatch):
+    """Rules in several maps give what one map gives."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 40}.{'com' if i % 3 else 'net'}/{'es' if i % 2 else 'en'}/x", "") for i in range(120)], "page_id long, url string, html string")
+    rules = [*RULES, *[("block" if i % 4 == 2 else "allow", f"h{i}.com/en/") for i in range(40)], ("block", "h4.com/en/")]
+    one = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter(pages, rules).collect()}
+    monkeypatch.setattr(url_module, "MAP", 7)
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter(pages, rules).collect()} == one
+    assert ("h4.com/en/", "allow") in one.values() and ("h2.com/en/", "block") in one.values()
+
+
 # HTML text
 
 
