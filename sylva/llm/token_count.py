@@ -20,14 +20,21 @@ from .common import byte_slices, read
 TOKENIZER = "byte_bpe_50k.json"
 # Fixed value: the splitting pattern of byte-level BPE, white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Bytes of text in a batch, characters of a part of a long text, pieces remembered by a task, the longest of them.
-BATCH, PART, MOST_PIECES, LONGEST_PIECE = 4 << 20, 1 << 16, 400_000, 64
+#: Bytes of text in a batch, characters of a part of a long text and of those whose pieces the library sees at once, pieces
+#: remembered by a task, the longest of them.
+BATCH, PART, BATCH_PART, MOST_PIECES, LONGEST_PIECE = 4 << 20, 1 << 16, 1 << 19, 400_000, 64
+
+
+#: Where every piece ends, whatever stands around: after a letter no letter follows, after a digit no digit.
+SAFE = r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})"
 
 
 def parts(text: str, size: int = PART) -> Iterator[str]:
-    """text in parts that are cut before a space between two ASCII letters, where every piece ends."""
-    safe, start = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])"), 0
-    while len(text) - start > size and (m := safe.search(text, start + size)):
+    """text in parts that are cut at the ends of runs of letters or digits; a run that is longer is one piece, and whole."""
+    import regex
+
+    safe, start = regex.compile(SAFE), 0
+    while len(text) - start > size and (m := safe.search(text, start + size)) and m.start() < len(text):
         yield text[start : m.start()]
         start = m.start()
     yield text[start:] if start else text
@@ -62,27 +69,31 @@ def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
     cut, known = regex.compile(PATTERN), {}
     special = re.compile("|".join(re.escape(a["content"]) for a in sorted(added, key=lambda a: -len(a["content"])))) if added else None
 
-    def one(text: str) -> int:
-        pieces = cut.findall(text)
-        if unknown := [p for p in set(pieces) if p not in known]:
-            if len(known) > MOST_PIECES:
-                known.clear()
-                unknown = list(set(pieces))
-            known.update(zip(unknown, encode(unknown), strict=True))
-        n = sum(map(known.__getitem__, pieces))
+    def learn(held: list[tuple[int, list[str]]], out: list[int]) -> None:
+        """Adds the tokens of pieces to their texts; what is new in all of them goes to the library as one batch."""
+        unknown = list({p for _, pieces in held for p in pieces if p not in known})
+        if len(known) > MOST_PIECES:
+            known.clear()
+            unknown = list({p for _, pieces in held for p in pieces})
+        known.update(zip(unknown, encode(unknown), strict=True))
+        for i, pieces in held:
+            out[i] += sum(map(known.__getitem__, pieces))
         for p in unknown:
             if len(p) > LONGEST_PIECE:
                 del known[p]
-        return n
 
     def count(texts: list[str]) -> list[int]:
-        out = []
-        for text in texts:
-            n = 0
-            for part in parts(text):
-                within = special.split(part) if special else [part]
-                n += len(within) - 1 + sum(map(one, within))
-            out.append(n)
+        out, held, size = [0] * len(texts), [], 0
+        for i, text in enumerate(texts):
+            within = special.split(text) if special else [text]
+            out[i] += len(within) - 1
+            for part in (p for w in within for p in parts(w)):
+                held.append((i, cut.findall(part)))
+                size += len(part)
+                if size >= BATCH_PART:
+                    learn(held, out)
+                    held, size = [], 0
+        learn(held, out)
         return out
 
     return count
@@ -91,7 +102,9 @@ def counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, *, doc_id: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit: more than limit tokens), a row for each row of docs.
 
-    Null and empty texts have no tokens. Special strings inside texts count as the library's default has it. tokenizer
+    Null and empty texts have no tokens; repeated rows and rows with a null id are counted each. Other columns are not
+    read, whatever their names. Texts are counted whole; with a tokenizer whose pieces are not those of byte-level BPE, a
+    text goes to the library in one piece. Special strings inside texts count as the library's default has it. tokenizer
     is a path, or a name that public_tokenizers knows on the executor.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
