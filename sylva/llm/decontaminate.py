@@ -24,7 +24,7 @@ Q, WINDOW, EDITS, SHORTEST = 8, 96, 0.08, 24
 STEP = 8
 #: Benchmark text that one pass over the documents takes (its index is some 170 times as large); more is taken in several
 #: passes. Shared q-grams counted at a time, and bands aligned at a time.
-PASS_BYTES, RUN, BATCH = 1 << 20, 1 << 20, 2_048
+PASS_BYTES, RUN, BATCH = 1 << 20, 1 << 17, 2_048
 _FOLD = bytes(32 if c in b"\t\n\v\f\r" else c for c in range(256))
 _MIX, _BITS, _GAP = np.uint64(0x9E3779B97F4A7C15), 22, b"\x00" * Q
 
@@ -94,8 +94,8 @@ class Windows:
     def shared(self, g: np.ndarray) -> np.ndarray:
         """The places of g that hold a q-gram of some window."""
         out = []
-        for lo in range(0, len(g), 1 << 20):
-            part = g[lo : lo + (1 << 20)]
+        for lo in range(0, len(g), 1 << 18):
+            part = g[lo : lo + (1 << 18)]
             at = np.flatnonzero(self.seen[self._slot(part)])
             slot = np.minimum(np.searchsorted(self.known, part[at]), len(self.known) - 1)
             out.append(at[self.known[slot] == part[at]] + lo)
@@ -205,7 +205,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             windows = Windows(shared.value, window, edits, shortest)
             types = None
-            for b in byte_slices(batches, "text", 2 << 20):
+            for b in byte_slices(batches, "text", 1 << 20):
                 ids = b.column("id")
                 types = types or [ids.type, pa.int64() if kinds[1] in ("bigint", "long") else pa.string() if kinds[1] == "string" else pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 found: dict[tuple, list] = {}
@@ -229,7 +229,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             windows = Windows(shared.value, window, edits, shortest)
-            for b in byte_slices(batches, text, 2 << 20):
+            for b in byte_slices(batches, text, 1 << 20):
                 ok = np.ones(b.num_rows, bool)
                 for d, *_ in windows.find([folded(t or "") for t in b.column(text).to_pylist()]):
                     ok[d] = False

@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(pick(0).union(pick(1))), "id")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_slices(batches, "text"):
+        for b in byte_slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column("y"), b.column("grade"), pa.array([sorted(features(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string()))], ["y", "grade", "fs"])
 
     held = cut(chosen.mapInArrow(split, "y int, grade int, fs array<string>"))
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Severity, *, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_slices(batches, "text"):
+        for b in byte_slices(batches, "text", 1 << 20):
             p1, p2 = model.scores(b.column("text").to_pylist())
             grade = (p1 >= 0.5).astype(np.int32) + (p2 >= 0.5)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p1 + p2), pa.array(p1), pa.array(grade, pa.int32()), pa.array(p1 >= 0.5)], ["id", "expected_severity", "p_toxic", "grade", "toxic"])
@@ -152,7 +152,7 @@ def harmless(docs: DataFrame, model: Severity, *, text: str = "text") -> DataFra
     """The rows of docs that score() would not call toxic, each judged by itself in one pass, whatever its id."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_slices(batches, text):
+        for b in byte_slices(batches, text, 1 << 20):
             yield b.filter(pa.array(model.scores(b.column(text).to_pylist())[0] < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
