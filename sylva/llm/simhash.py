@@ -314,10 +314,13 @@ def link(nodes: DataFrame, tau: int, parts: int, verify: Similar | None = None)
     crowded = cut(entries(alone, plan, False).groupBy("key").agg(F.count("*").alias("n"), *first).where(F.col("n") >= CROWDED))
     few = crowded.count() <= BROADCAST_KEYS
     sent = lambda df: F.broadcast(df) if few else df
-    leader = F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"l{s}.node").alias("other"), F.col(f"l{s}.fp").alias("ofp")) for s in range(LEADERS)])))
-    leaders = crowded.select("key", leader.alias("x")).select("key", "x.*")
-    meets = lambda probes: entries(alone, plan, probes).join(sent(leaders), "key").where((F.col("node") != F.col("other")) & near("fp", "ofp")).select(*pair)
-    met = cut(meets(True).union(meets(False)).distinct())
+    # One row for each value of a node with all its leaders; a leader that a node meets at several values is one pair.
+    ls = F.array_distinct(F.array(*[F.struct(F.col(f"l{s}.node").alias("other"), F.col(f"l{s}.fp").alias("ofp")) for s in range(LEADERS)]))
+    leaders = crowded.select("key", ls.alias("ls"))
+    within = lambda x: (x["other"] != F.col("node")) & ((F.bit_count(x["ofp"].bitwiseXOR(F.col("fp"))) <= tau) | (F.lit(bool(banded)) & (F.col("key") >= BAND)))
+    meets = lambda probes: entries(alone, plan, probes).join(sent(leaders), "key").select("node", F.filter("ls", within).alias("ls")).where(F.size("ls") > 0)
+    each = meets(True).union(meets(False)).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("ls"))).alias("ls"))
+    met = cut(each.select("node", F.explode("ls.other").alias("other")).select(*pair).distinct())
     held = verify.sets(met) if verify else None
     sure = cut(verify.keep(met, held)) if verify else met
     known = cut(components(sure))
