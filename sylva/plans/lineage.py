@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,7 +27,25 @@ def cut(df: DataFrame) -> DataFrame:
         folder = context.getCheckpointDir()
     path = f"{folder}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = path
+    return out
+
+
+def measured(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut(df), and aggregates over its rows that are taken while they are written; 0 for none."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(name) for name, c in counts.items()]))
+    return out, {name: int(seen.get.get(name) or 0) for name in counts}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote for these; nothing that is still to be computed may read them."""
+    for df in tables:
+        if path := df.__dict__.get("_written"):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
