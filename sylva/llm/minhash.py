@@ -5,11 +5,11 @@ and an empty bin takes that of another bin, drawn for the bin alone until one is
 with the probability of their similarity however small they are. Bins in groups are bands, and texts meet in the buckets
 of equal bands: a pair of similarity s with probability 1 - (1 - s^ROWS)^BANDS.
 
-A bucket gives a star, not its pairs: its centre is the text of least rank, and in each of the first rounds a text has at
-most one candidate, the least centre among those of its buckets that are not yet in its component. Similar ones are
-joined, by their whole sets, before the next round. Buckets of one component are done. In the others, what is not in the
-component of the bucket's centre meets the rest once, dealt to splits and within the bounds that the sets' sizes and a
-sketch prove, so that no link that a bucket holds is lost.
+A bucket gives a star, not its pairs: its centre is the text of least rank, and in each round of stars a text has at most
+one candidate, the least centre among those of its buckets that are not yet in its component. Candidates that sizes and
+sketches of the sets do not rule out are compared by whole sets, and similar ones joined before the next round, with other
+centres. Buckets of one component are done. When rounds join little, what is not in the component of its bucket's centre
+meets the rest of the bucket once, dealt to splits, so that no link that a bucket holds is lost.
 """
 
 from __future__ import annotations
@@ -24,15 +24,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import measured
 from .common import byte_slices, cut, read
 from .components import components
 
-#: Bands and bins in each: a pair at 0.85 is met with probability 1 - 3e-7, one at 0.5 with 0.4.
-BANDS, ROWS = 32, 6
-#: Rounds of stars, members of a bucket that a task meets at once in what follows them, and bits of a sketch.
-ROUNDS, SPLIT, SKETCH = 2, 512, 1_024
-#: Bytes of a text that are words at the same time.
-PIECE = 1 << 20
+#: Bands and bins in each: a pair at 0.85 is met with probability 1 - 8e-6, one at 0.5 with 0.47.
+BANDS, ROWS = 20, 5
+#: Stars go on while one of so many candidates is a link, at most so many rounds; then a task meets so many members of a
+#: bucket at once. Bits of a sketch.
+WORTH, ROUNDS, SPLIT, SKETCH = 8, 12, 512, 1_024
+#: Bytes of a text that are words at the same time, and what draws another order of the nodes each round.
+PIECE, DRAW = 1 << 20, 0x1B873593CC9E2D51 >> 5
 
 _DRAWN = np.random.default_rng(13).integers(1, 1 << 63, 64, np.int64).astype(np.uint64) | np.uint64(1)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -112,22 +114,23 @@ def _print(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(id, h1, h2: 128 bits of the set, n: its size, bands) of each row."""
+    """(id, h1, h2: 128 bits of the set, n: its size, bands, sketch) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
         for b in byte_slices(batches, "text"):
             sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
             one, two = zip(*map(_print, sets), strict=True)
-            columns = [pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "h1", "h2", "n", "bands"])
+            columns = [pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], longs), pa.array([sketch(s) for s in sets], longs)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", "h1", "h2", "n", "bands", "sketch"])
 
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
-    return own.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, h1 long, h2 long, n long, bands array<long>")
+    return own.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, h1 long, h2 long, n long, bands array<long>, sketch array<long>")
 
 
 def _distinct(held: DataFrame) -> DataFrame:
-    """(node: a long of its own for each set, h1, h2, n, bands, rep: the least id that has it)."""
-    sets = cut(held.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")))
+    """(node: a long of its own for each set, h1, h2, n, bands, sketch, rep: the least id that has it)."""
+    sets = cut(held.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     # Of two sets that share their first 64 bits one keeps them.
     clash = cut(sets.groupBy("h1").agg(F.min("h2").alias("least"), F.max("h2").alias("most")).where("least <> most").select("h1", "least"))
     if clash.isEmpty():
@@ -140,37 +143,42 @@ class Sets:
     """The sets of some nodes, made of the whole texts of their representatives, and whether two are similar."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, k: int, percent: int):
+        """nodes: (node, h1, h2, n, sketch, rep) of all that may be asked for."""
         self.docs = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"))
         self.nodes, self.k, self.percent = nodes, k, percent
 
-    def of(self, wanted: DataFrame) -> DataFrame:
-        """(node, s: sorted hashes, sketch) of the wanted nodes (node)."""
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(node, s: sorted hashes) of all that is in pairs (a, b)."""
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in byte_slices(batches, "text"):
                 sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
                 one, two = zip(*map(_print, sets), strict=True)
-                columns = [pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "s", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "s"])
 
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         known = cut(self.nodes.join(wanted, "node", "left_semi").select("node", "h1", "h2", "rep"))
         texts = self.docs.join(known.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-        made = texts.mapInArrow(run, "h1 long, h2 long, s binary, sketch array<long>").join(known.drop("rep"), ["h1", "h2"])
-        return cut(made.select("node", "s", "sketch").dropDuplicates(["node"]))
+        made = texts.mapInArrow(run, "h1 long, h2 long, s binary").join(known.drop("rep"), ["h1", "h2"])
+        return cut(made.select("node", "s").dropDuplicates(["node"]))
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and sketches do not prove to be too different."""
+        side = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"k{c}"))
+        fits = self.sized(F.col("na"), F.col("nb")) & self.may("ka", "kb", "na", "nb")
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b")
 
     def sized(self, x: Column, y: Column) -> Column:
-        """False only if sets of these sizes cannot be similar."""
         return F.least(x, y) * 100 >= F.greatest(x, y) * self.percent
 
     def may(self, x: str, y: str, n: str, m: str) -> Column:
-        """False only if the sketches prove that the sets are not similar."""
         differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH // 64))
         return differ * (100 + self.percent) <= (F.col(n) + F.col(m)) * (100 - self.percent)
 
-    def similar(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
-        """The similar ones of the pairs (a, b); held are their sets."""
-        percent = self.percent
+    def similar(self, pairs: DataFrame) -> DataFrame:
+        """The similar ones of the pairs (a, b), by their whole sets."""
+        percent, held = self.percent, self.of(pairs)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -188,40 +196,43 @@ class Sets:
         return cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long"))
 
 
-def _pair(x: str, y: str) -> list[Column]:
+def _pair(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def link(nodes: DataFrame, sets: Sets) -> DataFrame:
-    """(node, root) of the nodes (node, n, bands) that similar ones connect; nodes without a link do not come back."""
-    entries = nodes.select("node", "n", F.explode("bands").alias("key"))
-    rank = F.xxhash64("node", F.lit(0))
-    star = entries.groupBy("key").agg(F.min_by("node", rank).alias("centre"), F.min_by("n", rank).alias("cn"), F.min(rank).alias("rank"), F.count("*").alias("size")).where("size > 1")
-    live = cut(entries.join(cut(star), "key").withColumn("comp", F.col("node")).withColumn("other", F.col("centre")))
-    sure, roots = None, None
-    for turn in range(ROUNDS):
+def link(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """(node, root) of the nodes of docs that similar ones connect; nodes without a link do not come back."""
+    entries = nodes.select("node", F.explode("bands").alias("key"))
+    star = cut(entries.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("key", "centre"))
+    live = cut(entries.join(star, "key"))
+    known = cut(nodes.drop("bands").join(live.select("node").distinct(), "node", "left_semi"))
+    sets = Sets(docs, known, doc_id, text, k, percent)
+    live, turn, sure = live.withColumn("comp", F.col("node")).withColumn("other", F.col("centre")), 0, None
+    while True:
+        drawn = lambda c: F.col(c).bitwiseXOR(F.lit(turn * DRAW))  # noqa: B023, E731
         if turn:
-            rank = F.xxhash64("node", F.lit(turn))
-            star = live.groupBy("key").agg(F.min_by("node", rank).alias("centre"), F.min_by("n", rank).alias("cn"), F.min_by("comp", rank).alias("other"), F.min(rank).alias("rank"), F.min("comp").alias("low"), F.max("comp").alias("top"))
-            live = cut(live.select("key", "node", "n", "comp").join(cut(star.where("low <> top").drop("low", "top")), "key"))
-        fits = live.where((F.col("comp") != F.col("other")) & sets.sized(F.col("n"), F.col("cn")))
-        pairs = cut(fits.groupBy("node").agg(F.min_by("centre", "rank").alias("other")).select(*_pair("node", "other")).distinct())
-        found = sets.similar(pairs, sets.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+            star = live.groupBy("key").agg(F.min(drawn("node")).alias("c"), F.min_by("comp", drawn("node")).alias("other"), F.min("comp").alias("low"), F.max("comp").alias("top"))
+            star = star.where("low <> top").select("key", "other", drawn("c").alias("centre"))
+            live = cut(live.select("key", "node", "comp").join(cut(star), "key"))
+        pairs = live.where("comp <> other").groupBy("node").agg(F.min(drawn("centre")).alias("c")).select(*_pair(F.col("node"), drawn("c"))).distinct()
+        pairs, asked = measured(sets.possible(pairs), n=F.count("*"))
+        found = sets.similar(pairs)
         sure = found if sure is None else sure.union(found)
         roots = cut(components(sure))
-        live = live.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
-    rank = F.xxhash64("node", F.lit(ROUNDS))
-    star = live.groupBy("key").agg(F.min_by("comp", rank).alias("head"), F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("top"))
+        live = live.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+        turn += 1
+        if turn == ROUNDS or found.count() * WORTH < max(1, asked["n"]):
+            break
+    star = live.groupBy("key").agg(F.min_by("comp", F.xxhash64("node")).alias("head"), F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("top"))
     left = cut(live.join(cut(star.where("low <> top").drop("low", "top")), "key").withColumn("apart", F.col("comp") != F.col("head")))
     if left.isEmpty():
         return roots
-    held = sets.of(left.select("node").distinct())
-    drawn = left.join(held.select("node", "sketch"), "node").withColumn("splits", F.ceil(F.col("size") / SPLIT).cast("int"))
-    one = drawn.where("apart").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select("key", "split", "node", "n", "comp", "sketch")
-    two = drawn.withColumn("split", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")).select("key", "split", F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("ycomp"), F.col("sketch").alias("ysketch"), "apart")
+    marked = left.join(known.select("node", "n", "sketch"), "node").withColumn("splits", F.ceil(F.col("size") / SPLIT).cast("int"))
+    one = marked.where("apart").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).select("key", "split", "node", "n", "comp", "sketch")
+    two = marked.withColumn("split", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")).select("key", "split", F.col("node").alias("y"), F.col("n").alias("m"), F.col("comp").alias("ycomp"), F.col("sketch").alias("ysketch"), "apart")
     fits = (F.col("comp") != F.col("ycomp")) & ((F.col("node") < F.col("y")) | ~F.col("apart")) & sets.sized(F.col("n"), F.col("m")) & sets.may("sketch", "ysketch", "n", "m")
-    pairs = cut(one.join(two, ["key", "split"]).where(fits).select(*_pair("node", "y")).distinct())
-    return components(sure.union(sets.similar(pairs, held)))
+    pairs = cut(one.join(two, ["key", "split"]).where(fits).select(*_pair(F.col("node"), F.col("y"))).distinct())
+    return components(sure.union(sets.similar(pairs)))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -236,7 +247,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     held = cut(signatures(docs, doc_id, text, k))
     nodes = _distinct(held)
-    roots = cut(link(nodes.select("node", "n", "bands"), Sets(docs, nodes, doc_id, text, k, percent)))
+    roots = cut(link(nodes, docs, doc_id, text, k, percent))
     named = nodes.select("node", "h1", "h2", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = named.join(least, "root").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component_id")
