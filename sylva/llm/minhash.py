@@ -5,11 +5,11 @@ and an empty bin takes that of another bin, drawn for the bin alone until one is
 with the probability of their similarity however small they are. Bins in groups are bands, and texts meet in the buckets
 of equal bands: a pair of similarity s with probability 1 - (1 - s^ROWS)^BANDS.
 
-A bucket gives a star, not its pairs: its centre is the text of least rank, and in each round of stars a text has at most
-one candidate, the least centre among those of its buckets that are not yet in its component. Candidates that sizes and
-sketches of the sets do not rule out are compared by whole sets, and similar ones joined before the next round, with other
-centres. Buckets of one component are done. When rounds join little, what is not in the component of its bucket's centre
-meets the rest of the bucket once, dealt to splits, so that no link that a bucket holds is lost.
+A bucket gives a star, not its pairs: its centre is the text of least rank, and a text has at most one candidate, the
+least centre among those of its buckets. Further rounds have a few stars a bucket, for what is not yet in their components.
+Candidates that sizes and sketches of the sets do not rule out are compared by whole sets, and similar ones joined before
+the next round. Buckets of one component are done. When rounds join little, what is not in the component of its bucket's
+centre meets the rest of the bucket once, dealt to splits, so that no link that a bucket holds is lost.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from .components import components
 
 #: Bands and bins in each: a pair at 0.85 is met with probability 1 - 8e-6, one at 0.5 with 0.47.
 BANDS, ROWS = 20, 5
-#: Stars go on while one of so many candidates is a link, at most so many rounds; then a task meets so many members of a
-#: bucket at once. Bits of a sketch.
-WORTH, ROUNDS, SPLIT, SKETCH = 8, 12, 512, 1_024
+#: Rounds of stars go on while one of WORTH candidates is a link; from the second on a bucket has so many centres. After
+#: them a task meets SPLIT members of a bucket at once. Bits of a sketch.
+WORTH, ROUNDS, CENTRES, SPLIT, SKETCH = 8, 4, 4, 512, 1_024
 #: Bytes of a text that are words at the same time, and what draws another order of the nodes each round.
 PIECE, DRAW = 1 << 20, 0x1B873593CC9E2D51 >> 5
 
@@ -207,15 +207,10 @@ def link(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, perc
     live = cut(entries.join(star, "key"))
     known = cut(nodes.drop("bands").join(live.select("node").distinct(), "node", "left_semi"))
     sets = Sets(docs, known, doc_id, text, k, percent)
-    live, turn, sure = live.withColumn("comp", F.col("node")).withColumn("other", F.col("centre")), 0, None
+    pairs = live.where("node <> centre").groupBy("node").agg(F.min("centre").alias("c"))
+    live, turn, sure = live.select("key", "node"), 0, None
     while True:
-        drawn = lambda c: F.col(c).bitwiseXOR(F.lit(turn * DRAW))  # noqa: B023, E731
-        if turn:
-            star = live.groupBy("key").agg(F.min(drawn("node")).alias("c"), F.min_by("comp", drawn("node")).alias("other"), F.min("comp").alias("low"), F.max("comp").alias("top"))
-            star = star.where("low <> top").select("key", "other", drawn("c").alias("centre"))
-            live = cut(live.select("key", "node", "comp").join(cut(star), "key"))
-        pairs = live.where("comp <> other").groupBy("node").agg(F.min(drawn("centre")).alias("c")).select(*_pair(F.col("node"), drawn("c"))).distinct()
-        pairs, asked = measured(sets.possible(pairs), n=F.count("*"))
+        pairs, asked = measured(sets.possible(pairs.select(*_pair(F.col("node"), F.col("c"))).distinct()), n=F.count("*"))
         found = sets.similar(pairs)
         sure = found if sure is None else sure.union(found)
         roots = cut(components(sure))
@@ -223,6 +218,13 @@ def link(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, perc
         turn += 1
         if turn == ROUNDS or found.count() * WORTH < max(1, asked["n"]):
             break
+        # Several centres a bucket: a member of a group that is no link of one of them is one of another.
+        drawn = [lambda c, d=turn * CENTRES + i: F.col(c).bitwiseXOR(F.lit(d * DRAW)) for i in range(CENTRES)]
+        centres = [x for i, f in enumerate(drawn) for x in (F.min(f("node")).alias(f"c{i}"), F.min_by("comp", f("node")).alias(f"o{i}"))]
+        star = cut(live.groupBy("key").agg(*centres, F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").drop("low", "top"))
+        live = cut(live.join(star, "key"))
+        nearest = live.groupBy("node").agg(*[F.min(F.when(F.col("comp") != F.col(f"o{i}"), F.col(f"c{i}"))).alias(f"c{i}") for i in range(CENTRES)])
+        pairs = nearest.select("node", F.explode(F.array_compact(F.array(*[f(f"c{i}") for i, f in enumerate(drawn)]))).alias("c"))
     star = live.groupBy("key").agg(F.min_by("comp", F.xxhash64("node")).alias("head"), F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("top"))
     left = cut(live.join(cut(star.where("low <> top").drop("low", "top")), "key").withColumn("apart", F.col("comp") != F.col("head")))
     if left.isEmpty():
