@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-__all__ = ["ascii_lower", "byte_slices", "cut", "read", "unit"]
+__all__ = ["ascii_lower", "byte_slices", "cut", "read", "unit", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,6 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to differ from all columns of df."""
+    taken, before = {c.lower() for c in df.columns}, "_"
+    while any((before + n).lower() in taken for n in names):
+        before += "_"
+    return [before + n for n in names]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone, so that offsets and other scripts stay."""
     return F.translate(c, UPPER, LOWER)

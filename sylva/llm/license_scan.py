@@ -1,4 +1,8 @@
-"""License scan by diagonal voting: word k-grams join template positions, and offsets vote."""
+"""License scan by diagonal voting: word k-grams join template positions, and offsets vote.
+
+Neighbouring diagonals are merged; then the span around the one of most votes is verified: what counts is how many
+different positions of the notice stand on diagonals close to it, so a repeated phrase counts once.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +29,7 @@ TEMPLATES = {
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
-#: Templates travel as a local relation that is broadcast, so their words are bounded.
+#: Template words up to which their table is broadcast; a larger one is joined by a shuffle.
 MOST_TEMPLATE_WORDS = 200_000
 MARK = "\x00"  # no word holds it
 
@@ -42,17 +46,16 @@ def _grams(spark: SparkSession, phrases: Mapping[str, str], templates: Mapping[s
         if len(w) < k:
             raise ValueError(f"a template needs {k} words: {text!r}")
         rows += [(n, label, len(w) - k + 1, i, w[i], w[i + 1], w[i + 2] if k == 3 else None) for i in range(len(w) - k + 1)]
-    if len(rows) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"more than {MOST_TEMPLATE_WORDS} template words")
-    return spark.createDataFrame(rows, "tpl int, label string, need int, tpos int, t1 string, t2 string, t3 string").withColumn("h", F.when(F.col("t1") == MARK, F.lit(0).cast("long")).otherwise(F.xxhash64("t1", "t2")))
+    table = spark.createDataFrame(rows, "tpl int, label string, need int, tpos int, t1 string, t2 string, t3 string").withColumn("h", F.when(F.col("t1") == MARK, F.lit(0).cast("long")).otherwise(F.xxhash64("t1", "t2")))
+    return F.broadcast(table) if len(rows) <= MOST_TEMPLATE_WORDS else table
 
 
 def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, *, doc_id: str = "doc_id", text: str = "text", coverage: float = 0.5, gap: int = 3) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    Every place where a phrase stands word by word counts in n_base. A notice is found where the 3-grams on one diagonal
-    (place in the document less place in the notice), or on diagonals at most gap apart, cover at least the given part of
-    it. score is the largest coverage of anything found, 1 for a phrase. spans has (label, first, last, coverage).
+    Every place where a phrase stands word by word counts in n_base. The 3-grams of a notice vote for diagonals (place in
+    the document less place in the notice); diagonals at most gap apart are one run. A notice is found where different
+    3-grams of it within 2 * gap of a run's fullest diagonal (of several the first) cover at least the given part. score is the largest coverage of anything found, 1 for a phrase. spans has (label, first, last, coverage).
 
     Null and empty texts, and texts without words, have n_words 0, empty labels, null places and score 0. Repeated rows
     and repeated or null ids give a row each. Columns other than the two named are not read.
@@ -63,17 +66,20 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, template
     zipped = F.arrays_zip(F.col("w").alias("w1"), F.slice("w", 2, F.size("w")).alias("w2"), F.slice("w", 3, F.size("w")).alias("w3"))
     rolled = own.select("id", "row", "n_words", F.posexplode(zipped).alias("at", "g")).select("id", "row", "n_words", "at", "g.*")
     rolled = rolled.withColumn("gh", F.when(F.col("w1") == MARK, F.lit(0).cast("long")).otherwise(F.xxhash64("w1", "w2")))
-    table = F.broadcast(_grams(spark, phrases, templates))
+    table = _grams(spark, phrases, templates)
     same = (F.col("gh") == F.col("h")) & (F.col("w1") == F.col("t1")) & (F.col("t2").isNull() | (F.col("t2") == F.col("w2"))) & (F.col("t3").isNull() | (F.col("t3") == F.col("w3")))
-    hits = rolled.join(table, same).select("id", "row", "n_words", "tpl", "label", "need", (F.col("at") - 1 - F.col("tpos")).cast("long").alias("diag"), (F.col("at") - 1).cast("long").alias("at"))
+    hits = rolled.join(table, same).select("id", "row", "n_words", "tpl", "label", "need", "tpos", (F.col("at") - 1 - F.col("tpos")).cast("long").alias("diag"), (F.col("at") - 1).cast("long").alias("at"))
     n = len(phrases)
-    votes = hits.repartition("row").groupBy("row", "tpl", "diag").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("need").alias("need"), F.count("*").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    votes = hits.repartition("row").groupBy("row", "tpl", "diag").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("need").alias("need"), F.count("*").alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_list("tpos").alias("places"))
     by = Window.partitionBy("row", "tpl").orderBy("diag")
     fresh = (F.col("tpl") < n) | (F.col("diag") - F.lag("diag").over(by) > gap) | F.lag("diag").over(by).isNull()
-    merged = votes.withColumn("run", F.sum(fresh.cast("int")).over(by)).groupBy("row", "tpl", "run").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("need").alias("need"), F.sum("votes").alias("votes"), F.min("diag").alias("diag"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    part = F.when(F.col("need") > 0, F.least(F.lit(1.0), F.col("votes") / F.col("need"))).otherwise(0.0)
+    merged = votes.withColumn("run", F.sum(fresh.cast("int")).over(by)).groupBy("row", "tpl", "run").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.first("need").alias("need"), F.sum("votes").alias("votes"), F.min("diag").alias("diag"), F.collect_list(F.struct("votes", F.negative("diag").alias("back"), "lo", "hi", "places")).alias("all"))
+    peak = F.array_max(F.transform("all", lambda x: F.struct(x["votes"], x["back"])))["back"]
+    merged = merged.withColumn("peak", peak).withColumn("near", F.filter("all", lambda x: F.abs(x["back"] - F.col("peak")) <= 2 * gap))
+    merged = merged.withColumn("lo", F.array_min("near.lo")).withColumn("hi", F.array_max("near.hi")).withColumn("held", F.size(F.array_distinct(F.flatten("near.places"))))
+    part = F.when(F.col("need") > 0, F.col("held") / F.col("need")).otherwise(0.0)
     base = F.col("tpl").between(0, n - 1) & (F.col("votes") == F.col("need"))
-    notice = (F.col("tpl") >= n) & (part >= coverage) & (F.col("hi") - F.col("lo") < 2 * F.col("need"))
+    notice = (F.col("tpl") >= n) & (part >= coverage)
     scored = F.when(F.col("tpl") >= n, part).when(base, F.lit(1.0)).otherwise(0.0)
     width = F.when(F.col("tpl") < n, F.col("need")).otherwise(F.col("hi") - F.col("lo") + 2)
     start = F.when(F.col("tpl") < n, F.col("diag")).otherwise(F.col("lo"))
