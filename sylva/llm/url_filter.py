@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, read
+from .common import ascii_lower, cut, read, unused
 from .components import components
 
 #: Rules travel inside the plan as literal maps of at most so many.
@@ -71,15 +71,22 @@ def _absolute(link: Column, url: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) addresses: every canonical link and every refresh of each page."""
-    tags = lambda name, mark: F.filter(F.regexp_extract_all(F.col(html), F.lit(f"(?is)<{name}\\b[^>]*>"), F.lit(0)), lambda t: t.rlike(mark))
-    quoted = lambda t, attr: F.regexp_extract(t, f"(?is)\\b{attr}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))", 0)
-    bare = lambda c: F.trim(F.regexp_replace(c, "(?is)^\\w+\\s*=\\s*[\"']?|[\"']$", ""))
-    canonical = F.transform(tags("link", "(?is)\\brel\\s*=\\s*[\"']?canonical\\b"), lambda t: bare(quoted(t, "href")))
+    """(src, dst) addresses: every canonical link and every refresh of each page, as seen from its base address.
+
+    Comments are no part of a page; canonical may be one of several words of rel; the first base with an href counts.
+    """
+    text = F.regexp_replace(F.col(html), "(?s)<!--.*?(?:-->|\\z)", " ")
+    tags = lambda name: F.regexp_extract_all(F.col("html"), F.lit(f"(?is)<{name}\\b[^>]*>"), F.lit(0))
+    quoted = lambda t, attr: F.regexp_extract(t, f"(?is)(?<![\\w-]){attr}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))", 0)
+    bare = lambda c: F.trim(F.regexp_replace(c, "(?is)^[\\w-]+\\s*=\\s*[\"']?|[\"']$", ""))
+    words = lambda t: F.split(F.lower(bare(quoted(t, "rel"))), "\\s+")
+    canonical = F.transform(F.filter(tags("link"), lambda t: F.array_contains(words(t), "canonical")), lambda t: bare(quoted(t, "href")))
     after = lambda t: F.trim(F.regexp_extract(bare(quoted(t, "content")), "(?is)url\\s*=\\s*['\"]?([^'\"]*)", 1))
-    refresh = F.transform(tags("meta", "(?is)http-equiv\\s*=\\s*[\"']?refresh\\b"), after)
-    found = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("src"), F.explode(F.concat(canonical, refresh)).alias("link"))
-    return found.where("link <> ''").select("src", _absolute(F.col("link"), F.col("src")).alias("dst"))
+    refresh = F.transform(F.filter(tags("meta"), lambda t: F.lower(bare(quoted(t, "http-equiv"))) == "refresh"), after)
+    base = F.get(F.filter(F.transform(tags("base"), lambda t: bare(quoted(t, "href"))), lambda h: h != ""), F.lit(0))
+    found = pages.where(F.col(html).rlike("(?i)canonical|refresh")).select(F.col(url).alias("src"), text.alias("html"))
+    found = found.select("src", F.coalesce(_absolute(base, F.col("src")), F.col("src")).alias("base"), F.explode(F.concat(canonical, refresh)).alias("link"))
+    return found.where("link <> ''").select("src", _absolute(F.col("link"), F.col("base")).alias("dst"))
 
 
 def url_filter(
@@ -97,27 +104,28 @@ def url_filter(
     by a rule, else allowed. Targets that are not pages count as well.
 
     Null addresses and those without "://" have empty host and path, no component, and are allowed. Repeated rows stay.
-    Columns of pages named like an added one are replaced.
+    Columns of pages named like an added one are replaced; any other names stay, and very long pages are read whole.
     """
     added = ["host", "path", "rule", "verdict", "component"]
-    at = F.col("`_url`")
-    own = pages.withColumn("_url", F.col(url)).drop(*[c for c in added if c != url])
+    here, node, bad, least = unused(pages, "url", "node", "bad", "least")
+    at = F.col(here)
+    own = pages.withColumn(here, F.col(url)).drop(*[c for c in added if c != url])
     links = redirects.select("src", "dst") if redirects is not None else None
     if html is not None:
         found = page_links(pages.select(F.col(url).alias("url"), F.col(html).alias("html")))
         links = found if links is None else links.union(found)
     judged = lambda df, c: df.withColumn("host", host_of(c)).withColumn("path", path_of(c)).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    out = judged(own, at).withColumn("verdict", verdict_of(F.col("rule"), rules)).withColumn("_node", node_of(at))
+    out = judged(own, at).withColumn("verdict", verdict_of(F.col("rule"), rules)).withColumn(node, node_of(at))
     edges = cut(links.select(node_of(F.col("src")).alias("a"), node_of(F.col("dst")).alias("b")).where("a <> b").distinct()) if links is not None else None
     if edges is None or edges.isEmpty():
-        out = out.withColumn("component", F.col("_node")).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+        out = out.withColumn("component", F.col(node)).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
     else:
         found = cut(components(edges))
         ruled = judged(found, F.concat(F.lit("x://"), F.col("node"))).select("node", "root", verdict_of(F.col("rule"), rules).alias("own"))
-        groups = ruled.groupBy("root").agg(F.max((F.col("own") == "block").cast("int")).alias("_bad"), F.min("node").alias("_least"))
-        alias = ruled.select(F.col("node").alias("_node"), "root").join(groups, "root").drop("root")
-        out = out.join(alias, "_node", "left").withColumn("component", F.coalesce("_least", "_node"))
-        out = out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("_bad") == 1, "block"), F.lit("allow")))
+        groups = ruled.groupBy("root").agg(F.max((F.col("own") == "block").cast("int")).alias(bad), F.min("node").alias(least))
+        alias = ruled.select(F.col("node").alias(node), "root").join(groups, "root").drop("root")
+        out = out.join(alias, node, "left").withColumn("component", F.coalesce(least, node))
+        out = out.withColumn("verdict", F.coalesce("verdict", F.when(F.col(bad) == 1, "block"), F.lit("allow")))
     return out.select(*[c for c in pages.columns if c not in added or c == url], *[c for c in added if c != url])
 
 
