@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import byte_slices, read
 
@@ -197,6 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     if shortest < Q:
         raise ValueError(f"items need {Q} bytes to be found")
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
     schema = f"id {kinds[0]}, item {kinds[1]}, n_windows long, edits int, first_byte long, last_byte long"
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     out = None
@@ -207,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
             types = None
             for b in byte_slices(batches, "text", 1 << 20):
                 ids = b.column("id")
-                types = types or [ids.type, pa.int64() if kinds[1] in ("bigint", "long") else pa.string() if kinds[1] == "string" else pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                types = types or [ids.type, item_type, pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 found: dict[tuple, list] = {}
                 for d, w, e, lo, hi in windows.find([folded(t or "") for t in b.column("text").to_pylist()]):
                     for item in windows.items[w]:
