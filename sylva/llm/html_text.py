@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -22,7 +22,7 @@ from .common import byte_slices, read
 # Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript template textarea title".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas map".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes title datalist object audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table hr figure fieldset menu".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary caption thead tbody tfoot tr td th".split())
 ENDS_P = (BLOCK | {"hr"}) - frozenset("body html option optgroup td th tr thead tbody tfoot caption".split())
@@ -44,6 +44,8 @@ BARE = re.compile(r"[^\s>]*")
 NONE, GONE, SHOWN = re.compile(r"display\s*:\s*none", re.I), re.compile(r"visibility\s*:\s*(?:hidden|collapse)", re.I), re.compile(r"visibility\s*:\s*visible", re.I)
 DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)", re.I)
 PLAIN = re.compile(r"[\w-]*[.#]?[\w-]+")
+#: Inputs whose value is not shown as text.
+MUTE = frozenset("checkbox radio password file image color range".split())
 #: Levels of lists that are shown by indentation, deeper ones by their number; tables whose padding would be more than
 #: so many times their text are written without it. Both keep what a page renders to in proportion to the page.
 INDENTED, PADDING = 20, 8
@@ -101,8 +103,10 @@ class Buffer:
 def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
     """rows of cells (text, colspan, rowspan) as rows of (first column, end, text), around cells that reach down."""
     out, held = [], []  # held: [first, end, the row before which it ends], in order of columns
+    ending: dict[int, list[int]] = {}  # the first columns of those that end before a row
     for r, row in enumerate(rows):
-        held = [h for h in held if h[2] > r]
+        for first in ending.pop(r, ()):
+            del held[bisect_left(held, [first])]
         at, k, line, new = 0, 0, [], []
         for text, wide, high in row:
             while k < len(held) and held[k][0] < at + wide:  # the next one stands in the way
@@ -115,7 +119,9 @@ def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int,
                     new.append([at, at + wide, r + high])
             at += wide
         out.append(line)
-        held = sorted(held + new)
+        for h in new:
+            insort(held, h)
+            ending.setdefault(h[2], []).append(h[0])
     return out
 
 
@@ -166,10 +172,12 @@ class Page:
     at holds for each tag where in the stack it stands, so that no search goes through the stack.
     """
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, hidden_by: set[str] | None = None) -> None:
+        """hidden_by: what the whole page's style sheets hide, if that is known from a pass before."""
         self.source, self.stack, self.root = source, [], Buffer()
         self.at: dict[str, list[int]] = {}
-        self.buffer, self.hidden_by = self.root, set()
+        self.buffer, self.hidden_by = self.root, hidden_by or set()
+        self.known, self.late = hidden_by is not None, False
 
     def unseen(self, tag: str, at: dict[str, str]) -> bool:
         style = at.get("style", "")
@@ -183,6 +191,9 @@ class Page:
         Rules within @media for all or the screen and within @layer count, those of other at-rules do not: what hangs on
         a condition stays visible.
         """
+        if self.known:
+            return
+        self.late = self.late or bool(self.root.out) or any(e[0] not in ("html", "head", "style") for e in self.stack)
         css, at, open_blocks, counts = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S), 0, [], True
         for m in re.finditer(r"[{};]", css):
             head, at = css[at : m.start()].strip(), m.end()
@@ -203,7 +214,7 @@ class Page:
     def _rule(self, selectors: str, body: str) -> None:
         if shown := DISPLAY.findall(body):
             plain = {x for x in map(str.strip, selectors.split(",")) if PLAIN.fullmatch(x)}
-            self.hidden_by = self.hidden_by | plain if shown[-1].lower() == "none" else self.hidden_by - plain
+            (self.hidden_by.update if shown[-1].lower() == "none" else self.hidden_by.difference_update)(plain)
 
     def shown(self) -> bool:
         return not self.stack or (self.stack[-1][1] and self.stack[-1][2])
@@ -229,7 +240,7 @@ class Page:
                     self.buffer.line(2)
                 elif tag == "img" and at.get("alt", "").strip():
                     self.buffer.text(at["alt"], False)
-                elif tag == "input" and at.get("type", "text").lower() in ("submit", "button", "reset", "text") and at.get("value"):
+                elif tag == "input" and at.get("type", "text").strip().lower() not in MUTE and at.get("value"):
                     self.buffer.text(f" {at['value']} ", False)
             return
         self.push(tag, at)
@@ -387,7 +398,12 @@ def _raw_end(tag: str) -> re.Pattern:
 
 
 def render(source: str | None) -> str:
-    return Page(source).render() if source else ""
+    """The page's visible text; a style sheet that stands after some of it takes a second pass."""
+    if not source:
+        return ""
+    page = Page(source)
+    text = page.render()
+    return Page(source, page.hidden_by).render() if page.late else text
 
 
 def html_text(pages: DataFrame, *, page_id: str = "page_id", source: str = "html") -> DataFrame:
@@ -396,7 +412,8 @@ def html_text(pages: DataFrame, *, page_id: str = "page_id", source: str = "html
     Blocks stand on lines of their own, paragraphs, lists and tables with a blank line around; list items have a dash or
     their number and are indented by depth, beyond 20 levels told by number; cells are padded to their column (across
     spans of columns and rows) and parted by " | ", but for tables whose padding would be over eight times their text.
-    Heads, scripts, hidden elements (attribute, style, plain rules of the page's own style sheet) are left out. Null and
+    Heads, scripts, hidden elements (attribute, style, plain rules of the page's own style sheets, wherever they stand) are
+    left out. Null and
     empty pages have an empty text; broken mark-up ends where the page does, and a tag that never ends is none. Time and
     memory grow with the page's length, whatever it holds. Repeated rows and rows with a null id come back each. Other
     columns are not read, also one named text.
