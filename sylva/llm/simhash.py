@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, byte_slices, cut, read
+from .common import ascii_lower, byte_slices, cut, read, unused
 from .components import components
 
 #: Values that at least so many fingerprints share are compared with LEADERS of them first; of what then remains of a value
@@ -378,22 +378,24 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     Texts, not ids, are what is told apart (by 64 bits of their words' hash): of rows that share an id each different text
     has its own group. Null ids come after all others and are told apart by their texts alike. Of rows with the same id
     (or none) and the same words one stays, the least by its columns. Very long texts are hashed whole. Columns of docs may
-    have any names but _node.
+    have any names and types.
     """
-    docs = docs.withColumn("_node", F.xxhash64(words_of(F.col(text))))
-    held = cut(fingerprints(docs, doc_id=doc_id, text=text, k=1, distinct=True, banded=k, node="_node"))
+    columns, (node, stay, row, many) = docs.columns, unused(docs, "node", "stay", "row", "many")
+    docs = docs.withColumn(node, F.xxhash64(words_of(F.col(text))))
+    held = cut(fingerprints(docs, doc_id=doc_id, text=text, k=1, distinct=True, banded=k, node=node))
     nodes = cut(held.groupBy("node").agg(F.min("id").alias("row"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
     rows = nodes.select(F.col("node").alias("id"), "row")
-    roots = cut(link(nodes.select("node", "fp", "bands"), tau, parts, Similar(docs, "_node", text, k, similarity, rows, doc_id)))
+    roots = cut(link(nodes.select("node", "fp", "bands"), tau, parts, Similar(docs, node, text, k, similarity, rows, doc_id)))
     named = nodes.select("node", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("row").isNull().alias("none"), "row", "node")).alias("m")
-    stays = named.groupBy("root").agg(first).select(F.col("m.node").alias("_stay"), F.col("m.row").alias("_row"))
-    again = held.groupBy("node", "id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("_stay"), F.lit(True).alias("_many"), F.col("id").alias("_row"))
-    stays = stays.join(again, (stays["_stay"] == again["_stay"]) & stays["_row"].eqNullSafe(again["_row"]), "left").select(stays["_stay"], stays["_row"], "_many")
-    out = docs.join(stays, (F.col("_node") == F.col("_stay")) & F.col(doc_id).eqNullSafe(F.col("_row")))
-    columns = [c for c in docs.columns if c != "_node"]
-    once = out.where("_many is null").select(*columns)
+    stays = named.groupBy("root").agg(first).select(F.col("m.node").alias("node"), F.col("m.row").alias("row"))
+    again = held.groupBy("node", "id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("_n"), F.col("id").alias("_i"), F.lit(True).alias("many"))
+    stays = stays.join(again, (F.col("node") == F.col("_n")) & F.col("row").eqNullSafe(F.col("_i")), "left").select(F.col("node").alias(stay), F.col("row").alias(row), F.col("many").alias(many))
+    out = docs.join(stays, (F.col(node) == F.col(stay)) & F.col(doc_id).eqNullSafe(F.col(row)))
+    once = out.where(F.col(many).isNull()).select(*columns)
     if again.isEmpty():
         return once
-    least = out.where("_many").groupBy("_node").agg(F.min(F.struct(*columns)).alias("_m")).select(*[F.col("_m")[c].alias(c) for c in columns])
+    # Of the same words and id the least by its columns as JSON stays, so that columns may be of any type.
+    whole = F.struct(*columns)
+    least = out.where(F.col(many)).groupBy(node).agg(F.min_by(whole, F.to_json(whole)).alias(many)).select(*[F.col(many)[c].alias(c) for c in columns])
     return once.union(least)

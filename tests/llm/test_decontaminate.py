@@ -147,3 +147,12 @@ def test_memory_of_repetitive_texts():
     assert {w for _, w, *_ in windows.find([folded(phrase * 4_000)])} == set(range(len(windows.text)))
     assert tracemalloc.get_traced_memory()[1] < 300e6 and time.time() - began < 90
     tracemalloc.stop()
+
+
+def test_items_of_any_type_of_id(spark):
+    text = "the quick brown fox jumps over the lazy dog and then runs far away from all of them, again and again, until night"
+    docs = spark.createDataFrame([(1, "before it " + text + " after it")], "doc_id long, text string")
+    for kind in ("tinyint", "smallint", "int", "bigint", "double", "decimal(9,2)", "string", "date"):
+        bench = spark.sql(f"select cast({'date' if kind == 'date' else ''}{'\'2020-01-02\'' if kind == 'date' else '7'} as {kind}) as item_id, '{text}' as text union all select null, 'quite another item that stands nowhere in these documents, however long one looks for it in there'")
+        got = contaminated(docs, bench).collect()
+        assert len(got) == 1 and got[0]["item_id"] == bench.where("item_id is not null").first()["item_id"]

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sylva.llm.components import components
 from sylva.llm.simhash import Similar, allocate, clusters, fingerprint, fingerprints, near_dedup, op8_simhash_dedup, shingles
@@ -217,3 +218,10 @@ def test_near_copies_by_kind_of_edit(spark, kind, lengths):
     assert alike > 150
     kept = near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).count()
     assert kept - (len(rows) - alike) <= 1
+
+
+def test_near_dedup_of_any_columns(spark):
+    """Columns of internal names, and maps, which have no order."""
+    df = spark.sql("select * from values (1, 'some words that are the same', map('b', 1), 'x', 1L), (1, 'some words that are the same', map('a', 1), 'y', 2L), (2, 'quite another text of words', null, 'z', 3L) as t(doc_id, text, m, _node, _stay)").withColumn("_many", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("_n", F.lit(3))
+    got = near_dedup(df).collect()
+    assert sorted((r["doc_id"], str(r["m"]), r["_node"], r["_many"], r["_row"]) for r in got) == [(1, "{'a': 1}", "y", 1, 2), (2, "None", "z", 1, 2)]

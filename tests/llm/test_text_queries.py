@@ -4,12 +4,14 @@ import json
 import os
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import sylva.llm.license_scan as license_module
 import sylva.llm.nearest as near
 import sylva.llm.url_filter as url_module
 from sylva.llm.chat_format import LAYOUTS, OP7_SQL, escape, format_chat, from_json_records, from_rows, op7_chat_format, read_back, unescape
@@ -101,18 +103,20 @@ def notices_of(text, coverage=0.5, gap=3):
         for i in range(need):
             for at in range(len(words) - 2):
                 if words[at : at + 3] == w[i : i + 3]:
-                    places.setdefault(at - i, []).append(at)
+                    places.setdefault(at - i, []).append((at, i))
         runs = []
         for d in sorted(places):
-            if runs and d - runs[-1][0] <= gap:
-                runs[-1] = (d, runs[-1][1] + places[d])
+            if runs and d - runs[-1][-1] <= gap:
+                runs[-1].append(d)
             else:
-                runs.append((d, places[d]))
-        for _, at in runs:
-            part = min(1.0, len(at) / need)
+                runs.append([d])
+        for run in runs:
+            peak = max(run, key=lambda d: (len(places[d]), -d))
+            near = [x for d in run if abs(d - peak) <= 2 * gap for x in places[d]]
+            part = len({i for _, i in near}) / need
             best = max(best, part)
-            if part >= coverage and max(at) - min(at) < 2 * need:
-                spans.append((label, min(at), max(at) + 2, part))
+            if part >= coverage:
+                spans.append((label, min(at for at, _ in near), max(at for at, _ in near) + 2, part))
     return ",".join(sorted({x for x, *_ in spans})), best, sorted(spans)
 
 
@@ -135,6 +139,16 @@ def test_license_notices_by_plain_loops(spark):
         assert [s[:1] for s in got[n][2]] == [s[:1] for s in spans]
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_repeated_phrases_are_no_notice(spark, monkeypatch, most):
+    """Repeats of a part of a notice count once; a whole notice after them is found; with and without a broadcast."""
+    monkeypatch.setattr(license_module, "MOST_TEMPLATE_WORDS", most)
+    rows = [(1, "redistribution and use " * 12), (2, "this program is " * 3 + "free software you " * 20), (3, "free of charge " * 20), (4, "redistribution and use " * 12 + TEMPLATES["bsd"])]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["labels"] for i in (1, 2, 3, 4)] == ["", "", "", "bsd"] and got[4]["score"] == 1
+    assert all(got[i]["score"] < 0.2 for i in (1, 2, 3))
+
+
 # Token counts
 
 
@@ -517,3 +531,33 @@ def test_nearest_ties_invalid_and_empty(spark):
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
     assert nearest(few, few).count() == 6
     assert nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_links_in_comments_bases_and_several_words(spark):
+    page = lambda i, h: (i, f"http://p{i}.example.org/x/y", f"<html>{h}</html>")
+    bad = "http://example.com/en/bad"
+    pages = [
+        page(1, f"<!-- <link rel=canonical href='{bad}'> -->"), page(2, f"<link href='{bad}' rel='next CANONICAL'>"), page(3, "<base href='http://example.com/en/'><link rel=canonical href=bad>"),
+        page(4, f"<link rel='canonicals' href='{bad}'>"), page(5, f"<!-- open <link rel=canonical href='{bad}'>"), page(6, f"<META HTTP-EQUIV=Refresh CONTENT='0; URL={bad}'>"), page(7, f"<link rel=canonical data-href='{bad}'>"),
+    ]
+    df = spark.createDataFrame([(*p, "kept", "too", i, -i, "u") for i, p in enumerate(pages)], "page_id long, url string, html string, _node string, _url string, _bad int, _least int, __bad string")
+    got = {r["page_id"]: r for r in url_filter(df).collect()}
+    assert {i: r["verdict"] for i, r in got.items()} == {1: "allow", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block", 7: "allow"}
+    assert all((r["_node"], r["_url"], r["_bad"], r["_least"], r["__bad"]) == ("kept", "too", i - 1, 1 - i, "u") for i, r in got.items())
+
+
+def test_values_maps_and_late_style_sheets():
+    assert render("<p>a<input type=email value=me@x.org><input type=search value=find><input value=t><input type=Number value=7>b").split() == ["a", "me@x.org", "find", "t", "7", "b"]
+    assert render("<input type=hidden value=h><input type=password value=p><input type=checkbox value=c>ok") == "ok"
+    assert render("<map name=m><p>inside</p><area alt=x></map>after") == "inside\n\nafter"
+    assert render("<p class=x>hid</p><p>seen</p><style>.x{display:none}</style>") == "seen"
+    assert render("<style>.x{display:none}</style><p class=x>hid</p><p>seen</p><style>.x{display:block}</style>") == "hid\n\nseen"
+
+
+def test_time_of_many_rules_and_spans():
+    rules = "<style>" + "".join(f".c{i}{{display:none}}" for i in range(40_000)) + "</style><p class=c7>no</p>yes"
+    cells = "<table><tr>" + "".join(f"<td rowspan={2_000 - i % 2}>{i}" for i in range(2_000)) + "<tr><td>x" * 2_000 + "</table>"
+    for source in (rules, cells):
+        began = time.time()
+        render(source)
+        assert time.time() - began < 6
