@@ -32,7 +32,7 @@ from .components import components
 BANDS, ROWS = 20, 5
 #: Rounds of stars go on while one of WORTH candidates is a link; from the second on a bucket has so many centres. After
 #: them a task meets SPLIT members of a bucket at once. Bits of a sketch.
-WORTH, ROUNDS, CENTRES, SPLIT, SKETCH = 8, 4, 4, 512, 1_024
+WORTH, ROUNDS, CENTRES, SPLIT, SKETCH = 8, 2, 4, 512, 1_024
 #: Bytes of a text that are words at the same time, and what draws another order of the nodes each round.
 PIECE, DRAW = 1 << 20, 0x1B873593CC9E2D51 >> 5
 
