@@ -13,12 +13,11 @@ from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..plans.lineage import cut
+from .reach import cyclic_components, reach_counts
 
 #: Siblings that a folder is tied to, and the hops that reverse reachability goes.
 NEXT_SIBLINGS, HOPS = 10, 51
 META = ["depth", "layer", "file_count", "subfolder_count", "weight_score", "entropy_contribution", "nesting_chain", "path_length", "extension", "size_bytes", "impact_ratio", "is_entry_point"]
-#: Longs of 64 bits in a row of the reachability's state.
-WORDS = 16
 
 
 def nodes(folders: DataFrame, files: DataFrame, impact: DataFrame | None = None) -> DataFrame:
@@ -43,11 +42,27 @@ def contains_edges(folders: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def sibling_edges(folders: DataFrame, ahead: int = NEXT_SIBLINGS) -> DataFrame:
-    """Each folder with the next ones of its parent by id, by position alone and without a self-join."""
-    by = Window.partitionBy("parent_path").orderBy("folder_id")
-    later = F.array(*[F.lead("folder_id", k).over(by) for k in range(1, ahead + 1)])
-    each = folders.where("parent_path is not null").select(F.col("folder_id").alias("source"), later.alias("later"))
-    return _edges(each.select("source", F.explode(F.array_compact("later")).alias("target")), "sibling")
+    """Each folder with the next ones of its parent by id, by position alone and without a self-join.
+
+    Folders are cut into ranges of (parent, id), however many a parent has, and each range also gets the first rows after
+    it, so that all look ahead within a range. What is put in one place is a few rows a range.
+    """
+    order = ["parent_path", "folder_id"]
+    own = folders.where("parent_path is not null").select(*order)
+    ranged = cut(own.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    heads = cut(ranged.withColumn("_at", place).where(F.col("_at") <= ahead).drop("_at"))
+    heads = cut(heads.withColumn("_n", F.row_number().over(Window.orderBy(*order))))  # at most ahead rows a range
+    starts = heads.groupBy("_part").agg(F.min("_n").alias("_start"))
+    after = starts.where("_start > 1").select((F.col("_start") - 1).alias("_last"), "_start")
+    before = heads.select(F.col("_n").alias("_last"), F.col("_part").alias("_to"))
+    halo = after.join(before, "_last").select("_to", F.explode(F.sequence(F.col("_start"), F.col("_start") + ahead - 1)).alias("_n"))
+    halo = halo.join(heads.select("_n", *order), "_n").select(*order, F.col("_to").alias("_part"), F.lit(True).alias("_halo"))
+    both = ranged.select(*order, "_part", F.lit(False).alias("_halo")).union(halo)
+    by = Window.partitionBy("_part").orderBy(*order)
+    later = F.array(*[F.when(F.lead("parent_path", k).over(by) == F.col("parent_path"), F.lead("folder_id", k).over(by)) for k in range(1, ahead + 1)])
+    each = both.withColumn("_later", later).where(~F.col("_halo")).select(F.col("folder_id").alias("source"), F.explode(F.array_compact("_later")).alias("target"))
+    return _edges(each, "sibling")
 
 
 def import_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,51 +80,6 @@ def inbound(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("inbound"))
 
 
-def _bits(nodes: DataFrame) -> DataFrame:
-    """(id, block, word, bit) of nodes (id): a place of its own for each, 64 * WORDS of them in a block.
-
-    Blocks are dealt by hash; what overflows one goes to a further block of that hash, so none is too large.
-    """
-    size = 64 * WORDS
-    deal = max(1, -(-nodes.count() * 10 // (size * 9)))
-    own = nodes.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(deal)))
-    at = F.row_number().over(Window.partitionBy("_b").orderBy("id")) - 1
-    own = own.withColumn("_at", at).withColumn("block", F.col("_b") + F.floor(F.col("_at") / size) * deal)
-    place = F.col("_at") % size
-    return own.select("id", "block", F.floor(place / 64).cast("int").alias("word"), (place % 64).cast("int").alias("bit"))
-
-
-def reach_counts(imports: DataFrame, hops: int | None = HOPS) -> DataFrame:
-    """(id, transitive_impact): how many nodes reach each node within hops, itself if it lies on a cycle.
-
-    A bit stands for an ancestor; a row holds a node's bits of one block. Each round moves the new bits along all edges,
-    merges them by bit_or (partly before the shuffle) and keeps those not yet seen. No pair of nodes is ever a row, and
-    neither the graph nor a node's ancestors are gathered: rows are nodes times blocks of 1,024 ancestors. Nodes that
-    nothing reaches do not come back.
-    """
-    edges = cut(imports.select("source", "target").dropna().distinct())
-    places = _bits(edges.select(F.col("source").alias("id")).distinct())
-    new, old = [f"w{i}" for i in range(WORDS)], [f"s{i}" for i in range(WORDS)]
-    one = lambda i: F.when(F.col("word") == i, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
-    zero = F.lit(0).cast("long")
-    placed = edges.join(places, edges["source"] == places["id"])
-    first = placed.select(F.col("target").alias("node"), "block", *[one(i).alias(w) for i, w in enumerate(new)])
-    merge = lambda df, cols: df.groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in cols])
-    state = cut(merge(first, new).select("node", "block", *new, *[zero.alias(s) for s in old]))
-    hop = 1
-    while hops is None or hop < hops:
-        front = state.where(reduce(lambda a, b: a | b, [F.col(w) != 0 for w in new]))
-        if front.isEmpty():
-            break
-        moved = front.join(edges, front["node"] == edges["source"]).select(F.col("target").alias("node"), "block", *new, *[zero.alias(s) for s in old])
-        seen = state.select("node", "block", *[zero.alias(w) for w in new], *[F.col(s).bitwiseOR(F.col(w)).alias(s) for w, s in zip(new, old, strict=True)])
-        fresh = [F.col(w).bitwiseAND(F.bitwise_not(F.col(s))).alias(w) for w, s in zip(new, old, strict=True)]
-        state = cut(merge(moved.union(seen), [*new, *old]).select("node", "block", *fresh, *old))
-        hop += 1
-    held = sum((F.bit_count(F.col(w).bitwiseOR(F.col(s))) for w, s in zip(new, old, strict=True)), F.lit(0))
-    return state.groupBy(F.col("node").alias("id")).agg(F.sum(held).cast("long").alias("transitive_impact"))
-
-
 def impact(files: DataFrame, imports: DataFrame, hops: int = HOPS) -> DataFrame:
     """(id, direct_impact, transitive_impact, impact_ratio, is_entry_point) of every file."""
     ids = files.select("id")
@@ -121,72 +91,6 @@ def impact(files: DataFrame, imports: DataFrame, hops: int = HOPS) -> DataFrame:
     return out.select("id", F.coalesce("inbound", zero).alias("direct_impact"), moved.alias("transitive_impact"), F.when(F.col("total") > 0, moved / F.col("total")).otherwise(0.0).alias("impact_ratio"), F.col("inbound").isNull().alias("is_entry_point"))
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """edges without those at nodes that nothing enters or leaves: what may lie on a cycle or between two."""
-    size, live = -1, edges
-    while (n := live.count()) not in (size, 0):
-        size = n
-        entered = live.select(F.col("target").alias("source")).distinct()
-        live = live.join(entered, "source", "left_semi")
-        left = live.select(F.col("source").alias("target")).distinct()
-        live = cut(live.join(left, "target", "left_semi").select("source", "target"))
-    return live
-
-
-def _coloured(edges: DataFrame, turn: int) -> DataFrame:
-    """(id, colour): of all nodes that reach a node, itself among them, the one of least rank in this turn."""
-    rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("v"))
-    ends = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
-    state = cut(ends.select("id", rank.alias("c"), F.lit(True).alias("fresh")))
-    while not state.where("fresh").isEmpty():
-        moved = state.where("fresh").join(edges, F.col("id") == F.col("source")).select(F.col("target").alias("id"), "c", F.lit(None).cast(rank_type(state)).alias("was"))
-        both = state.select("id", "c", F.col("c").alias("was")).union(moved)
-        state = cut(both.groupBy("id").agg(F.min("c").alias("c"), F.min("was").alias("was")).select("id", "c", (F.col("c") < F.col("was")).alias("fresh")))
-    return state.select("id", F.col("c.v").alias("colour"))
-
-
-def rank_type(state: DataFrame) -> str:
-    return state.schema["c"].dataType.simpleString()
-
-
-def _reaching(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(id, colour) of all that reach the root of their colour over edges (source, target, colour) of one colour each."""
-    state = cut(roots.select(F.col("colour").alias("id"), "colour", F.lit(True).alias("fresh")))
-    while not state.where("fresh").isEmpty():
-        moved = state.where("fresh").join(edges.withColumnRenamed("colour", "_c"), (F.col("id") == F.col("target")) & (F.col("colour") == F.col("_c")))
-        both = state.select("id", "colour", F.lit(1).alias("old")).union(moved.select(F.col("source").alias("id"), "colour", F.lit(0)))
-        state = cut(both.groupBy("id", "colour").agg((F.max("old") == 0).alias("fresh")))
-    return state.select("id", "colour")
-
-
-def cyclic_components(imports: DataFrame) -> DataFrame:
-    """(id, component: its smallest member) of the nodes on cycles.
-
-    Strong components by trimming and colouring: every node takes the colour of the least-ranked node that reaches it, and
-    what also reaches that node is its component. Ranks are drawn anew each turn, edges between colours go, so the turns
-    grow with the logarithm of the components; a turn takes as many rounds as the graph is deep. All of it is joins and
-    partial minima over edges; nothing is gathered.
-    """
-    edges = cut(imports.select("source", "target").dropna().distinct())
-    loops = edges.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component"))
-    live, found, turn = _trimmed(edges.where("source <> target")), [], 0
-    while not live.isEmpty():
-        colours = _coloured(live, turn)
-        one, two = colours.toDF("source", "colour"), colours.toDF("target", "_c")
-        same = cut(live.join(one, "source").join(two, "target").where(F.col("colour") == F.col("_c")).select("source", "target", "colour"))
-        members = _reaching(same, colours.where(F.col("id") == F.col("colour")).select("colour"))
-        found.append(members)
-        gone = members.select("id")
-        rest = same.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti")
-        live, turn = _trimmed(rest.select("source", "target")), turn + 1
-    if not found:
-        return loops
-    named = reduce(DataFrame.union, [m.withColumn("turn", F.lit(i)) for i, m in enumerate(found)])
-    groups = named.groupBy("turn", "colour").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
-    held = cut(named.join(groups, ["turn", "colour"]).select("id", "component"))
-    return held.union(loops.join(held, "id", "left_anti"))
-
-
 def cycles(imports: DataFrame) -> DataFrame:
     """(cycle: its nodes, the first again at the end): one for each edge that closes a cycle of its component's tree.
 

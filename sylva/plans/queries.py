@@ -327,15 +327,18 @@ def q31_inferred_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOUND = f"""{TREE.rstrip()}, named_folders AS (SELECT *, 'fs:folder:' || replace(rel_path, '/', ':') AS id, CASE WHEN rel_path = '.' THEN 'root' ELSE regexp_extract(rel_path, '[^/]*$') END AS label FROM weights),
 found AS (SELECT 1 AS rank, 'DEPTH' AS code, 'folder_depth' AS metric_name, id, depth::DOUBLE AS actual_value, chr(39) || label || chr(39) || ' depth (' || depth || ') > limit (4).' AS description FROM named_folders WHERE depth > 4
   UNION ALL SELECT 2, 'GODF', 'folder_weight', id, round(weight_score, 3), '' FROM named_folders WHERE weight_score > 0.5
-  UNION ALL SELECT 3, 'FLAT', 'file_count', id, file_count::DOUBLE, chr(39) || label || chr(39) || ' has ' || file_count || ' files, 0 subfolders.' FROM named_folders WHERE subfolder_count = 0 AND file_count > 1)"""
+  UNION ALL SELECT 3, 'FLAT', 'file_count', id, file_count::DOUBLE, chr(39) || label || chr(39) || ' has ' || file_count || ' files, 0 subfolders.' FROM named_folders WHERE subfolder_count = 0 AND file_count > 1),
+depths AS (SELECT len(string_split(parent_path, '/')) AS d, count(*)::DOUBLE AS n FROM files GROUP BY 1),
+entropy AS (SELECT CASE WHEN max(k) >= 2 THEN round(-sum(n / s * log2(n / s)) / log2(max(k)), 4) ELSE 0.0 END AS e FROM depths, (SELECT sum(n) AS s, count(*) AS k FROM depths))"""
 
 
-@query(f"WITH {_FOUND} SELECT 'INS-' || code || '-' || printf('%03d', row_number() OVER (ORDER BY id, rank)) AS insight_id, metric_name, id AS evidence, actual_value, description FROM found")
+@query(f"WITH {_FOUND}, every AS (SELECT 0 AS g, * FROM found UNION ALL SELECT 1, 4, 'ENTR', 'nesting_entropy', 'root_hierarchy', round(e, 3), '' FROM entropy WHERE e > 0.2) SELECT 'INS-' || code || '-' || printf('%03d', row_number() OVER (ORDER BY g, id, rank)) AS insight_id, metric_name, id AS evidence, actual_value, description FROM every")
 def q32_structure_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with their running numbers and texts (but for texts with a rounded number)."""
-    found = N.structure(_folders(spark, sf_dir).withColumnRenamed("folder_id", "id"), None, {"max_depth": 4, "folder_weight_god": 0.5, "flat_folder_files": 1})
+    entropy = H.entropy(H.depth_histogram(B.page_files(spark, sf_dir)))
+    found = N.structure(_folders(spark, sf_dir).withColumnRenamed("folder_id", "id"), entropy, {"max_depth": 4, "folder_weight_god": 0.5, "flat_folder_files": 1, "entropy_warn": 0.2})
     trace = F.col("traceability_matrix")[0]
-    told = F.when(trace["metric_name"] == "folder_weight", "").otherwise(F.col("description"))
+    told = F.when(trace["metric_name"].isin("folder_weight", "nesting_entropy"), "").otherwise(F.col("description"))
     return found.select("insight_id", trace["metric_name"].alias("metric_name"), F.col("evidence")[0].alias("evidence"), trace["actual_value"].alias("actual_value"), told.alias("description"))
 
 
@@ -350,24 +353,29 @@ def q33_impact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("insight_id", "severity", F.col("traceability_matrix")[0]["actual_value"].alias("actual_value"), F.array_join("evidence", ",").alias("evidence"), "description")
 
 
-@query(f"WITH RECURSIVE {REACH}, c AS (SELECT DISTINCT node AS id FROM reach WHERE node = ancestor) SELECT 'INS-CYCL-001' AS insight_id, 'Found ' || count(*) || ' cycles.' AS description, array_to_string(list_sort(list(id))[1:3], ',') AS evidence FROM c HAVING count(*) > 0")
+_RINGS = "rings AS (SELECT 'fs:file:o' || l_orderkey || ':l1.py' AS head FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey)"
+
+
+@query(f"WITH {_RINGS} SELECT 'INS-CYCL-001' AS insight_id, 'Found ' || count(*) || ' cycles.' AS description, array_to_string(list_sort(list(head))[1:3], ',') AS evidence FROM rings HAVING count(*) > 0")
 def q34_cycle_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = N.dependency(G.cyclic_components(B.part_edges(spark, sf_dir)))
+    """The cycles of a graph that has one for each order."""
+    found = N.dependency(G.cycles(B.order_rings(spark, sf_dir)).select(F.col("cycle")[0].alias("id")))
     return found.select("insight_id", "description", F.array_join("evidence", ",").alias("evidence"))
 
 
 #: Limits of hubs, hot spots and orphans that health is asked for.
 _CASES = ((2, 0.02, 5), (20, 0.02, 0), (30, 0.5, 5), (60, 1.5, 0), (10_000, 1.5, 5))
-_HEALTH = f"""WITH RECURSIVE {IMPACT.rstrip()}, cases(god, hot, orphans) AS (VALUES {", ".join(map(str, _CASES))}), f AS (SELECT god, CASE WHEN count_if(direct_impact > god) > 0 THEN 1 ELSE 0 END AS c, CASE WHEN count_if(impact_ratio > hot) > 0 THEN 1 ELSE 0 END AS w, CASE WHEN count_if(direct_impact = 0 AND layer <> 'test') > max(orphans) THEN 1 ELSE 0 END AS i, 200.0 AS t FROM cases, impact GROUP BY god),
+_HEALTH = f"""WITH RECURSIVE {IMPACT.rstrip()}, cases(god, hot, orphans) AS (VALUES {", ".join(map(str, _CASES))}), f AS (SELECT god, CASE WHEN count_if(direct_impact > god) > 0 THEN 1 ELSE 0 END AS c, CASE WHEN count_if(impact_ratio > hot) > 0 THEN 1 ELSE 0 END AS w, CASE WHEN count_if(direct_impact = 0 AND layer <> 'test') > max(orphans) THEN 1 ELSE 0 END AS i, (SELECT count(*) FROM files) AS t FROM cases, impact GROUP BY god),
 s AS (SELECT *, round(greatest(30.0, 100 - least(70.0, (3.0 * c + w + 0.1 * i) / greatest(1.0, t / 1000.0) * 10)), 1) AS h, least(greatest(100.0 - 20 * c - 10 * w - 2 * i, 0), 100) AS strict FROM f)
 SELECT god, c AS critical, w AS warning, i AS info, h::DOUBLE AS health_score, strict::DOUBLE AS strict_score, CASE WHEN h >= 80 THEN 0 WHEN h >= 60 THEN 1 ELSE 2 END AS exit_code, CASE WHEN h >= 90 THEN 'excellent' WHEN h >= 70 THEN 'good' WHEN h >= 50 THEN 'fair' ELSE 'poor' END AS badge FROM s"""
 
 
 @query(_HEALTH)
 def q35_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Health of the part graph under several limits, as of 200 nodes."""
+    """Health of the part graph under several limits, by its own number of nodes."""
     files = cut(_impact_files(spark, sf_dir))
-    each = [N.health(N.impact(files, {"impact_hotspot": hot, "god_file_impact": god, "orphan_files_allowed": orphans}), 200).withColumn("god", F.lit(god)) for god, hot, orphans in _CASES]
+    nodes = files.count()
+    each = [N.health(N.impact(files, {"impact_hotspot": hot, "god_file_impact": god, "orphan_files_allowed": orphans}), nodes).withColumn("god", F.lit(god)) for god, hot, orphans in _CASES]
     return reduce(DataFrame.union, each)
 
 
@@ -415,20 +423,32 @@ def q42_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cycles(B.part_edges(spark, sf_dir)).select(F.array_join("cycle", ">").alias("cycle"), F.size("cycle").alias("n"))
 
 
-@query(f"""WITH {IMPORTS.rstrip()}, {_FOUND.replace("files AS", "pfiles AS").replace("FROM files", "FROM pfiles")}, n AS (SELECT count(*) AS k FROM imports WHERE CAST(regexp_extract(source, '[0-9]+') AS BIGINT) % 3 = 0),
-hubs AS (SELECT count(*) AS k FROM (SELECT target FROM imports GROUP BY 1 HAVING count(*) > 40)),
-every AS (SELECT 3 AS g, '' AS e, 0 AS rank, 'GODFILE' AS code, 'critical' AS severity, 'god_files' AS metric_name, k::DOUBLE AS actual_value, 'import_dependencies.target_id' AS evidence_path, k || ' files are imported by >40 modules.' AS description FROM hubs WHERE k > 0
+_SPARSE_IMPACT = IMPACT.replace(IMPORTS.rstrip(), SPARSE.rstrip())
+
+
+@query(f"""WITH RECURSIVE {_SPARSE_IMPACT.rstrip()}, {_FOUND.replace("files AS", "pfiles AS").replace("FROM files", "FROM pfiles")}, {_RINGS},
+pairs AS (SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) WHERE b IS NOT NULL), n AS (SELECT count(*) AS k FROM pairs WHERE a % 3 = 0),
+hubs AS (SELECT count(*) AS k FROM (SELECT b FROM pairs GROUP BY 1 HAVING count(*) > 40)), hot AS (SELECT count(*) AS k FROM impact WHERE impact_ratio > 0.15), heads AS (SELECT count(*) AS k FROM rings),
+every AS (SELECT 1 AS g, '' AS e, 0 AS rank, 'CYCLE' AS code, 'critical' AS severity, 'circular_dependencies' AS metric_name, k::DOUBLE AS actual_value, 'aggregated_metrics.circular_dependencies' AS evidence_path, 'Found ' || k || ' cycle(s) blocking modular isolation.' AS description FROM heads WHERE k > 0
+UNION ALL SELECT 2, '', 0, 'HOTSPOT', 'warning', 'high_impact_files', k, 'nodes[*].physical_meta.impact_ratio', k || ' files affect >15% of the codebase.' FROM hot WHERE k > 0
+UNION ALL SELECT 3, '', 0, 'GODFILE', 'critical', 'god_files', k, 'import_dependencies.target_id', k || ' files are imported by >40 modules.' FROM hubs WHERE k > 0
 UNION ALL SELECT 4, '', 0, 'UNRESOLVED', 'warning', 'unresolved_imports', k, 'edges[*].confidence', k || ' import statements could not be resolved to physical files.' FROM n WHERE k > 5
-UNION ALL SELECT 5, id, rank, CASE code WHEN 'GODF' THEN 'GODFOLDER' ELSE code END, CASE code WHEN 'FLAT' THEN 'info' ELSE 'warning' END, metric_name, actual_value, 'nodes[*].physical_meta.' || CASE code WHEN 'DEPTH' THEN 'depth' WHEN 'GODF' THEN 'weight_score' ELSE 'file_count' END, '' FROM found)
+UNION ALL SELECT 5, id, rank, CASE code WHEN 'GODF' THEN 'GODFOLDER' ELSE code END, CASE code WHEN 'FLAT' THEN 'info' ELSE 'warning' END, metric_name, actual_value, 'nodes[*].physical_meta.' || CASE code WHEN 'DEPTH' THEN 'depth' WHEN 'GODF' THEN 'weight_score' ELSE 'file_count' END, '' FROM found
+UNION ALL SELECT 8, '', 0, 'ENTROPY', 'warning', 'nesting_entropy', round(e, 3), 'aggregated_metrics.global_entropy', '' FROM entropy WHERE e > 0.2)
 SELECT 'INS-' || code || '-' || printf('%03d', row_number() OVER (ORDER BY g, e, rank)) AS insight_id, severity, metric_name, actual_value, evidence_path, description FROM every""")
 def q43_legacy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The older engine over the page folders and the part graph, a third of whose imports were never traced to a file."""
+    """The older engine's eight rules: cycles of the orders, impact of the sparse part graph, hubs and imports of the full
+    one, a third of which were never traced to a file, and the page folders with their entropy."""
     edges = R.to_graph({"import_dependencies": _tables(spark, sf_dir)["import_dependencies"]})[1]
-    files = B.part_files(spark, sf_dir).join(G.inbound(edges), "id", "left").select("id", "layer", F.lit(0.0).alias("impact_ratio"), F.coalesce("inbound", F.lit(0)).alias("inbound"))
-    none = spark.createDataFrame([], "id string")
-    found = N.legacy(_folders(spark, sf_dir).withColumnRenamed("folder_id", "id"), files, edges, none, None, {"max_depth": 4, "folder_weight_god": 0.5, "flat_folder_files": 1, "god_file_impact": 40})
+    files = B.part_files(spark, sf_dir)
+    moved = G.impact(files, B.part_links(spark, sf_dir)).select("id", "impact_ratio")
+    files = files.join(moved, "id").join(G.inbound(edges), "id", "left").select("id", "layer", "impact_ratio", F.coalesce("inbound", F.lit(0)).alias("inbound"))
+    heads = G.cycles(B.order_rings(spark, sf_dir)).select(F.col("cycle")[0].alias("id"))
+    entropy = H.entropy(H.depth_histogram(B.page_files(spark, sf_dir)))
+    limits = {"max_depth": 4, "folder_weight_god": 0.5, "flat_folder_files": 1, "god_file_impact": 40, "impact_hotspot": 0.15, "entropy_warn": 0.2}
+    found = N.legacy(_folders(spark, sf_dir).withColumnRenamed("folder_id", "id"), files, edges, heads, entropy, limits)
     t = F.col("traceability_matrix")[0]
-    told = F.when(F.col("insight_id").rlike("GODFILE|UNRESOLVED"), F.col("description")).otherwise("")
+    told = F.when(F.col("insight_id").rlike("CYCLE|HOTSPOT|GODFILE|UNRESOLVED"), F.col("description")).otherwise("")
     return found.select("insight_id", "severity", t["metric_name"].alias("metric_name"), t["actual_value"].alias("actual_value"), t["evidence_path"].alias("evidence_path"), told.alias("description"))
 
 
@@ -451,9 +471,6 @@ def q45_import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.totals(I.resolve(I.extract(files), files))
 
 
-_SPARSE_IMPACT = IMPACT.replace(IMPORTS.rstrip(), SPARSE.rstrip())
-
-
 @query(f"WITH RECURSIVE {_SPARSE_IMPACT} SELECT id, direct_impact, transitive_impact, round(impact_ratio, 6) AS impact_ratio, is_entry_point FROM impact")
 def q46_sparse_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As q19, on the graph of two followers a part, where reach differs from node to node."""
@@ -471,3 +488,35 @@ def q48_sparse_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = B.part_files(spark, sf_dir)
     both = files.select("id", "layer").join(G.impact(files, B.part_links(spark, sf_dir)).select("id", "impact_ratio", F.col("direct_impact").alias("inbound")), "id")
     return N.impact(both, {"god_file_impact": 4}).select("insight_id", "description", F.array_join("evidence", ",").alias("evidence"))
+
+
+@query("""WITH d AS (SELECT doc_id, regexp_replace(coalesce(lang, 'none'), '[^A-Za-z0-9_]', '_', 'g') AS lang, regexp_replace(coalesce(source, 'none'), '[^A-Za-z0-9_]', '_', 'g') AS source, CASE WHEN doc_id % 5 = 4 THEN '.java' ELSE '.py' END AS ext FROM documents WHERE doc_id IS NOT NULL),
+j AS (SELECT a.*, b.lang || '.' || b.source || '.d' || b.doc_id AS name, b.source || '.d' || b.doc_id AS beside, 'd' || b.doc_id AS bare, 'src/' || b.lang || '/' || b.source || '/d' || b.doc_id || b.ext AS path, a.ext = b.ext AS same, a.lang = b.lang AS near, a.source = b.source AS own FROM d a JOIN d b ON b.doc_id = a.doc_id + 1),
+l AS (SELECT *, unnest([1, 2, 3, 4]) AS n FROM j),
+t AS (SELECT *, CASE WHEN n = 1 THEN name WHEN n = 2 THEN name || '.Part' WHEN ext = '.java' THEN name || '.*' WHEN n = 3 THEN '.' || bare ELSE '..' || beside END AS raw, CASE WHEN ext = '.java' OR n < 3 THEN same WHEN n = 3 THEN same AND near AND own ELSE same AND near END AS ok FROM l WHERE ext = '.py' OR n < 4)
+SELECT 'fs:file:src:' || lang || ':' || source || ':d' || doc_id || ext AS file_id, n AS line_number, raw AS raw_target, CASE WHEN ok THEN path END AS resolved_path, ok AS is_resolved FROM t""")
+def q49_module_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dotted names, absolute and relative, of modules and of members of modules."""
+    files = B.module_sources(spark, sf_dir)
+    return I.resolve(I.extract(files), files, modules=True).drop("raw_statement")
+
+
+_LINKS = r"""WITH h AS (SELECT page_id, url, regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']([^"''<>]*)["'']', 1) AS l FROM pages),
+e AS (SELECT page_id, url, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS n FROM h),
+p AS (SELECT *, regexp_replace(href, '#.*$', '') AS r, regexp_extract(url, '^[^:]+:') AS scheme, regexp_extract(url, '^[^:]+://[^/?#]*') AS host, regexp_replace(url, '#.*$', '') AS bare FROM e),
+t AS (SELECT page_id, n, href, CASE WHEN r = '' THEN bare WHEN regexp_matches(r, '^[^:/?#]+:') THEN r WHEN starts_with(r, '//') THEN scheme || r WHEN starts_with(r, '/') THEN host || r WHEN starts_with(r, '?') THEN regexp_replace(bare, '\?.*$', '') || r ELSE regexp_replace(regexp_replace(bare, '\?.*$', ''), '[^/]*$', '') || r END AS target FROM p),
+known AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS target FROM pages WHERE url IS NOT NULL),
+links AS (SELECT page_id, n, href, t.target, k.target IS NOT NULL AS ok FROM t LEFT JOIN known k ON k.target = t.target WHERE t.target IS NOT NULL)
+"""
+
+
+@query(_LINKS + "SELECT page_id, n::INTEGER AS line_number, href AS raw_target, target AS resolved_path, ok AS is_resolved FROM links")
+def q50_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every page refers to, resolved against its address."""
+    return I.page_links(B.table(spark, sf_dir, "pages"))
+
+
+@query(_LINKS + "SELECT page_id, count(*) AS total_imports, count_if(ok) AS resolved_imports, count_if(NOT ok) AS unresolved FROM links GROUP BY 1")
+def q51_unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = I.page_links(B.table(spark, sf_dir, "pages"))
+    return links.groupBy("page_id").agg(F.count("*").alias("total_imports"), F.count_if("is_resolved").alias("resolved_imports"), F.count_if(~F.col("is_resolved")).alias("unresolved"))

@@ -54,6 +54,30 @@ def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(name("a").alias("source"), name("b").alias("target"))
 
 
+def order_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring for each order: each of its lines, by number, imports the next one, and the last the first."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("l_orderkey is not null")
+    ends = lines.select("l_orderkey", "n", F.explode(F.sequence(F.lit(1), "n")).alias("a")).withColumn("b", F.col("a") % F.col("n") + 1)
+    name = lambda c: P.node_id("file", F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("/l"), F.col(c).cast("string"), F.lit(".py")))
+    return ends.select(name("a").alias("source"), name("b").alias("target"))
+
+
+def module_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as modules src/lang/source/d<id>, every fifth in Java, the others in Python; each names the one after it.
+
+    By its package, by its package and a member, and in Python from the own folder and from the folder above.
+    """
+    word = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("none")), "[^A-Za-z0-9_]", "_")
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    own = docs.select("doc_id", word("lang").alias("lang"), word("source").alias("source"), F.when(F.col("doc_id") % 5 == 4, ".java").otherwise(".py").alias("extension"))
+    later = own.select((F.col("doc_id") - 1).alias("doc_id"), F.concat_ws(".", "lang", "source", F.concat(F.lit("d"), "doc_id")).alias("next"), F.concat_ws(".", "source", F.concat(F.lit("d"), "doc_id")).alias("beside"))
+    python = F.concat(F.lit("import "), "next", F.lit("\nfrom "), "next", F.lit(".Part import x\nfrom .d"), (F.col("doc_id") + 1).cast("string"), F.lit(" import y\nfrom .."), "beside", F.lit(" import z\n"))
+    java = F.concat(F.lit("import "), "next", F.lit(";\nimport "), "next", F.lit(".Part;\nimport "), "next", F.lit(".*;\n"))
+    text = F.coalesce(F.when(F.col("extension") == ".py", python).otherwise(java), F.lit(""))
+    rel = F.concat(F.lit("src/"), "lang", F.lit("/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), "extension")
+    return own.join(later, "doc_id", "left").select(P.node_id("file", rel).alias("file_id"), rel.alias("rel_path"), "extension", text.alias("content"))
+
+
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".py"))
     return table(spark, sf_dir, "part").select(P.node_id("file", rel).alias("id"), rel.alias("rel_path"), F.when(F.col("p_size") % 7 == 0, "test").otherwise("module").alias("layer"))
