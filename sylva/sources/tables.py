@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .one_file import write_csv_file
+
 VERSION_COLUMN = "schema_version"
 # The columns of the four tables.
 SCHEMAS = {
@@ -94,7 +96,11 @@ def ddl(table: str, df: DataFrame, schema: str = "public") -> str:
     return f"CREATE TABLE IF NOT EXISTS {schema}.{table} (\n{columns}\n);"
 
 
-def _write_csv(df: DataFrame, path: str, **_) -> None:
+def _write_csv(df: DataFrame, path: str, parts: bool = False, **_) -> None:
+    """One file with a byte order mark; with parts a folder of part files without one, for large tables."""
+    if not parts:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        return write_csv_file(df, path + ".csv")
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "NULL").csv(path + ".csv")
 
 
@@ -115,7 +121,7 @@ EXPORTERS: dict[str, Callable[..., None]] = {"csv": _write_csv, "hdf5": _write_h
 
 
 def export(tables: Mapping[str, DataFrame], folder: str, fmt: str, **options) -> Report:
-    """Writes each valid table as a folder of part files; what fails becomes a warning and success=False."""
+    """Writes each valid table, CSV as one file, others as folders of part files; what fails becomes a warning and success=False."""
     fmt = fmt.strip().lower()
     if fmt not in EXPORTERS:
         raise ValueError(f"unknown format {fmt!r}; known: {', '.join(sorted(EXPORTERS))}")
