@@ -8,6 +8,10 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import first_value
+
+#: Rules beyond this many are matched by one automaton instead of an expression each, with the same result.
+MANY_RULES = 100
 LAYERS = ("core", "module", "nested", "test", "external", "utility")
 
 
@@ -71,7 +75,8 @@ def layer(rel: Column, rules: Mapping[str, str]) -> Column:
     """The first rule that fits; a rule's unknown layer is module. Else test by its name. No rules: always module."""
     if not rules:
         return F.lit("module")
-    fits = [F.when(rel.rlike(glob_regex(g)), F.lit(x if x in LAYERS else "module")) for g, x in rules.items()]
+    known = {g: x if x in LAYERS else "module" for g, x in rules.items()}
+    fits = [first_value(rel, known, glob_regex)] if len(known) > MANY_RULES else [F.when(rel.rlike(glob_regex(g)), F.lit(x)) for g, x in known.items()]
     low = F.lower(rel)
     return F.coalesce(*fits, F.when(low.contains("test") | low.contains("spec"), "test"), F.lit("module"))
 

@@ -151,7 +151,7 @@ def merge_nodes(old: DataFrame, new: DataFrame, order: str | None = None) -> Dat
 
 def merge_edges(old: DataFrame, new: DataFrame, ids: DataFrame, order: str | None = None) -> DataFrame:
     """old and, for each key (source, target, relation) that it lacks, the first of new whose ends are nodes, with all columns."""
-    key, at = ["source", "target", "relation"], F.col(order) if order else F.lit(0)
+    key, at = ["source", "target", "relation"], F.col(order) if order in new.columns else F.lit(0)
     rest = [c for c in old.columns if c not in key]
     fresh = new.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])).groupBy(*key).agg(F.min_by(F.struct(*rest), at).alias("_rest")) if rest else new.select(*key).distinct()
     fresh = fresh.join(old.select(*key), key, "left_anti")

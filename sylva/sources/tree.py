@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
 
@@ -49,7 +50,8 @@ def _entries(root: str, rel: str, ignored: Callable[[str], bool]) -> Iterator[tu
 def _walk(batches: Iterable[pa.RecordBatch], root: str, ignore: list[str], budget: int) -> Iterator[pa.RecordBatch]:
     """What lies in the given folders and, until budget names are told, below them; todo marks folders left for others."""
     names = ("kind", "rel_path", "error", "todo")
-    ignored = lambda n: any(fnmatch.fnmatchcase(n, p) for p in ignore)
+    fits = re.compile("|".join(map(fnmatch.translate, ignore)))
+    ignored = lambda n: bool(ignore) and fits.match(n) is not None
     told = 0
     for batch in batches:
         given = [(rel, True) for rel in batch.column(0).to_pylist()]
