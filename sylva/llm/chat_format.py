@@ -40,6 +40,10 @@ class Layout:
             for more in combinations(self.optional, n):
                 yield tuple(sorted({*need, *more}))
 
+    def fits_columns(self, names: Iterable[str]) -> bool:
+        """Whether the fingerprint of what a table's columns share with this layout is one of its own."""
+        return fingerprint({*names} & {*self.paths()}) in map(fingerprint, self.path_sets())
+
     def fits(self, paths: Column) -> Column:
         """Whether the fingerprint of what a record's paths share with this layout is one of its own."""
         own = F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in self.paths()])))
@@ -54,8 +58,8 @@ LAYOUTS = (
     Layout("prompt-completion", pairs=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
     Layout("question-answer", pairs=(("system", "system"), ("user", "question"), ("assistant", "answer")), optional=("system",)),
 )
-#: A record that is one turn; a row of a table may lack either field.
-ROW = Layout("turn", turn=("role", "text"), optional=("role", "text"))
+#: A row that is one turn.
+ROW = Layout("turn", turn=("role", "text"))
 NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -114,6 +118,31 @@ def _made(layout: Layout, field: Callable[[str], Column], array: Callable[[str],
     return F.filter(F.array(*parts), lambda t: t.isNotNull()).cast(TURNS)
 
 
+def _joined(parts: Column) -> Column:
+    """The texts of a message's parts, one below the other; parts without text (images, tools) add nothing."""
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), "\n")
+
+
+def _json_messages(value: Column, layout: Layout) -> Column:
+    """The messages of a JSON record, each parsed by itself, so that contents of parts and plain ones may stand together."""
+    array, role, text = layout.turns
+
+    def message(m: Column) -> Column:
+        plain = F.from_json(m, f"struct<`{role}`: string, `{text}`: string>")
+        parts = F.from_json(m, f"struct<`{text}`: array<struct<text: string>>>")[text]
+        return F.struct(plain[role].alias(role), F.coalesce(_joined(parts), plain[text]).alias(text))
+
+    return F.transform(F.from_json(F.get_json_object(value, f"$.{array}"), "array<string>"), message)
+
+
+def _typed_messages(kind: T.DataType, layout: Layout) -> Column:
+    """The messages of an array column, whose texts may be arrays of parts."""
+    array, role, text = layout.turns
+    inner = kind.elementType[text].dataType
+    parted = isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.StructType) and "text" in inner.elementType.names
+    return F.transform(F.col(array), lambda m: F.struct(m[role].cast("string").alias(role), (_joined(m[text]) if parted else m[text].cast("string")).alias(text)))
+
+
 def _first(found: list[tuple[Layout, Column, Column]]) -> tuple[Column, Column]:
     """(layout, turns) of the first that fits, both null if none does."""
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
@@ -127,15 +156,15 @@ def from_json_records(records: DataFrame, value: str, layouts: Iterable[Layout]
 
     Fields beyond a layout's own do not count, in records and in single turns. A record that fits no layout is looked for
     one level deeper, in the first of its objects that fits one. No layout fits (or no JSON object): both null. Null fields
-    of a fitting layout are empty texts; an optional field that is absent or empty gives no turn.
+    of a fitting layout are empty texts; an optional field that is absent or empty gives no turn. A content that is a list
+    of parts is its parts' texts, one below the other. Texts of any length stay whole.
     """
     layouts = list(layouts)
 
     def chosen(v: Column) -> Column:
         found = []
         for x in layouts:
-            kind = f"array<struct<`{x.turns[1]}`: string, `{x.turns[2]}`: string>>" if x.turns else None
-            found.append((x, x.fits(json_paths(v, layouts)), _made(x, lambda f: F.get_json_object(v, f"$.{f}"), lambda k, kind=kind: F.from_json(F.get_json_object(v, f"$.{k}"), kind))))
+            found.append((x, x.fits(json_paths(v, layouts)), _made(x, lambda f: F.get_json_object(v, f"$.{f}"), lambda _, x=x: _json_messages(v, x))))
         layout, turns = _first(found)
         return F.struct(layout.alias("layout"), turns.alias("turns"))
 
@@ -148,18 +177,22 @@ def from_json_records(records: DataFrame, value: str, layouts: Iterable[Layout]
 
 
 def from_rows(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", layouts: Iterable[Layout] = (*LAYOUTS, ROW)) -> DataFrame:
-    """(conv_id, turns) of a table whose rows may have different layouts: the fields that are not null in a row decide.
+    """(conv_id, turns) of a table whose rows may have different layouts.
+
+    Nested fields and pairs are told by the fields that are not null in a row; a layout of one turn a row by the columns
+    that the table has, after which nulls are values, and where no other layout fits. A table without its columns has none.
 
     The turns of a conversation stand in order of the column turn, a null one first; equal ones by role, then text. Null
-    roles and texts are empty; rows without a conv_id are one conversation; a row without any field of a layout is an empty
-    turn. Other columns do not count. A conversation is one value in the end, so its rows meet in one task.
+    roles and texts are empty; rows without a conv_id are one conversation; a row that fits no layout adds no turn. Other columns do not count. A conversation is one value in the end, so its rows meet in one task.
     """
     known = {p.partition("[]")[0] for x in layouts for p in x.paths()}
     fields = {f.name: f.dataType for f in rows.schema.fields if f.name in known}
     paths = F.array_compact(F.array(*[p for n, kind in fields.items() for p in paths_of(F.col(n), kind, n)], F.lit(None).cast("string")))
     field = lambda n: F.col(n).cast("string") if n in fields else F.lit(None).cast("string")
-    held = [x for x in layouts if not x.turns or x.turns[0] in fields]
-    _, turns = _first([(x, x.fits(paths), _made(x, field, F.col)) for x in held])
+    messages = lambda x: isinstance(k := fields.get(x.turns[0]), T.ArrayType) and isinstance(k.elementType, T.StructType) and {*x.turns[1:]} <= {*k.elementType.names}
+    held = [x for x in layouts if (messages(x) if x.turns else not x.turn or x.fits_columns(rows.columns))]
+    fits = lambda x: F.lit(True) if x.turn else x.fits(paths)
+    _, turns = _first([(x, fits(x), _made(x, field, lambda a, x=x: _typed_messages(fields[a], x))) for x in held])
     order = F.col(turn).alias("turn") if turn in rows.columns else F.lit(None).cast("long").alias("turn")
     made = rows.select(F.col(conv_id), F.struct(order, F.coalesce(turns, F.array().cast(TURNS)).alias("turns")).alias("row"))
     return made.groupBy(conv_id).agg(F.flatten(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["turns"])).alias("turns"))

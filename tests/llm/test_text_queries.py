@@ -561,3 +561,25 @@ def test_time_of_many_rules_and_spans():
         began = time.time()
         render(source)
         assert time.time() - began < 6
+
+
+def test_chat_parts_of_messages(spark):
+    parts = '[{"type": "text", "text": "hi"}, {"type": "image", "url": "u"}, {"type": "text", "text": "there"}]'
+    values = [
+        '{"messages": [{"role": "user", "content": %s}, {"role": "assistant", "content": "[{\\"text\\": \\"kept\\"}]"}]}' % parts,
+        '{"messages": [{"role": "user", "content": []}, {"role": "assistant", "content": "[]"}, {"role": "user", "content": null}]}',
+    ]
+    got = from_json_records(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string"), "v").orderBy("i").collect()
+    assert [[tuple(t) for t in r["turns"]] for r in got] == [
+        [("user", "hi\nthere"), ("assistant", '[{"text": "kept"}]')],
+        [("user", ""), ("assistant", "[]"), ("user", "")],
+    ]
+    typed = spark.createDataFrame([(1, [("human", [("text", "a"), ("image", None), ("text", "b")]), ("gpt", None)])], "conv_id int, messages array<struct<role: string, content: array<struct<type: string, text: string>>>>")
+    assert [tuple(t) for t in from_rows(typed).first()["turns"]] == [("user", "a\nb"), ("assistant", "")]
+
+
+def test_chat_columns_decide_on_rows_of_turns(spark):
+    kept = lambda df: {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in from_rows(df).collect()}
+    assert kept(spark.createDataFrame([(1, 0, None, None), (1, 1, "user", None)], "conv_id int, turn int, role string, text string")) == {1: [("", ""), ("user", "")]}
+    assert kept(spark.createDataFrame([(1, 0, "user")], "conv_id int, turn int, role string")) == {1: []}
+    assert kept(spark.createDataFrame([(1, 0, "x")], "conv_id int, turn int, text string")) == {1: []}
