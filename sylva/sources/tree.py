@@ -30,6 +30,8 @@ SCHEMA = "kind string, rel_path string, parent_path string, name string, size_by
 READ = (".py", ".js", ".ts", ".java", ".go", ".c", ".cpp", ".rb", ".php")
 #: Names that a listing task tells before it gives back the folders left, folders that it is given, and names a reading task has.
 BUDGET, GIVEN, NAMES = 10_000, 256, 5_000
+#: Reading tasks of a tree that has names enough for them, so that a few large files are not one task's.
+SPREAD, LEAST = 64, 4
 LISTED = "kind string, rel_path string, error string, todo boolean"
 
 
@@ -89,7 +91,7 @@ def list_tree(spark: SparkSession, root: str, ignore: Iterable[str] = (), budget
     whole = spark.createDataFrame([("folder", ".", None)], "kind string, rel_path string, error string")
     for seen in rounds:
         whole = whole.union(seen.where("not todo").select("kind", "rel_path", "error"))
-    out = cut(whole.repartitionByRange(-(-names // NAMES), "rel_path"))
+    out = cut(whole.repartitionByRange(max(-(-names // NAMES), min(SPREAD, -(-names // LEAST))), "rel_path"))
     discard(*rounds)
     return out
 
