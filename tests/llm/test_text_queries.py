@@ -501,6 +501,21 @@ def test_nearest_recall_of_few_measured_among_many(spark):
     assert 1 <= near.probes(x, centres, 10) < 20 and near.probes(rng.normal(size=(500, 200)), rng.normal(size=(20, 200)), 10) > 10
 
 
+@pytest.mark.parametrize("kind", ["far from zero", "tight groups", "all sizes", "huge"])
+def test_nearest_of_other_rows_is_exact(spark, kind):
+    """Rows whose codes tell little of who is near: an offset, groups of 400 near copies, lengths over six decades."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4_000, 16))
+    x = {
+        "far from zero": 1_000 + x, "tight groups": rng.normal(size=(10, 16))[rng.integers(10, size=4_000)] * 50 + x * 1e-3,
+        "all sizes": x * 10 ** rng.uniform(-3, 3, (4_000, 1)), "huge": x * 1e152,
+    }[kind]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(vectors, vectors.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()
+    ids = np.arange(4_000)
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, i) for q in range(0, 4_000, 100) for i, _ in exact(x, ids, q, x[q])]
+
+
 def test_nearest_repeats_shared_ids_and_lengths(spark):
     """Against brute force: repeated queries and rows, ids on several vectors, two lengths, a clashing column."""
     rng = np.random.default_rng(3)
