@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from sylva.operators import graph as G
+from sylva.operators import reach as RE
 from sylva.plans.queries import ORACLE_SQL, QUERIES
 from sylva.sources import bindings as B
 
@@ -83,6 +84,18 @@ def test_long_ring_and_tail(spark):
     assert got == {f"a{i:02}": min(i, 51) for i in range(1, 71)} | {f"r{i:04}": 51 + max(0, 51 - i) for i in range(2000)} | {"z0": 51, "z1": 51}
 
 
+def test_what_is_far_from_the_largest_component(spark, monkeypatch):
+    """By brute force where only the limit tells: a core with paths into it, within it, out of it and past it."""
+    used, arrived, hops = [], RE._arrived, 4
+    edges = [e for i in range(10) for e in (("hub", f"c{i}"), (f"c{i}", "hub"))] + [(f"u{i}", f"u{i + 1}") for i in range(6)] + [("u6", "hub"), ("u2", "b1")]
+    edges += [("c0", "d0"), ("d0", "d1"), ("d1", "d2"), ("d2", "hub"), ("c1", "b0"), ("b0", "b1"), ("b1", "b2")]
+    monkeypatch.setattr(RE, "BLOCK", 1)
+    monkeypatch.setattr(RE, "_arrived", lambda *a: used.append(1) or arrived(*a))
+    got = {x["id"]: x["transitive_impact"] for x in G.reach_counts(spark.createDataFrame(edges, "source string, target string"), hops).collect()}
+    pairs = brute(set(edges), hops)
+    assert got == {n: sum(1 for x, _ in pairs if x == n) for n, _ in pairs} and used
+
+
 def tree_cycles(edges):
     """By the definition: breadth-first trees of the strong components from their smallest members."""
     pairs = brute(set(edges), 100)
