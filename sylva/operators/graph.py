@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import paths as P
-from ..plans.lineage import cut
-from .reach import cyclic_components, reach_counts
+from ..plans.lineage import cut, numbered
+from .reach import counted_reach, cyclic_components, numbered_graph, numbered_pairs, reach_counts, strong_components  # noqa: F401
 
 #: Siblings that a folder is tied to, and the hops that reverse reachability goes.
 NEXT_SIBLINGS, HOPS = 10, 51
@@ -80,15 +80,20 @@ def inbound(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("inbound"))
 
 
-def impact(files: DataFrame, imports: DataFrame, hops: int = HOPS) -> DataFrame:
-    """(id, direct_impact, transitive_impact, impact_ratio, is_entry_point) of every file."""
+def impact(files: DataFrame, imports: DataFrame, hops: int = HOPS, once: bool = False) -> DataFrame:
+    """(id, direct_impact, transitive_impact, impact_ratio, is_entry_point) of every file; once: repeated imports count as one.
+
+    Imports are read once: what they count is taken from the numbered pairs, and the result is written for all its uses.
+    """
+    named, pairs = numbered_pairs(imports)
+    reach = cut(counted_reach(named, pairs.select("a", "b").dropna(), hops))
+    came = pairs.where("b is not null").groupBy(F.col("b").alias("v")).agg((F.count("*") if once else F.sum("n")).alias("inbound")).join(named, "v").select("id", "inbound")
     ids = files.select("id")
-    reach = reach_counts(imports, hops)
     total = ids.agg(F.count("*").alias("total"))
     zero = F.lit(0).cast("long")
-    out = ids.join(inbound(imports), "id", "left").join(reach, "id", "left").crossJoin(F.broadcast(total))
+    out = ids.join(came, "id", "left").join(reach, "id", "left").crossJoin(F.broadcast(total))
     moved = F.coalesce("transitive_impact", zero)
-    return out.select("id", F.coalesce("inbound", zero).alias("direct_impact"), moved.alias("transitive_impact"), F.when(F.col("total") > 0, moved / F.col("total")).otherwise(0.0).alias("impact_ratio"), F.col("inbound").isNull().alias("is_entry_point"))
+    return cut(out.select("id", F.coalesce("inbound", zero).alias("direct_impact"), moved.alias("transitive_impact"), F.when(F.col("total") > 0, moved / F.col("total")).otherwise(0.0).alias("impact_ratio"), F.col("inbound").isNull().alias("is_entry_point")))
 
 
 def cycles(imports: DataFrame) -> DataFrame:
@@ -98,19 +103,25 @@ def cycles(imports: DataFrame) -> DataFrame:
     a node to one on that node's path closes a cycle. So each cycle's first node is its nearest to that member, every
     component has a cycle, and one that is a mere ring has exactly itself.
     """
-    edges = cut(imports.select("source", "target").dropna().distinct())
-    members = cut(cyclic_components(edges))
-    one, two = members.toDF("source", "component"), members.toDF("target", "_c")
-    inner = cut(edges.join(one, "source").join(two, "target").where(F.col("component") == F.col("_c")).select("source", "target"))
-    front = members.where(F.col("id") == F.col("component")).select("id", F.array("id").alias("path"))
-    seen = front = cut(front)
+    ids, edges = numbered_graph(imports)
+    members = strong_components(edges, ids.count())[0].select("v", "comp")
+    named = cut(members.join(ids, "v"))
+    one, two = members.toDF("a", "comp"), members.toDF("b", "_c")
+    inner = cut(edges.join(one, "a").join(two, "b").where("comp = _c").select("a", "b"))
+    least = named.groupBy("comp").agg(F.min("id").alias("id"))
+    front = cut(least.join(named.select("v", "id"), "id").select("v", F.lit(0).cast("long").alias("rank"), F.array("v").alias("path"), F.array("id").alias("names")))
+    seen = front
     while not front.isEmpty():
-        moved = front.join(inner, F.col("id") == F.col("source")).select(F.col("target").alias("id"), F.concat("path", F.array("target")).alias("path"))
-        front = cut(moved.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"))
+        # All paths of a level are of one length, so the least before a node is that of the least rank.
+        came = front.select("v", "rank").join(inner, F.col("v") == F.col("a")).groupBy("b").agg(F.min("rank").alias("before"), F.min_by("a", "rank").alias("a"))
+        fresh = came.select(F.col("b").alias("v"), "before", "a").join(seen.select("v"), "v", "left_anti").join(named.select("v", "id"), "v")
+        ranked = numbered(fresh, ["before", "id"], "rank")
+        before = front.select(F.col("v").alias("a"), "path", "names")
+        front = cut(ranked.join(before, "a").select("v", "rank", F.concat("path", F.array("v")).alias("path"), F.concat("names", F.array("id")).alias("names")))
         seen = seen.union(front)
-    closing = inner.join(seen, F.col("source") == F.col("id")).where(F.array_contains("path", F.col("target")))
-    at = F.array_position("path", F.col("target")).cast("int")
-    return closing.select(F.concat(F.slice("path", at, F.size("path")), F.array("target")).alias("cycle"))
+    closing = cut(inner.join(seen.select("v", "path"), F.col("v") == F.col("a")).withColumn("at", F.array_position("path", F.col("b")).cast("int")).where("at > 0").select("v", "at"))
+    whole = closing.join(seen.select("v", "names"), "v")
+    return whole.select(F.concat(F.slice("names", F.col("at"), F.size("names")), F.array(F.get("names", F.col("at") - 1))).alias("cycle"))
 
 
 # Merging two graphs
