@@ -141,3 +141,47 @@ def test_cycle_finding_is_of_the_part_graph(spark):
     want = sorted(n for n, seen in reached.items() if n in seen)
     got = QUERIES["q34_cycle_finding"](spark, SMALL).first()
     assert (got["description"], got["evidence"]) == (f"Found {len(want)} cycles.", ",".join(want[:3]))
+
+
+def _dense(copies=3, n=60):
+    """Copies of a core of many edges, with single nodes before, between and behind them, loops and a ring of two cores."""
+    r = random.Random(9)
+    edges = {(f"c{k}n{r.randrange(n):02}", f"c{k}n{r.randrange(n):02}") for k in range(copies) for _ in range(n * 20)}
+    edges |= {(f"in{i}", f"c{i % copies}n{i:02}") for i in range(9)} | {(f"c{i % copies}n{i:02}", f"out{i}") for i in range(9)}
+    return edges | {("c0n00", "c1n00"), ("c1n01", "mid"), ("mid", "c0n01"), ("c1n02", "c2n02"), ("out0", "out0")}
+
+
+def test_many_edges_a_node_are_contracted_along_a_part_first(spark, monkeypatch):
+    """Components, reach within a limit of hops and imports that are repeated, by brute force; the first turn has a part of the edges."""
+    edges, sizes, turn = _dense(), [], RE._turn
+    monkeypatch.setattr(RE, "_turn", lambda live, n: sizes.append(live.count()) or turn(live, n))
+    imports = spark.createDataFrame(sorted(edges) * 2, "source string, target string")
+    following = {}
+    for a, b in edges:
+        following.setdefault(a, set()).add(b)
+    pairs = set()
+    for a in following:
+        front, seen = {a}, set()
+        for _ in range(51):
+            front = {b for x in front for b in following.get(x, ())} - seen
+            seen |= front
+        pairs |= {(b, a) for b in seen}
+    both = {(n, a) for n, a in pairs if (a, n) in pairs}
+    got = {x["id"]: x["component"] for x in G.cyclic_components(imports).collect()}
+    least = {}
+    for n, a in both:
+        least[n] = min(a, least.get(n, a))
+    assert got == least
+    assert sizes[0] < len(edges) / 2
+    ids = sorted({x for e in edges for x in e})
+    files = spark.createDataFrame([(x,) for x in ids], "id string")
+    got = {x["id"]: (x["direct_impact"], x["transitive_impact"]) for x in G.impact(files, imports, once=True).collect()}
+    assert got == {n: (sum(1 for _, b in edges if b == n), sum(1 for x, _ in pairs if x == n)) for n in ids}
+
+
+def test_ids_whose_numbers_clash_are_numbered_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(RE, "RANK_BITS", 2)
+    imports = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)] + [(None, "n0"), ("n8", None)], "source string, target string")
+    ids, edges = RE.numbered_graph(imports)
+    name = {r["v"]: r["id"] for r in ids.collect()}
+    assert len(name) == 9 and {(name[r["a"]], name[r["b"]]) for r in edges.collect()} == {(f"n{i}", f"n{i + 1}") for i in range(8)}
