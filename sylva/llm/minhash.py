@@ -8,7 +8,8 @@ of equal bands: a pair of similarity s with probability 1 - (1 - s^ROWS)^BANDS.
 A bucket gives a star, not its pairs: its centre is the text of least rank, and a text has at most one candidate, the
 least centre among those of its buckets. Further rounds have a few stars a bucket, for what is not yet in their components.
 Candidates that sizes and sketches of the sets do not rule out are compared by whole sets, and similar ones joined before
-the next round. Buckets of one component are done. When rounds join little, what is not in the component of its bucket's
+the next round. Buckets of one component are done. Centres may all be far from a dense part of a crowded bucket, so such
+buckets then get rounds of trees (crowds.py). When rounds join little, what is not in the component of its bucket's
 centre meets the rest of the bucket once, dealt to splits, so that no link that a bucket holds is lost.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import measured
 from .common import byte_slices, cut, read
 from .components import components
+from .crowds import CROWD, TURNS, trees
 
 #: Bands and bins in each: a pair at 0.85 is met with probability 1 - 8e-6, one at 0.5 with 0.47.
 BANDS, ROWS = 20, 5
@@ -225,6 +227,18 @@ def link(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, perc
         live = cut(live.join(star, "key"))
         nearest = live.groupBy("node").agg(*[F.min(F.when(F.col("comp") != F.col(f"o{i}"), F.col(f"c{i}"))).alias(f"c{i}") for i in range(CENTRES)])
         pairs = nearest.select("node", F.explode(F.array_compact(F.array(*[f(f"c{i}") for i, f in enumerate(drawn)]))).alias("c"))
+    live = live.select("key", "node", "comp")
+    for turn in range(TURNS):
+        mixed = live.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("top")).where(F.col("size") >= CROWD).where("low <> top").drop("low", "top")
+        pairs, asked = measured(trees(live.join(cut(mixed), "key").join(known.select("node", "n", "sketch"), "node"), percent / 100, turn), n=F.count("*"))
+        if not asked["n"]:
+            break
+        found = sets.similar(pairs)
+        sure = sure.union(found)
+        roots = cut(components(sure))
+        live = cut(live.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp")))
+        if found.count() * WORTH < asked["n"]:
+            break
     star = live.groupBy("key").agg(F.min_by("comp", F.xxhash64("node")).alias("head"), F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("top"))
     left = cut(live.join(cut(star.where("low <> top").drop("low", "top")), "key").withColumn("apart", F.col("comp") != F.col("head")))
     if left.isEmpty():
