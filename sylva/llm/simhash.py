@@ -9,10 +9,12 @@ A crowded value does not expand into its pairs. First everything that meets it i
 from it, and components are formed; then only what is not in the component of the value's first leader meets the rest.
 No pair of different components is left out, so components are exact.
 
-Where links are verified on sets of shingles, all that came within reach of a leader also carries a sketch of its set:
-the parities of how many shingles fall on each of SKETCH bits. Two sketches differ in no more bits than the sets have
-elements of their own, so a pair whose sketches differ in more than the similarity allows is no link, and the join of a
-crowded value passes over it.
+Where links are verified on sets of shingles, every node has a sketch of its set: the parities of how many shingles fall
+on each of SKETCH bits. Two sketches differ in no more bits than the sets have elements of their own, so a pair whose
+sketches differ in more than the similarity allows is no link, nor is one whose sizes do. What came within reach of a
+leader carries its sketch to the join of a crowded value, which passes over such pairs, and so do all comparisons before
+their sets are made. The leaders may be far from a part of a large group of near copies, so crowded bands get rounds of
+trees of likely links (crowds.py) between the two.
 
 A fingerprint of words says little of how many shingles two texts share if an edit brings new words in one block or the
 texts are short. Where links are verified, texts therefore also meet by bands: BANDS values, each of the least hashes of the
@@ -32,16 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import measured
 from .common import ascii_lower, byte_slices, cut, read, unused
 from .components import components
+from .crowds import CROWD, TURNS, trees
 
 #: Values that at least so many fingerprints share are compared with LEADERS of them first; of what then remains of a value
 #: a task takes SPLIT fingerprints to be met.
 CROWDED, LEADERS, SPLIT = 12, 3, 512
 #: Crowded values whose leaders are broadcast; beyond it those joins shuffle.
 BROADCAST_KEYS = 50_000
-#: Bits of a sketch, in words of 64.
-SKETCH = 1_024
+#: Bits of a sketch, in words of 64. Rounds of trees go on while one of WORTH pairs is a link.
+SKETCH, WORTH = 1_024, 8
 #: Bands of a set of shingles and least hashes in each: a pair at 0.8 is met with probability 0.9996. Keys have BAND set.
 BANDS, ROWS, BAND = 20, 5, 1 << 62
 #: What a probe costs beside a candidate, and the largest threshold of a part.
@@ -73,17 +77,29 @@ _DRAWN = np.random.default_rng(42).integers(1, 1 << 63, (2, BANDS * ROWS), np.in
 _FACTOR, _SHIFT = (_DRAWN[0] | np.uint64(1))[:, None], _DRAWN[1][:, None]
 
 
-def bands(features: list[bytes]) -> list[int]:
-    """The values of the bands of a set of features; none without features."""
-    if not features:
+def digests(features: list[bytes]) -> np.ndarray:
+    """The XXH64 of each."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, features), np.uint64, len(features))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The values of the bands of a set of features by their digests; none without features."""
+    if not len(hashes):
         return []
     least = np.full(BANDS * ROWS, ~np.uint64(0))
-    h = xxhash.xxh64_intdigest
-    for at in range(0, len(features), 1 << 12):
-        part = features[at : at + (1 << 12)]
-        hashes = np.fromiter((h(x) for x in part), np.uint64, len(part))
-        least = np.minimum(least, (hashes * _FACTOR + _SHIFT).min(axis=1))
-    return [h(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) % BAND + BAND for i in range(BANDS)]
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12)] * _FACTOR + _SHIFT).min(axis=1))
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) % BAND + BAND for i in range(BANDS)]
+
+
+def members(hashes: np.ndarray) -> np.ndarray:
+    """The set of features, by 32 bits of their digests, sorted."""
+    return np.unique(hashes.astype(np.uint32))
+
+
+def sketch(own: np.ndarray) -> list[int]:
+    """SKETCH parities of the members in longs, then how many there are."""
+    return np.packbits(np.bincount(own % SKETCH, minlength=SKETCH) & 1).view(np.int64).tolist() + [len(own)]
 
 
 def words_of(text: Column) -> Column:
@@ -91,26 +107,32 @@ def words_of(text: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+", " "))
 
 
+def _size(sketch: str) -> Column:
+    return F.col(sketch)[SKETCH // 64]
+
+
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 3, distinct: bool = False, banded: int = 0, node: str | None = None) -> DataFrame:
     """(id, fp) of each row; distinct: every feature counts once.
 
-    banded: also bands, those of the set of shingles of so many words. node: a column of longs that comes along."""
+    banded: also bands and sketch, those of the set of shingles of so many words. node: a column of longs that comes along."""
     kind = docs.schema[doc_id].dataType.simpleString()
     extra = {"node": "long"} if node else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in byte_slices(batches, "text"):
-            fps, keys = [], []
+            fps, keys, odd = [], [], []
             for t in b.column("text").to_pylist():
                 f = shingles(t, k)
                 fps.append(fingerprint(list(set(f)) if distinct else f))
                 if banded:
-                    keys.append(bands(shingles(t, banded)))
-            more = [pa.array(keys, pa.list_(pa.int64()))] if banded else []
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in extra), pa.array(fps, pa.int64()), *more], ["id", *extra, "fp", "bands"][: 2 + len(extra) + len(more)])
+                    hashes = digests(shingles(t, banded))
+                    keys.append(bands(hashes))
+                    odd.append(sketch(members(hashes)))
+            more = [pa.array(x, pa.list_(pa.int64())) for x in (keys, odd)] if banded else []
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(c) for c in extra), pa.array(fps, pa.int64()), *more], ["id", *extra, "fp", "bands", "sketch"][: 2 + len(extra) + len(more)])
 
     own = docs.select(F.col(doc_id).alias("id"), *([F.col(node).alias("node")] if node else []), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"id {kind}" + ", node long" * bool(node) + ", fp long" + ", bands array<long>" * bool(banded))
+    return own.mapInArrow(run, f"id {kind}" + ", node long" * bool(node) + ", fp long" + ", bands array<long>, sketch array<long>" * bool(banded))
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -234,11 +256,9 @@ class Similar:
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            h = xxhash.xxh32_intdigest
             for b in byte_slices(batches, "text"):
-                made = [np.unique(np.fromiter((h(x) for x in f), np.uint32, len(f))) for f in (shingles(t, k) for t in b.column("text").to_pylist())]
-                odd = [np.packbits(np.bincount(m % SKETCH, minlength=SKETCH) & 1).view(np.int64).tolist() + [len(m)] for m in made]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(odd, pa.list_(pa.int64()))], ["id", "s", "sketch"])
+                made = [members(digests(shingles(t, k))) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([m.tobytes() for m in made], pa.binary()), pa.array(list(map(sketch, made)), pa.list_(pa.int64()))], ["id", "s", "sketch"])
 
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         if self.rows is None:
@@ -254,6 +274,11 @@ class Similar:
         differ = sum(F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(words))
         return differ * (1 + self.least) <= (F.col(x)[words] + F.col(y)[words]) * (1 - self.least) + 1e-6
 
+    def possible(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The pairs that the sketches of nodes (node, sketch) do not prove to be too different."""
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"k{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(self.may("ka", "kb")).select("a", "b")
+
     def keep(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
         """The similar ones of the pairs; held are their sets."""
         least = self.least
@@ -276,8 +301,8 @@ class Similar:
 
 
 def entries(nodes: DataFrame, plan: Plan, probes: bool) -> DataFrame:
-    """(key, node, fp, comp) of nodes (node, fp, comp), with the nodes' sketch if they have that column; of bands too."""
-    names = [c for c in ("node", "fp", "comp", "sketch") if c in nodes.columns]
+    """(key, node, fp, comp) of nodes (node, fp, comp), with the nodes' size and sketch if they have them; of bands too."""
+    names = [c for c in ("node", "fp", "comp", "size", "sketch") if c in nodes.columns]
     step = 500 if "sketch" in names else 2_000
     also = ["bands"] if "bands" in nodes.columns else []
 
@@ -291,14 +316,15 @@ def entries(nodes: DataFrame, plan: Plan, probes: bool) -> DataFrame:
                     rows = pc.list_parent_indices(b.column("bands"))
                     yield pa.RecordBatch.from_arrays([pc.list_flatten(b.column("bands")), *(b.column(c).take(rows) for c in names)], ["key", *names])
 
-    kinds = {"sketch": "array<long>"}
+    kinds = {"size": "int", "sketch": "array<long>"}
     return nodes.select(*names, *also).mapInArrow(run, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in ["key", *names]))
 
 
 def link(nodes: DataFrame, tau: int, parts: int, verify: Similar | None = None) -> DataFrame:
     """(node, root) of the nodes (node long, fp long) linked within tau bits and, if verify is given, found similar by it.
 
-    Nodes may have bands, further values at which they meet at any distance; then verify has to be given.
+    With verify nodes have a sketch of their set. They may have bands, further values at which they meet at any distance; then
+    verify has to be given.
     Nodes without a link do not come back. An empty table gives an empty one. Entries are made anew for each use, from
     a row of a few numbers for each node, and are not kept; probes are shuffled once.
     """
@@ -320,12 +346,37 @@ def link(nodes: DataFrame, tau: int, parts: int, verify: Similar | None = None)
     within = lambda x: (x["other"] != F.col("node")) & ((F.bit_count(x["ofp"].bitwiseXOR(F.col("fp"))) <= tau) | (F.lit(bool(banded)) & (F.col("key") >= BAND)))
     meets = lambda probes: entries(alone, plan, probes).join(sent(leaders), "key").select("node", F.filter("ls", within).alias("ls")).where(F.size("ls") > 0)
     each = meets(True).union(meets(False)).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("ls"))).alias("ls"))
-    met = cut(each.select("node", F.explode("ls.other").alias("other")).select(*pair).distinct())
-    held = verify.sets(met) if verify else None
-    sure = cut(verify.keep(met, held)) if verify else met
+    met = each.select("node", F.explode("ls.other").alias("other"))
+    reach = None
+    if verify:
+        met = cut(met)
+        reach = met.select("node").union(met.select("other")).distinct()
+        drawn = leaders.select(F.explode("ls.other").alias("node")).distinct()
+        drawn = cut(nodes.join(drawn, "node", "left_semi").select(F.col("node").alias("other"), F.col("sketch").alias("osketch")))
+        met = met.join(nodes.select("node", "sketch"), "node").join(sent(drawn), (met["other"] == drawn["other"]) & verify.may("sketch", "osketch")).select("node", drawn["other"])
+    met = cut(met.select(*pair).distinct())
+    sure = cut(verify.keep(met, verify.sets(met))) if verify else met
     known = cut(components(sure))
-    grown = nodes.join(known, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("comp"), *banded)
-    grown = cut(grown.join(held.select(F.col("id").alias("node"), "sketch"), "node", "left") if verify else grown)
+    if banded:
+        dense = crowded.where((F.col("key") >= BAND) & (F.col("n") >= CROWD)).select("key", F.col("n").alias("size"))
+        live = cut(nodes.select("node", F.explode("bands").alias("key")).join(sent(dense), "key"))
+        for turn in range(TURNS):
+            now = live.join(known, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+            mixed = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low <> top").select("key")
+            live = cut(now.join(mixed, "key"))
+            likely, asked = measured(trees(live.join(nodes.select("node", _size("sketch").alias("n"), F.slice("sketch", 1, SKETCH // 64).alias("sketch")), "node"), verify.least, turn), n=F.count("*"))
+            if not asked["n"]:
+                break
+            found = cut(verify.keep(likely, verify.sets(likely)))
+            sure = sure.union(found)
+            known = cut(components(sure))
+            live = live.drop("comp")
+            if found.count() * WORTH < asked["n"]:
+                break
+    grown = nodes.join(known, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    if verify:
+        grown = grown.join(reach.withColumn("reached", F.lit(True)), "node", "left").withColumn("size", _size("sketch").cast("int")).withColumn("sketch", F.when(F.col("reached"), F.col("sketch")))
+    grown = cut(grown.select("node", "fp", "comp", *banded, *(["size", "sketch"] if verify else [])))
     splits = F.ceil(F.col("n") / SPLIT).cast("int").alias("splits")
     heads = cut(crowded.select(F.col("l0.node").alias("node"), "key", splits).join(known, "node", "left").select("key", F.coalesce("root", "node").alias("head"), "splits"))
 
@@ -340,14 +391,14 @@ def link(nodes: DataFrame, tau: int, parts: int, verify: Similar | None = None)
     probing = marked(True).withColumn("side", F.when(F.col("apart"), 0).otherwise(1)).drop("apart")
     probing = probing.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
     sides = F.explode(F.when(F.col("apart"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    found = marked(False).withColumnsRenamed({"node": "other", "fp": "ofp", "comp": "ocomp", "sketch": "osketch"}).withColumn("side", sides)
+    found = marked(False).withColumnsRenamed({"node": "other", "fp": "ofp", "comp": "ocomp", "size": "osize", "sketch": "osketch"}).withColumn("side", sides)
     found = found.withColumn("split", F.pmod(F.xxhash64("other"), F.col("splits")).cast("int")).drop("apart", "splits")
     fits = (F.col("node") < F.col("other")) & (F.col("comp") != F.col("ocomp")) & near("fp", "ofp")
     if verify:
-        fits = fits & F.coalesce(verify.may("sketch", "osketch"), F.lit(True))
+        fits = fits & (F.least("size", "osize") >= verify.least * F.greatest("size", "osize") - 1e-6) & F.coalesce(verify.may("sketch", "osketch"), F.lit(True))
     more = probing.join(found, ["key", "side", "split"]).where(fits).select(*pair).distinct()
     if verify:
-        more = cut(more)
+        more = cut(verify.possible(cut(more), nodes))
         more = verify.keep(more, verify.sets(more))
     return components(sure.union(more))
 
@@ -383,9 +434,9 @@ def near_dedup(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
     columns, (node, stay, row, many) = docs.columns, unused(docs, "node", "stay", "row", "many")
     docs = docs.withColumn(node, F.xxhash64(words_of(F.col(text))))
     held = cut(fingerprints(docs, doc_id=doc_id, text=text, k=1, distinct=True, banded=k, node=node))
-    nodes = cut(held.groupBy("node").agg(F.min("id").alias("row"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = cut(held.groupBy("node").agg(F.min("id").alias("row"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     rows = nodes.select(F.col("node").alias("id"), "row")
-    roots = cut(link(nodes.select("node", "fp", "bands"), tau, parts, Similar(docs, node, text, k, similarity, rows, doc_id)))
+    roots = cut(link(nodes.select("node", "fp", "bands", "sketch"), tau, parts, Similar(docs, node, text, k, similarity, rows, doc_id)))
     named = nodes.select("node", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min(F.struct(F.col("row").isNull().alias("none"), "row", "node")).alias("m")
     stays = named.groupBy("root").agg(first).select(F.col("m.node").alias("node"), F.col("m.row").alias("row"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import sylva.llm.minhash as mh
+import sylva.llm.simhash as sh
 from sylva.llm.crowds import tree
 
 from .test_minhash import edited, plain, run
@@ -43,3 +44,28 @@ def test_minhash_compares_few_pairs_of_a_dense_group(spark, monkeypatch):
     rows = list(enumerate(_texts(11, 600, 120, 0.04)))
     assert run(spark, rows) == plain(rows, 3, 85)
     assert sum(asked) < 2_000, asked  # of 7,140 pairs of the group
+
+
+def test_near_dedup_compares_few_pairs_of_a_large_group(spark, monkeypatch):
+    """1,000 near copies, an eighth of whose pairs are links: what is compared by whole sets is not near their square."""
+    asked, real = [], sh.Similar.keep
+    monkeypatch.setattr(sh.Similar, "keep", lambda self, pairs, held: asked.append(pairs.count()) or real(self, pairs, held))
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base, texts = [rnd.choice(vocabulary) for _ in range(400)], []
+    for _ in range(1000):
+        copy = list(base)
+        for _ in range(rnd.randrange(2, 16)):
+            copy[rnd.randrange(400)] = rnd.choice(vocabulary)
+        texts.append(" ".join(copy))
+    sets = [set(map(hash, sh.shingles(t, 5))) for t in texts]
+
+    def near(i, j):
+        both = len(sets[i] & sets[j])
+        return both >= 0.8 * (len(sets[i]) + len(sets[j]) - both)
+
+    links = {(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)}
+    want = {i for i, least in linked(range(len(texts)), lambda i, j: (max(i, j), min(i, j)) in links).items() if i == least}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in sh.near_dedup(docs).collect()} == want
+    assert sum(asked) < 20_000, asked
