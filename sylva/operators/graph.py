@@ -160,6 +160,11 @@ def merge_nodes(old: DataFrame, new: DataFrame, order: str | None = None) -> Dat
     return out.select(*["id" if c == "id" else f"own.{c}" for c in columns], F.coalesce("physical_meta", F.expr("cast(map() as map<string, string>)")).alias("physical_meta"), state.alias("merge_state"), repeats.alias("repeats"))
 
 
+def merged_ids(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The ids that merge_nodes gives for both, without the nodes."""
+    return old.select("id").union(new.select("id")).where("id is not null and id <> ''").distinct()
+
+
 def merge_edges(old: DataFrame, new: DataFrame, ids: DataFrame, order: str | None = None) -> DataFrame:
     """old and, for each key (source, target, relation) that it lacks, the first of new whose ends are nodes, with all columns."""
     key, at = ["source", "target", "relation"], F.col(order) if order in new.columns else F.lit(0)

@@ -185,3 +185,10 @@ def test_ids_whose_numbers_clash_are_numbered_by_joins(spark, monkeypatch):
     ids, edges = RE.numbered_graph(imports)
     name = {r["v"]: r["id"] for r in ids.collect()}
     assert len(name) == 9 and {(name[r["a"]], name[r["b"]]) for r in edges.collect()} == {(f"n{i}", f"n{i + 1}") for i in range(8)}
+
+
+def test_merged_edges_are_made_once_and_nodes_not_at_all(spark):
+    """The slices of q24 and q25 read edges that were written once, and q24 merges no metadata for its ids."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = plan(QUERIES["q24_merge_edges"](spark, SMALL))
+    assert "lead(" not in got and "collect_list" not in got
