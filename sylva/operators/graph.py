@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import paths as P
 from ..plans.lineage import cut, numbered
+from .pieces import settled
 from .reach import counted_reach, cyclic_components, numbered_graph, numbered_pairs, reach_counts, strong_components  # noqa: F401
 
 #: Siblings that a folder is tied to, and the hops that reverse reachability goes.
@@ -101,8 +102,15 @@ def cycles(imports: DataFrame) -> DataFrame:
 
     The tree of a component holds the shortest paths from its smallest member, of several the first in order; an edge from
     a node to one on that node's path closes a cycle. So each cycle's first node is its nearest to that member, every
-    component has a cycle, and one that is a mere ring has exactly itself.
+    component has a cycle, and one that is a mere ring has exactly itself. Small pieces of the graph are settled by the
+    tasks that read them, the others by rounds.
     """
+    small, rest = settled(imports)
+    return small if rest.isEmpty() else small.union(_tree_cycles(rest))
+
+
+def _tree_cycles(imports: DataFrame) -> DataFrame:
+    """cycles of a graph whose components are of any size, level by level of all trees at once."""
     ids, edges = numbered_graph(imports)
     members = strong_components(edges, ids.count())[0].select("v", "comp")
     named = cut(members.join(ids, "v"))
