@@ -96,6 +96,31 @@ def test_what_is_far_from_the_largest_component(spark, monkeypatch):
     assert got == {n: sum(1 for x, _ in pairs if x == n) for n, _ in pairs} and used
 
 
+def test_members_of_many_edges_show_what_is_within_the_hops(spark, monkeypatch):
+    """On a ring both ways the root's bound is twice the true distance; nothing is walked, and counts are those of brute force."""
+
+    def walked(*_):
+        raise AssertionError("walked although sure")
+
+    ring = [e for i in range(10) for e in ((f"c{i}", f"c{(i + 1) % 10}"), (f"c{(i + 1) % 10}", f"c{i}"))] + [("u0", "c3"), ("c3", "c0")]
+    monkeypatch.setattr(RE, "BLOCK", 1)
+    monkeypatch.setattr(RE, "_walked", walked)
+    monkeypatch.setattr(RE, "_arrived", walked)
+    got = {x["id"]: x["transitive_impact"] for x in G.reach_counts(spark.createDataFrame(ring, "source string, target string"), 6).collect()}
+    pairs = brute(set(ring), 6)
+    assert got == {n: sum(1 for x, _ in pairs if x == n) for n, _ in pairs}
+
+
+def test_what_no_member_shows_is_walked(spark, monkeypatch):
+    """By brute force on a random graph with one node a block, where the limit binds for some of the members."""
+    r, hops = random.Random(5), 4
+    edges = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(100)] + [(f"t{i}", f"t{i + 1}") for i in range(4)] + [("t4", "n1"), ("n2", "t0")]
+    monkeypatch.setattr(RE, "BLOCK", 1)
+    got = {x["id"]: x["transitive_impact"] for x in G.reach_counts(spark.createDataFrame(edges, "source string, target string"), hops).collect()}
+    pairs = brute(set(edges), hops)
+    assert got == {n: sum(1 for x, _ in pairs if x == n) for n, _ in pairs}
+
+
 def tree_cycles(edges):
     """By the definition: breadth-first trees of the strong components from their smallest members."""
     pairs = brute(set(edges), 100)
